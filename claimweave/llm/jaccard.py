@@ -183,7 +183,7 @@ class JaccardJoin:
         posts = made.where("not member").select("k", "n", "token", "pos", "need").distinct()
         # lists of one class have no pair
         first = F.min(F.struct("pos", "n", "k"))
-        lists = posts.groupBy("token").agg(first.alias("first"), F.max("k").alias("last")).where("first.k <> last").select("token", "first")
+        lists = posts.groupBy("token").agg(first.alias("first"), F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select("token", "first")
         posts = materialize(posts.join(lists, "token"), "lists")
         near = posts.where("k <> first.k").select("k", "n", "pos", F.col("first.k").alias("k2"), F.col("first.n").alias("n2"), F.col("first.pos").alias("pos2"))
         near = near.groupBy("k", "k2").agg(*[F.min(c).alias(c) for c in ("n", "pos", "n2", "pos2")])
