@@ -17,6 +17,7 @@ from claimweave.llm.packing import best_fit
 from claimweave.llm.tokens import token_counts
 from claimweave.llm.toxicity import FactorizationMachine
 from claimweave.llm.urlfilter import url_filter
+from claimweave.llm.wrapper import main_text
 
 #: The rules of op9: host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -34,6 +35,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(docs).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
@@ -102,7 +107,7 @@ select page_id, p.host as host, p.path as path, rule, coalesce(v, 'allow') as ve
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_permutation_ann, op2_language_id, op4_token_counts, op5_subword_lattice, op6_toxicity, op7_decontamination, op8_ngram_jaccard, op9_url_filter, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_permutation_ann, op2_language_id, op3_wrapper_induction, op4_token_counts, op5_subword_lattice, op6_toxicity, op7_decontamination, op8_ngram_jaccard, op9_url_filter, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
