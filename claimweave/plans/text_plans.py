@@ -271,10 +271,10 @@ _PAIR = _VEC + ", p as (select q, v, ql, vl, list_cosine_similarity(a, b) as cos
 _MM = ", n as (select *, case when max(raw) over (partition by q) > min(raw) over (partition by q) then (raw - min(raw) over (partition by q)) / (max(raw) over (partition by q) - min(raw) over (partition by q)) else case when raw > 0 then 1.0 else 0.0 end end as s from p)"
 
 
-@query(_PAIR + _MM + " select q, v, round(round(0.6 * greatest(0, least(1, cos)) + 0.4 * s, 6), 5) as score, greatest(0, least(1, cos)) >= 0.35 or raw >= 2 as included from n")
+@query(_PAIR + _MM + " select q, v, round(0.6 * greatest(0, least(1, cos)) + 0.4 * s, 6) as score, greatest(0, least(1, cos)) >= 0.35 or raw >= 2 as included from n")
 def hybrid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = vector_pairs(spark, sf_dir).select("q", "v", "cos", ((F.col("q") * 7 + F.col("v") * 13) % 5).alias("raw"))
-    return retrieve.hybrid(p, "q").select("q", "v", F.round(F.col("score"), 5).alias("score"), "included")
+    return retrieve.hybrid(p, "q").select("q", "v", "score", "included")
 
 
 @query("select user_id, event_id, round(case when max(value) over w > min(value) over w then (value - min(value) over w) / (max(value) over w - min(value) over w) else case when value > 0 then 1.0 else 0.0 end end, 6) as scaled from events window w as (partition by user_id)")
