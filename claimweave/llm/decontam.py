@@ -84,7 +84,7 @@ class PositionalIndex:
         cut = F.transform("c", lambda c: F.struct(c["phrase"].alias("phrase"), c["shift"].alias("shift"), F.transform(c["starts"], lambda s: F.struct(s.alias("start"), F.slice(F.col("words"), s + c["shift"] + 1, window).alias("found"))).alias("starts")))
         cut = seen.select("doc", "hash", F.explode(cut).alias("c")).select("doc", "hash", "c.phrase", "c.shift", "c.starts")
         texts = phrases.select("phrase", F.col("words").alias("p_words"))
-        same = lambda x: x["found"] == F.slice(F.col("p_words"), x["start"] + 1, window)
+        same = lambda x: F.slice(x["found"], F.lit(1), F.least(F.size("p_words"), F.lit(window))) == F.slice(F.col("p_words"), x["start"] + 1, window)
         full = cut.join(broadcast_if(texts, F.size("p_words") * 16 + 64), "phrase").withColumn("starts", F.transform(F.filter("starts", same), lambda x: x["start"]))
         return full.where(F.size("starts") > 0).select("doc", "hash", "phrase", "shift", "starts", F.size("p_words").alias("n"))
 
