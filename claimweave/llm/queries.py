@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm.ann import PermutationIndex
-from claimweave.llm.common import fold, table
+from claimweave.llm.common import bounded, fold, materialize, table
 from claimweave.llm.decontam import decontaminate
 from claimweave.llm.jaccard import JaccardJoin
 from claimweave.llm.langid import RankOrderProfiles
@@ -51,7 +51,10 @@ def op5_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (doc_id, text) with the label of their id: the largest where one id has several."""
-    return docs.join(labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    own = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    if bounded(own):
+        return docs.join(F.broadcast(own), "doc_id")
+    return materialize(docs.join(own, "doc_id"), "labelled")  # texts are shuffled once, not in each pass of the fit
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
