@@ -1,7 +1,7 @@
 """Operator 6. Toxicity by a factorization machine over hashed terms.
 
-Terms are the words of a text and their beginnings of three to five letters, hashed into a fixed space; a text
-has a term or not. The machine is  bias + sum w_i + sum_{i<j} <v_i, v_j>  through the logistic function, so that
+Terms are the words of a text and their beginnings of three to seven letters, hashed into a fixed space, and of each
+beginning also that two, or four, different words of the text have it; a text has a term or not. The machine is  bias + sum w_i + sum_{i<j} <v_i, v_j>  through the logistic function, so that
 two terms together (an insult with a group mention) can weigh more, or less, than each alone.
 
 Fitting: how many labelled texts of each class have each hashed term is counted over all labelled rows; the
@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -26,14 +28,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.llm.common import forget, materialize
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Words whose term numbers a worker remembers.
-MEMORY = 300_000
+MEMORY = 200_000
+
+
+#: Lengths of beginnings, and how many words with one make a term of their own.
+BEGINNINGS, LEVELS = (3, 4, 5, 6, 7), (2, 4)
 
 
-def word_terms(word: str, bits: int) -> tuple[int, ...]:
-    mask = (1 << bits) - 1
-    return (crc32(word.encode()) & mask, *(crc32(b"^" + word[:n].encode()) & mask for n in (3, 4, 5) if len(word) > n))
+def level_term(h: int, level: int, bits: int) -> int:
+    return (h * 0x9E3779B1 + level * 0x85EBCA6B) >> 7 & (1 << bits) - 1
 
 
 class Terms:
@@ -42,34 +49,52 @@ class Terms:
     def __init__(self, bits: int, among: np.ndarray | None = None):
         self.bits, self.known = bits, {}
         self.place = None if among is None else {int(h): i for i, h in enumerate(among)}
+        self.levels: dict[int, tuple[int | None, ...]] = {}
+
+    def wanted(self, h: int) -> int | None:
+        return h if self.place is None else self.place.get(h)
+
+    def of_word(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """The word's own terms, and the hashes of its beginnings that some level still needs."""
+        mask = (1 << self.bits) - 1
+        starts = tuple(crc32(b"^" + word[:n].encode()) & mask for n in BEGINNINGS if len(word) > n)
+        own = tuple(x for h in (crc32(word.encode()) & mask, *starts) if (x := self.wanted(h)) is not None)
+        return own, tuple(h for h in starts if any(x is not None for x in self.of_levels(h)))
 
-    def of_word(self, word: str) -> tuple[int, ...]:
-        t = word_terms(word, self.bits)
-        return t if self.place is None else tuple(self.place[h] for h in t if h in self.place)
+    def of_levels(self, h: int) -> tuple[int | None, ...]:
+        if (x := self.levels.get(h)) is None:
+            x = self.levels[h] = tuple(self.wanted(level_term(h, n, self.bits)) for n in LEVELS)
+        return x
 
     def __call__(self, text: str | None) -> np.ndarray:
         found: set[int] = set()
+        counted: list[tuple[int, ...]] = []
         known = self.known
         for w in set(WORD.findall(text.lower() if text else "")):
             if (t := known.get(w)) is None:
                 if len(known) > MEMORY:
                     known.clear()
                 t = known[w] = self.of_word(w)
-            if t:
-                found.update(t)
+            own, starts = t
+            if own:
+                found.update(own)
+            if starts:
+                counted.append(starts)
+        for h, n in Counter(chain.from_iterable(counted)).items():
+            if n >= LEVELS[0]:
+                found.update(x for x, least in zip(self.of_levels(h), LEVELS, strict=True) if n >= least and x is not None)
         return np.fromiter(found, dtype=np.int64, count=len(found))
 
 
-def gains(with_term: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Information gain of each term about the label, from how many texts of each class (columns) have it."""
-    def entropy(c: np.ndarray) -> np.ndarray:
-        total = c.sum(axis=1, keepdims=True)
-        p = c / np.maximum(total, 1e-12)
-        return -(np.where(p > 0, p * np.log(np.maximum(p, 1e-300)), 0)).sum(axis=1)
+def gain(a: Column, b: Column, n0: float, n1: float) -> Column:
+    """Information gain of a term about the label: a of n0 texts of label 0 have it, b of n1 of label 1."""
+    def entropy(x: Column, y: Column) -> Column:
+        p, q = x / (x + y), y / (x + y)
+        return -(p * F.log(p) + q * F.log(q))
 
-    has, lacks = with_term + 0.25, n - with_term + 0.25
-    share = has.sum(axis=1) / (n.sum() + 1)
-    return entropy(n[None, :] + 0.5)[0] - share * entropy(has) - (1 - share) * entropy(lacks)
+    has, lacks = (a + 0.25, b + 0.25), (F.lit(n0 + 0.25) - a, F.lit(n1 + 0.25) - b)
+    share = (a + b + 0.5) / (n0 + n1 + 1)
+    return entropy(F.lit(n0 + 0.5), F.lit(n1 + 0.5)) - share * entropy(*has) - (1 - share) * entropy(*lacks)
 
 
 class FactorizationMachine:
@@ -96,16 +121,14 @@ class FactorizationMachine:
             yield pd.DataFrame({"h": [-1, *h], "n0": [total[0], *n[h, 0]], "n1": [total[1], *n[h, 1]]})
 
         counts = rows.mapInPandas(count, "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        # at most 2^bits rows, each of three numbers: bounded by a parameter
-        got = counts.toPandas().sort_values("h").astype("int64")
-        n = got.loc[got["h"] == -1, ["n0", "n1"]].sum().to_numpy(dtype=np.float64)
+        counts = materialize(counts, "terms")  # at most 2^bits rows; only the best of them come to the driver
+        n = np.array(counts.where("h = -1").agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first(), dtype=np.float64)
         if not n.all():
             self.bias = math.log((n[1] + 0.5) / (n[0] + 0.5)) if n.any() else -50.0
             return self
-        got = got[got["h"] >= 0]
-        gain = gains(got[["n0", "n1"]].to_numpy(dtype=np.float64), n)
-        best = np.lexsort((got["h"].to_numpy(), -gain))[: self.n_features]
-        self.terms = np.sort(got["h"].to_numpy()[best])
+        best = counts.where("h >= 0").select("h", F.round(gain(F.col("n0"), F.col("n1"), *n.tolist()), 12).alias("g")).orderBy(F.desc("g"), "h").limit(self.n_features).collect()
+        self.terms = np.sort(np.array([r["h"] for r in best], dtype=np.int64))
+        forget(docs.sparkSession, counts)
         self.learn(*self.drawn(rows, n), n)
         return self
 
@@ -113,16 +136,16 @@ class FactorizationMachine:
         """The term numbers and labels of the sample."""
         bits, among = self.bits, self.terms
 
-        @F.pandas_udf("array<int>")
+        @F.pandas_udf("binary")
         def numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             terms = Terms(bits, among)
             for texts in batches:
-                yield texts.map(lambda t: np.sort(terms(t)).tolist())
+                yield texts.map(lambda t: np.sort(terms(t)).astype(np.int32).tobytes())
 
         # texts are cut to term numbers before the heaps of the sample are filled
-        parts = [rows.where(F.col("y") == y).select(F.xxhash64("text").alias("h"), "y", numbers("text").alias("x")).orderBy("h", F.col("x").cast("string")).limit(self.sample) for y in (0, 1)]
+        parts = [rows.where(F.col("y") == y).select(F.xxhash64("text").alias("h"), "y", numbers("text").alias("x")).orderBy("h", "x").limit(self.sample) for y in (0, 1)]
         got = parts[0].union(parts[1]).collect()
-        return [np.array(r["x"], dtype=np.int64) for r in got], np.array([r["y"] for r in got], dtype=np.float64)
+        return [np.frombuffer(r["x"], dtype=np.int32) for r in got], np.array([r["y"] for r in got], dtype=np.float64)
 
     def learn(self, xs: list[np.ndarray], y: np.ndarray, n: np.ndarray) -> None:
         rng = np.random.default_rng(self.seed)
