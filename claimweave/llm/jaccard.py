@@ -1,9 +1,9 @@
 """Operator 8. N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document's set is its distinct word shingles (64-bit hashes of whole shingles). Documents of equal sets form one
-class, known by the 128-bit digest of the set, and only classes are compared.
+class, known by the 64-bit digest of the set, and only classes are compared.
 
-All shingles have one order, rare ones first: by a sketch of how many documents have them (2^20 counters over
+All shingles have one order, rare ones first: by a sketch of how many documents have them (2^22 counters over
 all documents), then by hash. Any order gives the same links; a good one gives few candidates. With n shingles
 and threshold t, the first n - ceil(t n) + l of two linked classes share at least l of them. Each
 class chooses its l (1 to 4) by its estimated candidates: a longer prefix costs postings, but a pair must share
@@ -22,22 +22,25 @@ get their row; ids that repeat with other texts are judged by each text.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import bounded, forget, materialize
 
-SKETCH_BITS, CHUNK = 20, 1 << 14
+SKETCH_BITS, CHUNK = 22, 1 << 16
 MOST_MATCHES = 4
 #: Word hashes that a worker remembers.
 MEMORY = 500_000
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
+SHIFT = np.uint64(64 - SKETCH_BITS)
+
 _words: dict[bytes, int] = {}
 
 
@@ -61,8 +64,10 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(x)
 
 
-def digest(own: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(own.tobytes())
+def digest(own: np.ndarray) -> int:
+    """Signed 64 bits, as Spark's long."""
+    h = xxhash.xxh3_64_intdigest(own.tobytes())
+    return h - (1 << 64) if h >> 63 else h
 
 
 def threshold_count(n: int, num: int, den: int) -> int:
@@ -77,20 +82,25 @@ class JaccardJoin:
         self.num, self.den, self.shingle = num, den, shingle
 
     def sketch(self, texts: DataFrame) -> np.ndarray:
-        """For each counter the logarithm of its count in eighths: 2^20 bytes, whatever the input."""
+        """For each counter the logarithm of its count in eighths: 2^22 bytes, whatever the input."""
         size = self.shingle
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            n, shift = np.zeros(1 << SKETCH_BITS, dtype=np.int64), np.uint64(64 - SKETCH_BITS)
+            n, held, rows = np.zeros(1 << SKETCH_BITS, dtype=np.int32), [], 0
             for pdf in batches:
-                for start in range(0, len(pdf), 128):
-                    own = [shingles(t, size) for t in pdf["text"].iloc[start : start + 128]]
-                    np.add(n, np.bincount((np.concatenate(own) >> shift).astype(np.int64), minlength=len(n)), out=n)
+                for text in pdf["text"]:
+                    held.append((shingles(text, size) >> SHIFT).astype(np.int32))
+                    rows += len(held[-1])
+                    if rows > 1 << 21:
+                        n += np.bincount(np.concatenate(held), minlength=len(n)).astype(np.int32)
+                        held, rows = [], 0
+            if held:
+                n += np.bincount(np.concatenate(held), minlength=len(n)).astype(np.int32)
             for i in range(0, len(n), CHUNK):
-                yield pd.DataFrame({"chunk": [i // CHUNK], "n": [n[i : i + CHUNK].astype(np.int32).tobytes()]})
+                yield pd.DataFrame({"chunk": [i // CHUNK], "n": [zlib.compress(n[i : i + CHUNK].tobytes(), 1)]})
 
         def total(pdf: pd.DataFrame) -> pd.DataFrame:
-            n = sum(np.frombuffer(b, dtype=np.int32).astype(np.int64) for b in pdf["n"])
+            n = sum(np.frombuffer(zlib.decompress(b), dtype=np.int32).astype(np.int64) for b in pdf["n"])
             return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "n": [np.minimum(255, 8 * np.log2(1 + n)).astype(np.uint8).tobytes()]})
 
         parts = texts.mapInPandas(count, "chunk int, n binary").groupBy("chunk").applyInPandas(total, "chunk int, n binary")
@@ -100,12 +110,12 @@ class JaccardJoin:
         return out
 
     def postings(self, rows: DataFrame, sketch: np.ndarray) -> DataFrame:
-        """Member rows (doc, k, n) and, once a class and task, posting rows (k, n, token, pos, need)."""
+        """Member rows (doc, k, n) and, once a class and task, posting rows (k, token, meta), meta holding n, pos and need."""
         num, den, size = self.num, self.den, self.shingle
         shared = rows.sparkSession.sparkContext.broadcast(sketch)
 
         def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rare, shift, seen = shared.value, np.uint64(64 - SKETCH_BITS), set()
+            rare, seen = shared.value, set()
             for pdf in batches:
                 for start in range(0, len(pdf), 256):
                     part = pdf.iloc[start : start + 256]
@@ -116,7 +126,7 @@ class JaccardJoin:
                         if not n or k in seen:
                             continue
                         seen.add(k)
-                        level = rare[(own >> shift).astype(np.int64)]
+                        level = rare[(own >> SHIFT).astype(np.int64)]
                         prefix = n - threshold_count(n, num, den)
                         order = np.lexsort((own, level))[: prefix + MOST_MATCHES]
                         # a pair of classes that share a token costs a verification; the first shared ones weigh most
@@ -125,18 +135,21 @@ class JaccardJoin:
                         while need < MOST_MATCHES and prefix + need < n and cost[prefix : prefix + need].mean() > 64 * need:
                             need += 1
                         order = order[: min(n, prefix + need)]
-                        posts.append(pd.DataFrame({"k": k, "n": n, "token": own[order].view(np.int64), "pos": np.arange(len(order)), "need": min(need, n)}))
-                    yield pd.DataFrame({"member": True, "doc": part["doc"], "k": ks, "n": ns, "token": None, "pos": None, "need": None})
+                        posts.append((np.full(len(order), k), own[order].view(np.int64), (n << 32) | (np.arange(len(order)) << 4) | min(need, n)))
+                    yield pd.DataFrame({"member": True, "doc": part["doc"], "k": pd.array(ks, dtype="Int64"), "n": ns, "token": None, "meta": None})
                     if posts:
-                        yield pd.concat(posts).assign(member=False, doc=None)
+                        k, token, meta = map(np.concatenate, zip(*posts, strict=True))
+                        yield pd.DataFrame({"member": False, "doc": None, "k": k, "n": None, "token": token, "meta": meta})
+
+        return rows.mapInPandas(post, f"member boolean, doc {rows.schema['doc'].dataType.simpleString()}, k long, n int, token long, meta long")
 
-        return rows.mapInPandas(post, f"member boolean, doc {rows.schema['doc'].dataType.simpleString()}, k binary, n int, token long, pos int, need int")
+    def viable(self) -> Column:
+        """Whether a shared token at pos and pos2 can be among the first ``need`` that two linked sets share.
 
-    def bound(self, a: str, b: str) -> object:
-        """Whether sets of these sizes, whose first shared tokens are at pos, can still reach the overlap."""
-        na, nb = F.col(f"n{a}"), F.col(f"n{b}")
-        most = F.least(na - F.col(f"pos{a}"), nb - F.col(f"pos{b}"))
-        return (self.num * F.greatest(na, nb) <= self.den * F.least(na, nb)) & (most * (self.num + self.den) >= self.num * (na + nb))
+        The j-th shared token of a pair leaves an overlap of j - 1 + min(n - pos, n2 - pos2) at most, and j is at most the smaller need.
+        """
+        most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) + F.least("need", "need2") - 1
+        return (self.num * F.greatest("n", "n2") <= self.den * F.least("n", "n2")) & (most * (self.num + self.den) >= self.num * (F.col("n") + F.col("n2")))
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets reach the threshold."""
@@ -171,7 +184,7 @@ class JaccardJoin:
                     yield pd.DataFrame({"k": [digest(x) for x in own], "own": [x.tobytes() for x in own]})
 
         # an id that repeats with another text gives a class that no pair asks for
-        return texts.select("text").mapInPandas(read, "k binary, own binary").dropDuplicates(["k"])
+        return texts.select("text").mapInPandas(read, "k long, own binary").dropDuplicates(["k"])
 
     def components(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc, n_shingles, k (the class) and component_id, one row a document."""
@@ -180,25 +193,24 @@ class JaccardJoin:
         made = materialize(self.postings(rows, self.sketch(rows.select("text"))), "shingles")
         members = made.where("member").select("doc", "k", "n")
         classes = materialize(members.where("k is not null").groupBy("k").agg(F.min("doc").alias("doc")), "classes")
-        posts = made.where("not member").select("k", "n", "token", "pos", "need").distinct()
-        # lists of one class have no pair
-        first = F.min(F.struct("pos", "n", "k"))
+        # one shuffle by token serves the lists and the join with them; lists of one class have no pair
+        posts = made.where("not member").select("token", "k", "meta").repartition("token")
+        first = F.min(F.struct(F.col("meta").bitwiseAND(0xFFFFFFF0).alias("at"), "meta", "k"))
         lists = posts.groupBy("token").agg(first.alias("first"), F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select("token", "first")
         posts = materialize(posts.join(lists, "token"), "lists")
-        near = posts.where("k <> first.k").select("k", "n", "pos", F.col("first.k").alias("k2"), F.col("first.n").alias("n2"), F.col("first.pos").alias("pos2"))
-        near = near.groupBy("k", "k2").agg(*[F.min(c).alias(c) for c in ("n", "pos", "n2", "pos2")])
-        near = materialize(near.where(self.bound("", "2")).select(F.col("k").alias("a"), F.col("k2").alias("b")), "near")
+        near = parted(posts.where("k <> first.k").select("k", "meta", F.col("first.k").alias("k2"), F.col("first.meta").alias("meta2")))
+        near = materialize(near.where(self.viable()).select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct(), "near")
         sets = self.fetch(rows, classes, near)
         links = materialize(self.verified(near, sets), "links")
         root = connected(links)
         # what is left: pairs of one list in different components, by the bounds and the number of shared tokens
-        lone = posts.join(root, "k", "left").withColumn("root", F.coalesce("root", "k")).select("token", "k", "n", "pos", "need", "root")
+        lone = posts.join(root, "k", "left").select("token", "k", "meta", F.coalesce("root", "k").alias("root"))
         mixed = lone.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("token")
-        lone = materialize(lone.join(mixed, "token"), "mixed")
-        right = lone.select("token", *[F.col(c).alias(f"{c}2") for c in ("k", "n", "pos", "need", "root")])
-        far = lone.join(right, (lone["token"] == right["token"]) & (F.col("k") < F.col("k2")) & (F.col("root") != F.col("root2")) & (self.num * F.greatest("n", "n2") <= self.den * F.least("n", "n2")))
-        far = far.groupBy("k", "k2").agg(*[F.min(c).alias(c) for c in ("n", "pos", "n2", "pos2", "need", "need2")], F.count(F.lit(1)).alias("shared"))
-        far = far.where(self.bound("", "2") & (F.col("shared") >= F.least("need", "need2"))).select(F.col("k").alias("a"), F.col("k2").alias("b"))
+        lone = materialize(parted(lone.join(mixed, "token")).drop("meta"), "mixed")
+        right = lone.select(F.col("token").alias("token2"), *[F.col(c).alias(f"{c}2") for c in ("k", "n", "pos", "need", "root")])
+        far = lone.join(right, (F.col("token") == F.col("token2")) & (F.col("k") < F.col("k2")) & (F.col("root") != F.col("root2")) & self.viable())
+        far = far.groupBy("k", "k2").agg(F.min(F.least("need", "need2")).alias("need"), F.countDistinct("token").alias("shared"))
+        far = far.where("shared >= need").select(F.col("k").alias("a"), F.col("k2").alias("b"))
         tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         far = materialize(far.join(tried, ["a", "b"], "left_anti"), "far")
         if far.limit(1).count():
@@ -222,9 +234,9 @@ class JaccardJoin:
         kept = own.where("k is not null").where(F.col("doc").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("k").alias("k"))
         size = self.shingle
 
-        @F.pandas_udf("binary")
+        @F.pandas_udf("long")
         def class_of(texts: pd.Series) -> pd.Series:
-            return pd.Series([digest(x) if len(x := shingles(t, size)) else None for t in texts], dtype=object)
+            return pd.Series([digest(x) if len(x := shingles(t, size)) else None for t in texts], dtype="Int64")
 
         marked = docs.withColumn("_k", class_of(F.col(text_col).cast("string")))
         kept = kept.select(F.col("component_id").alias("_id"), F.col("k").alias("_kept"))
@@ -232,6 +244,14 @@ class JaccardJoin:
         return stay.unionByName(marked.where("_k is null").drop("_k"))
 
 
+def parted(posts: DataFrame) -> DataFrame:
+    """meta (and meta2) parted into n, pos and need."""
+    for s in [c[4:] for c in posts.columns if c in ("meta", "meta2")]:
+        m = F.col(f"meta{s}")
+        posts = posts.withColumns({f"n{s}": F.shiftright(m, 32).cast("int"), f"pos{s}": F.shiftright(m.bitwiseAND(0xFFFFFFFF), 4).cast("int"), f"need{s}": m.bitwiseAND(15).cast("int")})
+    return posts
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(k, root) of every class with a link: the least class it reaches. Labels go along links and then jump to their labels' label."""
     spark: SparkSession = links.sparkSession
