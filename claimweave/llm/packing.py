@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.llm.common import materialize
+
 SIZES = (1024, 2048, 4096, 8192)
 #: Pieces of a shard, about; bounds a task's memory at every table size.
 SHARD = 8192
@@ -73,7 +75,8 @@ def best_fit(docs: DataFrame, length_col: str, id_col: str = "doc_id", sizes: tu
     sizes = tuple(sorted(set(sizes)))
     top = sizes[-1]
     n = F.col("n")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(length_col).cast("long").alias("n")).where("n > 0")
+    # written once and before any filter: the lengths are read again and again, and a function that gives them would run each time
+    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(length_col).cast("long").alias("n")), "lengths").where("n > 0")
     total = rows.agg(F.sum(F.ceil(n / top))).first()[0] or 0
     shards = max(1, -(-int(total) // shard))
     pieces = (
