@@ -144,11 +144,8 @@ class JaccardJoin:
         return rows.mapInPandas(post, f"member boolean, doc {rows.schema['doc'].dataType.simpleString()}, k long, n int, token long, meta long")
 
     def viable(self) -> Column:
-        """Whether a shared token at pos and pos2 can be among the first ``need`` that two linked sets share.
-
-        The j-th shared token of a pair leaves an overlap of j - 1 + min(n - pos, n2 - pos2) at most, and j is at most the smaller need.
-        """
-        most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) + F.least("need", "need2") - 1
+        """Whether a token shared at pos and pos2 can be the first that two linked sets share: min(n - pos, n2 - pos2) bounds their overlap."""
+        most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
         return (self.num * F.greatest("n", "n2") <= self.den * F.least("n", "n2")) & (most * (self.num + self.den) >= self.num * (F.col("n") + F.col("n2")))
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -209,8 +206,11 @@ class JaccardJoin:
         lone = materialize(parted(lone.join(mixed, "token")).drop("meta"), "mixed")
         right = lone.select(F.col("token").alias("token2"), *[F.col(c).alias(f"{c}2") for c in ("k", "n", "pos", "need", "root")])
         far = lone.join(right, (F.col("token") == F.col("token2")) & (F.col("k") < F.col("k2")) & (F.col("root") != F.col("root2")) & self.viable())
-        far = far.groupBy("k", "k2").agg(F.min(F.least("need", "need2")).alias("need"), F.countDistinct("token").alias("shared"))
-        far = far.where("shared >= need").select(F.col("k").alias("a"), F.col("k2").alias("b"))
+        far = far.select("k", "k2", F.least("need", "need2").alias("need")).distinct()
+        # how many prefix tokens the pair shares: a prefix is at most a share of its own set
+        heads = lone.groupBy("k").agg(F.collect_set("token").alias("tokens"))
+        far = far.join(heads, "k").join(heads.select(F.col("k").alias("k2"), F.col("tokens").alias("tokens2")), "k2")
+        far = far.where(F.size(F.array_intersect("tokens", "tokens2")) >= F.col("need")).select(F.col("k").alias("a"), F.col("k2").alias("b"))
         tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         far = materialize(far.join(tried, ["a", "b"], "left_anti"), "far")
         if far.limit(1).count():
