@@ -1,12 +1,16 @@
 """Operator 5. Language-model scores by the likelihood of the subword lattice.
 
 A text is its blank-separated words, each a lattice of all its segmentations into pieces of an existing
-vocabulary, and one end. A piece has a unigram probability; a word's probability is the sum over all its
-segmentations, by forward recursion in log space; a text's is the product of its words' and the end's. Characters
+vocabulary, and one end. A piece has a unigram probability; the spelled probability of a word is the sum over all its
+segmentations, by forward recursion in log space, with the chance that no further piece follows. Characters
 without a piece of their own go through their byte pieces, so every text has a probability above zero.
 
-The vocabulary's own scores (ranks, of which the prior 1 / (rank + 100) follows) weight the lattice at first;
-``rounds`` of expectation maximization over all training words then fit the weights to the corpus.
+A training word has one more arc, itself as a whole: P(word) = max(c - d, 0) / N + (d V / N) * P_spelled(word), c its count of N
+training tokens of V types, d = n1 / (n1 + 2 n2) the discount that words seen once and twice suggest. What is discounted is
+spelled, so all probabilities add up to one.
+
+The vocabulary's own scores (ranks, of which the prior 1 / (rank + 100) follows) weight the pieces at first;
+``rounds`` of expectation maximization over all training words, each counted once, then fit the weights to the corpus.
 
 Data flow: workers count words (training and all) within their tasks, the counts are summed by word and written to
 the shared folder. Words of more than 1/frequent of all tokens (fewer than ``frequent`` words, by that
@@ -19,25 +23,28 @@ Defined results: null counts as the empty text, which is one end; each row is sc
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from claimweave.llm.common import ascii_lower, materialize
+from claimweave.llm.common import materialize
 from claimweave.llm.tokens import MARK, default_model
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Words that a worker counts before it hands the counts on.
-FLUSH = 400_000
+#: Words that a worker counts before it hands the counts on; words that it weighs at once; tokens that it settles at once.
+FLUSH, WEIGHED, SETTLED = 300_000, 60_000, 1_000_000
 LN10 = math.log(10)
 #: Code points of the dense transition table; others take the general way.
 DENSE = 128
 NONE = -1e300
+#: The share of ends in what is spelled, for texts of no training word.
+END = 1e-3
 
 
 class Lattice:
@@ -95,6 +102,13 @@ class Lattice:
         able[[*self.ids.values(), *self.bytes.values(), self.end]] = smooth
         return self.logs(expected + able)
 
+    def spelling(self, logs: np.ndarray) -> float:
+        """What turns the sum over a word's segmentations into its probability: it starts with a mark, and then it stops."""
+        p = np.exp(logs)
+        start = sum(p[i] for t, i in self.ids.items() if t.startswith(MARK))
+        further = sum(p[i] for t, i in self.ids.items() if not t.startswith(MARK)) + sum(p[i] for i in self.bytes.values())
+        return math.log(max(1e-12, 1 - further)) - math.log(start)
+
     def groups(self, words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
         """Words of dense code points as (places, codes with the mark before), one group a length; the places of others."""
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -199,26 +213,44 @@ def lattice(model_file: str) -> Lattice:
     return _lattices[model_file]
 
 
-def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def words_of(text: str) -> list[bytes]:
+    """The words of a text, A-Z lowered: on bytes, lower() and split() know just these letters and these six blanks."""
+    return text.encode().lower().split()
+
+
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, train) to (word, train, n), summed within the task. The end of a text is the word ''."""
     held = {True: Counter(), False: Counter()}
 
-    def out() -> Iterator[pd.DataFrame]:
+    def out() -> Iterator[pa.RecordBatch]:
         for train, c in held.items():
             if c:
-                yield pd.DataFrame({"word": list(c), "train": train, "n": list(c.values())})
+                word = pa.array(list(c), type=pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([word, pa.array([train] * len(c)), pa.array(list(c.values()), type=pa.int64())], ["word", "train", "n"])
                 c.clear()
 
-    for pdf in batches:
-        for train, texts in pdf.groupby("train", sort=False)["text"]:
-            for text in texts:
-                held[train].update(WORD.findall(text))
-                held[train][""] += 1
-            if len(held[train]) > FLUSH:
+    for batch in batches:
+        for text, train in zip(batch.column("text"), batch.column("train"), strict=True):
+            c = held[train.as_py()]
+            c.update(words_of(text.as_py()))
+            c[b""] += 1
+            if len(c) > FLUSH:
                 yield from out()
     yield from out()
 
 
+def gathered(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """The same rows in larger batches."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        held.append(pdf)
+        if sum(map(len, held)) >= size:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 class SubwordLatticeModel:
     """rounds: of expectation maximization. frequent: words of more than 1/frequent of the tokens are settled where the text is."""
 
@@ -226,86 +258,115 @@ class SubwordLatticeModel:
         self.model_file, self.rounds, self.frequent = model_file or default_model(), rounds, frequent
         self.counts: DataFrame | None = None
         self.n_tokens = self.n_types = 0
+        self.discount = 0.5
         self.logs = np.zeros(0)
 
     def fit(self, docs: DataFrame, train: Column, text_col: str = "text") -> SubwordLatticeModel:
         """Counts the words of all rows and learns from those that ``train`` marks."""
-        text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         rows = docs.select(text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-        counts = rows.mapInPandas(count_words, "word string, train boolean, n long").groupBy("word")
+        counts = rows.mapInArrow(count_words, "word string, train boolean, n long").groupBy("word")
         own = F.coalesce(F.sum(F.when(F.col("train"), F.col("n"))), F.lit(0)).alias("c")
         self.counts = materialize(counts.agg(own, F.sum("n").alias("n")), "words")
-        self.n_tokens, self.n_types = (int(x or 0) for x in self.counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first())
+        seen = lambda cond: F.count(F.when(cond, 1))
+        self.n_tokens, self.n_types, once, twice = (int(x or 0) for x in self.counts.agg(F.sum("c"), seen(F.col("c") > 0), seen(F.col("c") == 1), seen(F.col("c") == 2)).first())
+        self.discount = once / (once + 2 * twice) if once and twice else 0.5
         model_file = self.model_file
         self.logs = lattice(model_file).prior()
-        ends = float(self.counts.where("word = ''").agg(F.sum("c")).first()[0] or 0)
         for _ in range(self.rounds if self.n_tokens else 0):
             logs = self.logs
 
             def expect(batches: Iterator[pd.DataFrame], logs: np.ndarray = logs) -> Iterator[pd.DataFrame]:
                 own, total = lattice(model_file), np.zeros(len(logs))
-                for pdf in batches:
-                    total += own.expect(pdf["word"].tolist(), pdf["c"].to_numpy(dtype=np.float64), logs)
+                for pdf in gathered(batches, WEIGHED):
+                    total += own.expect(pdf["word"].tolist(), np.ones(len(pdf)), logs)
                 at = np.flatnonzero(total)
                 yield pd.DataFrame({"piece": at, "n": total[at]})
 
             # one number a piece of the vocabulary comes to the driver
-            got = self.counts.where("c > 0 and word <> ''").select("word", "c").mapInPandas(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+            got = self.counts.where("c > 0 and word <> ''").select("word").mapInPandas(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
             total = np.zeros(len(logs))
             total[got["piece"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.float64)
-            total[lattice(model_file).end] = ends
             self.logs = lattice(model_file).maximize(total)
         return self
 
+    def plain(self) -> SubwordLatticeModel:
+        """The numbers alone, as they travel to the workers."""
+        own = SubwordLatticeModel(self.model_file, self.rounds, self.frequent)
+        own.n_tokens, own.n_types, own.discount = self.n_tokens, self.n_types, self.discount
+        return own
+
+    def mixed(self, spelled: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """log10 of the probabilities of words with these spelled log probabilities and training counts."""
+        n, d = max(1, self.n_tokens), self.discount
+        rest = d * self.n_types / n if self.n_tokens else 1.0
+        with np.errstate(divide="ignore"):
+            whole = np.log(np.maximum(c - d, 0) / n)
+        return np.logaddexp(whole, spelled + math.log(rest)) / LN10
+
     def score(self, docs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
         """id_cols, n_tokens, n_known, train_tokens, base_score, score for the texts that fit() has counted."""
-        n, v, logs, model_file, end = self.n_tokens, self.n_types, self.logs, self.model_file, lattice(self.model_file).end
+        n, v, logs, model_file = self.n_tokens, self.n_types, self.logs, self.model_file
+        factor = lattice(model_file).spelling(logs) + math.log(1 - END)
+        mixed = self.plain().mixed
         every = self.counts.agg(F.sum("n")).first()[0] or 0
         hot = self.counts.where((F.col("n") * self.frequent > every) & (F.col("word") != "")).toPandas()  # fewer than `frequent` words
         ends = self.counts.where("word = ''").select("c").first()
         words = hot["word"].tolist()
-        known = dict(zip(words, zip(hot["c"].astype("int64").tolist(), (lattice(model_file).score(words, logs) / LN10).tolist(), strict=True), strict=True)) if words else {}
-        end_c, end_score = int(ends[0]) if ends else 0, float(logs[end]) / LN10
-        shared = docs.sparkSession.sparkContext.broadcast(known)
-
-        def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = shared.value
-            for pdf in batches:
-                rest: dict[str, list[int]] = {}
-                heads = np.zeros((len(pdf), 4))
-                for r, text in enumerate(pdf["text"]):
-                    own = Counter(WORD.findall(text))
-                    tokens, seen, base, score = own.total() + 1, int(end_c > 0), math.log10(end_c + 1), end_score
-                    for w, k in own.items():
-                        if (x := known.get(w)) is not None:
-                            c, s = x
-                            seen += k * (c > 0)
-                            base += k * math.log10(c + 1)
-                            score += k * s
-                        elif (to := rest.get(w)) is None:
-                            rest[w] = [r, k]
-                        else:
-                            to += (r, k)
-                    heads[r] = tokens, seen, base, score
-                key = pdf["key"].to_numpy()
-                none = [None] * len(pdf)
-                yield pd.DataFrame({"word": none, "key": none, "times": none, "row": key, **{c: pdf[c] for c in id_cols}, "tokens": heads[:, 0].astype(np.int64), "seen": heads[:, 1].astype(np.int64), "base": heads[:, 2], "score": heads[:, 3]})
-                if rest:
-                    yield pd.DataFrame({"word": list(rest), "key": [key[x[::2]] for x in rest.values()], "times": [np.array(x[1::2], dtype=np.int32) for x in rest.values()], "row": None, **dict.fromkeys(id_cols), "tokens": None, "seen": None, "base": None, "score": None})
-
-        @F.pandas_udf("double")
-        def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hot_logs, hot_known = np.log10(hot["c"].to_numpy(dtype=np.float64) + 1), hot["c"].to_numpy() > 0
+        hot_scores = mixed(lattice(model_file).score(words, logs) + factor, hot["c"].to_numpy(dtype=np.float64)) if words else np.zeros(0)
+        end_c = int(ends[0]) if ends else 0
+        end_score = float(mixed(np.array([math.log(END)]), np.array([end_c]))[0])
+        shared = docs.sparkSession.sparkContext.broadcast(({w.encode(): i for i, w in enumerate(words)}, hot_logs, hot_known, hot_scores))
+        kinds = list(docs.select(*id_cols).schema)
+        schema = pa.schema([("word", pa.string()), ("key", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("row", pa.int64()), *[(f.name, to_arrow_type(f.dataType)) for f in kinds], ("tokens", pa.int64()), ("seen", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+
+        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            places, hot_logs, hot_known, hot_scores = shared.value
+            n_hot = len(places)
+            for batch in batches:
+                texts, key, at = batch.column("text"), batch.column("key").to_numpy(), 0
+                while at < len(texts):
+                    own: list[list[bytes]] = []
+                    tokens = 0
+                    while at + len(own) < len(texts) and tokens < SETTLED:
+                        own.append(words_of(texts[at + len(own)].as_py()))
+                        tokens += len(own[-1])
+                    here, size = slice(at, at + len(own)), np.array(list(map(len, own)), dtype=np.int64)
+                    at += len(own)
+                    # numbers of the words: the frequent ones first, then those of this part as they come
+                    new = dict.fromkeys(chain.from_iterable(own))
+                    number = {w: places[w] for w in places.keys() & new.keys()}
+                    for w in number:
+                        del new[w]
+                    number.update(zip(new, range(n_hot, n_hot + len(new)), strict=True))
+                    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(own)), dtype=np.int64, count=tokens)
+                    both, times = np.unique(ids * len(own) + np.repeat(np.arange(len(own)), size), return_counts=True)
+                    word, row = both // len(own), both % len(own)
+                    cut = int(np.searchsorted(word, n_hot))
+                    w, r, k = word[:cut], row[:cut], times[:cut]
+                    add = lambda x: np.bincount(r, k * x, len(own))  # noqa: E731, B023
+                    seen = add(hot_known[w]).astype(np.int64) + int(end_c > 0)
+                    none = [pa.nulls(len(own), schema.field(i).type) for i in range(3)]
+                    yield pa.RecordBatch.from_arrays([*none, pa.array(key[here]), *[batch.column(f.name)[here].cast(schema.field(f.name).type) for f in kinds], pa.array(size + 1), pa.array(seen), pa.array(add(hot_logs[w]) + math.log10(end_c + 1)), pa.array(add(hot_scores[w]) + end_score)], schema=schema)
+                    if cut < len(word):
+                        starts = np.concatenate(([0], np.flatnonzero(np.diff(word[cut:])) + 1, [len(word) - cut])).astype(np.int32)
+                        text = pa.array(list(new), type=pa.binary()).cast(pa.string())
+                        lists = [pa.ListArray.from_arrays(pa.array(starts), pa.array(v)) for v in (key[here][row[cut:]], times[cut:].astype(np.int32))]
+                        yield pa.RecordBatch.from_arrays([text, *lists, *[pa.nulls(len(text), f.type) for f in list(schema)[3:]]], schema=schema)
+
+        def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = lattice(model_file)
-            for words in batches:
-                yield pd.Series(own.score(words.tolist(), logs) / LN10)
+            for pdf in gathered(batches, WEIGHED):
+                yield pd.DataFrame({"w": pdf["word"], "c": pdf["c"], "s": mixed(own.score(pdf["word"].tolist(), logs) + factor, pdf["c"].to_numpy(dtype=np.float64))})
 
-        text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         # the numbers of the rows hold from the moment that the table below is written
         rows = docs.select(*id_cols, F.monotonically_increasing_id().alias("key"), text.alias("text"))
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*id_cols).schema)
-        made = rows.mapInPandas(settle, f"word string, key array<long>, times array<int>, row long, {kinds}, tokens long, seen long, base double, score double")
+        listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
+        made = rows.mapInArrow(settle, f"word string, key array<long>, times array<int>, row long, {listed}, tokens long, seen long, base double, score double")
         made = materialize(made, "postings")
-        weighed = self.counts.where("word <> ''").select(F.col("word").alias("w"), "c", weigh("word").alias("s"))
+        weighed = self.counts.where(F.col("word") != "").where(F.col("n") * self.frequent <= every).select("word", "c").mapInPandas(weigh, "w string, c long, s double")
         posts = made.where("word is not null").select("word", "key", "times").join(weighed, F.col("word") == F.col("w"))
         each = posts.select(F.explode(F.arrays_zip("key", "times")).alias("p"), "c", "s").select(
             F.col("p.key").alias("row"), *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in id_cols], F.lit(0).cast("long").alias("tokens"), F.when(F.col("c") > 0, F.col("p.times")).otherwise(0).cast("long").alias("seen"),

@@ -209,10 +209,15 @@ def test_lm(spark, odd):
     train = Counter(w for i, t in rows if i is not None and i % 2 == 0 for w in [*low(t), None])
     n, v, lat = train.total(), len(train), Lattice(default_model())
     want = defaultdict(list)
+    n1, n2 = (sum(c == k for c in train.values()) for k in (1, 2))
+    d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    p = np.exp(model.logs)
+    start = sum(p[i] for t, i in lat.ids.items() if t[0] == "▁")
+    spelled = lambda w: math.exp(lat.score([w], model.logs)[0]) / start * (start + p[lat.end])
     for i, t in rows:
         ws = [*low(t), None]
         base = sum(math.log10((train[w] + 1) / (n + v + 1)) for w in ws)
-        own = sum(lat.score([w], model.logs)[0] if w is not None else model.logs[lat.end] for w in ws) / math.log(10) if len(ws) < 1000 else None
+        own = sum(math.log10(max(train[w] - d, 0) / n + d * v / n * (0.001 if w is None else 0.999 * spelled(w))) for w in ws) if len(ws) < 1000 else None
         want[i].append((len(ws), sum(w in train for w in ws), n, base, own))
     for r in got:
         w = want[r["doc_id"]][0]
