@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import ascii_lower, bounded
+from claimweave.llm.common import ascii_lower, bounded, materialize
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, RAREST = 13, 2
@@ -102,7 +102,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text)).alias("words")).where("item is not null").where(F.size("words") > 0)
     by_text = items.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("phrase", F.xxhash64("words"))
     index = PositionalIndex(docs, id_col, text_col)
-    found = index.find(by_text.select("phrase", "words"), window=window)
+    # read twice below: written once, as the search passes over all documents
+    found = materialize(index.find(by_text.select("phrase", "words"), window=window), "found")
     # positions inside any window: those of one line-up first, then those of the document
     run = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s + F.col("shift"), s + F.col("shift") + F.least(F.col("n"), F.lit(window)) - 1))))
     places = found.select("doc", "hash", F.explode(run).alias("pos")).distinct().groupBy("doc", "hash").agg(F.count(F.lit(1)).alias("n_hit"))
