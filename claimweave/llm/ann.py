@@ -45,20 +45,17 @@ class InvertedFiles:
     """The postings of one block: for each pivot, the vectors that have it among their nearest, and its rank."""
 
     def __init__(self, x: np.ndarray, pivots: np.ndarray, depth: int):
-        self.n, self.depth = len(x), depth
+        self.depth = depth
         order = permutations(x, pivots, depth)
-        by = np.argsort(order, axis=None, kind="stable")
-        self.vector = (by // order.shape[1]).astype(np.int32)
-        self.rank = (by % order.shape[1]).astype(np.int32)
-        self.starts = np.searchsorted(order.ravel()[by], np.arange(len(pivots) + 1))
+        # a posting's weight is depth - rank; a vector that is not in a pivot's file weighs 0 there. A third of the places and more are
+        # taken, so each file is kept as a row of small numbers over the block's vectors
+        self.weight = np.zeros((len(pivots), len(x)), dtype=np.int16)
+        self.weight[order, np.arange(len(x))[:, None]] = depth - np.arange(order.shape[1], dtype=np.int16)
 
     def agreement(self, order: np.ndarray) -> np.ndarray:
         """Half of (largest footrule distance - footrule distance) to each vector of the block."""
-        total = np.zeros(self.n, dtype=np.int32)
-        for r, p in enumerate(order):
-            a, b = self.starts[p], self.starts[p + 1]
-            total[self.vector[a:b]] += self.depth - np.maximum(self.rank[a:b], r)
-        return total
+        mine = self.depth - np.arange(len(order), dtype=np.int16)
+        return np.minimum(self.weight[order], mine[:, None]).sum(axis=0, dtype=np.int16 if self.depth < 180 else np.int32)
 
 
 class PermutationIndex:
@@ -120,10 +117,10 @@ def search_block(d: pd.DataFrame, q: pd.DataFrame, pivots: np.ndarray, depth: in
         near = np.arange(len(x))
         if budget < len(x):
             near = np.argpartition(-files.agreement(perm), budget - 1)[:budget]
-        score = (x[near] * qv).sum(axis=1)  # row by row, so that a pair has one score wherever it is computed
+        rough = x[near] @ qv
         if len(near) > k + 1:
-            cut = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-            near, score = near[score >= cut], score[score >= cut]
+            near = near[rough >= np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1] - 1e-9 * (1 + np.abs(rough).max())]
+        score = (x[near] * qv).sum(axis=1)  # row by row, so that a pair has one score wherever it is computed
         spread = np.repeat(np.arange(len(near)), sizes[near])
         offset = np.arange(len(spread)) - np.repeat(np.cumsum(sizes[near]) - sizes[near], sizes[near])
         vid, score = ids[starts[near][spread] + offset], score[spread]
