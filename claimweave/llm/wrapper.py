@@ -3,15 +3,16 @@
 Pages become trees of block elements (label: tag with class, id and role), neighbouring list items and paragraphs folded
 into one repeated node. Trees of one host are aligned by simple tree matching (the largest order-preserving
 match of equal-labelled nodes) into one template. A text slot whose text is the same on all the pages that have it is
-template; slots that vary are content, unless they stand in a menu, header, footer, sidebar, notice, advert,
+template, where these are pages of different texts and not copies of one page; slots that vary are content, unless they stand in a menu, header, footer, sidebar, notice, advert,
 form or comment element, or are mostly links over the whole host. Where a host has article or main elements, content
 is what stands in them.
 
 Templates hold counts and one hash a slot, so they merge: each task folds its pages into one template a host (handed on
 in pieces of bounded number), partial templates of a host merge in two steps, and no page travels.
 
-Defined results: null and empty html give the empty text; a slot needs ``least`` pages before sameness makes it
-template, so lone pages and pairs of copies are judged by their elements alone, as are pages without a host; truncated
+Defined results: null and empty html give the empty text; a slot needs ``least`` pages that differ before sameness makes it
+template, so lone pages and copies of one page, however many, are judged by their elements alone, as are pages without a host;
+pages differ by their texts outside menus, headers, footers, adverts and the like; truncated
 tags and unclosed elements end with the page; repeated rows give repeated results; other columns are kept.
 """
 
@@ -25,6 +26,7 @@ from html import unescape
 from zlib import crc32
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,20 +57,21 @@ HELD = 2000
 
 
 class Node:
-    """A node of a folded page or of a template: pages that have it and, of a text slot, what its text is like."""
+    """A node of a folded page or of a template: hashes of different pages that have it (of a slot that varies none, else as many as are asked for)
+    and, of a text slot, what its text is like."""
 
-    __slots__ = ("label", "kids", "n", "mark", "varies", "chars", "links", "runs")
+    __slots__ = ("label", "kids", "pages", "mark", "varies", "chars", "links", "runs")
 
     def __init__(self, label: str):
-        self.label, self.kids, self.n, self.mark, self.varies, self.chars, self.links, self.runs = label, [], 1, 0, False, 0, 0, []
+        self.label, self.kids, self.pages, self.mark, self.varies, self.chars, self.links, self.runs = label, [], (), 0, False, 0, 0, []
 
     def pack(self) -> tuple:
-        return self.label, self.n, self.mark, self.varies, self.chars, self.links, [k.pack() for k in self.kids]
+        return self.label, self.pages, self.mark, self.varies, self.chars, self.links, [k.pack() for k in self.kids]
 
     @staticmethod
     def unpack(t: tuple) -> Node:
         node = Node(t[0])
-        _, node.n, node.mark, node.varies, node.chars, node.links, kids = t
+        _, node.pages, node.mark, node.varies, node.chars, node.links, kids = t
         node.kids = [Node.unpack(k) for k in kids]
         return node
 
@@ -233,10 +236,13 @@ def match_size(a: Node, b: Node) -> int:
     return 1 + sum(match_size(a.kids[i], b.kids[j]) for i, j in matched(a.kids, b.kids)) if a.kids and b.kids else 1
 
 
-def merge(template: Node, other: Node) -> None:
-    """Align other (a page or a partial template) into the template."""
+def merge(template: Node, other: Node, least: int) -> None:
+    """Align other (a page or a partial template) into the template, whose slots keep up to least pages that differ."""
     template.varies |= other.varies or template.mark != other.mark
-    template.n += other.n
+    if template.varies:
+        template.pages = ()
+    elif len(template.pages) < least and template.pages != other.pages:
+        template.pages = tuple(sorted({*template.pages, *other.pages})[:least])
     template.chars += other.chars
     template.links += other.links
     pairs = matched(template.kids, other.kids)
@@ -245,20 +251,20 @@ def merge(template: Node, other: Node) -> None:
         for x, y in [*pairs, (len(template.kids), len(other.kids))]:
             out += template.kids[i:x] + other.kids[j:y]
             if x < len(template.kids):
-                merge(template.kids[x], other.kids[y])
+                merge(template.kids[x], other.kids[y], least)
                 out.append(template.kids[x])
             i, j = x + 1, y + 1
         template.kids = out
     else:
         for x, y in pairs:
-            merge(template.kids[x], other.kids[y])
+            merge(template.kids[x], other.kids[y], least)
 
 
-def bare(node: Node) -> Node:
+def bare(node: Node, page: tuple[int]) -> Node:
     """Without the texts, as a template keeps it."""
-    node.runs = []
+    node.runs, node.pages = [], page
     for kid in node.kids:
-        bare(kid)
+        bare(kid, page)
     return node
 
 
@@ -268,11 +274,25 @@ def boiler(label: str) -> bool:
     return tag in BOILER_TAGS or role in BOILER_ROLES or any(w in BOILER_WORDS for w in words) and tag not in ("body", "html")
 
 
+def page_hash(page: Node) -> int:
+    """What makes two pages copies: their texts in page order, but those of menus, headers, footers, adverts and the like."""
+    found: list[tuple[int, str]] = []
+
+    def walk(node: Node) -> None:
+        if not boiler(node.label):
+            found.extend((seq, text) for seq, text, _ in node.runs)
+            for kid in node.kids:
+                walk(kid)
+
+    walk(page)
+    return xxhash.xxh3_64_intdigest("\n".join(text for _, text in sorted(found)).encode("utf-8", "surrogatepass"))
+
+
 def decide(node: Node, least: int, inside: bool = False, out: bool = False) -> tuple:
     """The template's decisions: (label, is content, stands in an article, children)."""
     out = out or boiler(node.label)
     inside = inside or re.split(r"[.#]", node.label)[0] in ("article", "main") or node.label.endswith("#main")
-    same = node.n >= least and not node.varies
+    same = len(node.pages) >= least and not node.varies
     return node.label, not (out or same or 2 * node.links > node.chars), inside and not out, [decide(k, least, inside, out) for k in node.kids]
 
 
@@ -302,7 +322,7 @@ def read(page: Node, decided: Decided) -> str:
     return "\n".join(text for _, _, text in sorted(found, key=lambda x: x[1]))
 
 
-def induce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def induce(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
     """(host, html) to (host, part, template): one partial template a host and task."""
     held: dict[str, Node] = {}
 
@@ -313,9 +333,10 @@ def induce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         for host, html in zip(pdf["host"], pdf["html"], strict=True):
-            page = bare(parse(html))
+            page = parse(html)
+            page = bare(page, (page_hash(page),))
             if host in held:
-                merge(held[host], page)
+                merge(held[host], page, least)
             else:
                 held[host] = page
         if len(held) > HELD:
@@ -324,26 +345,27 @@ def induce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out()
 
 
-def join_parts(pdf: pd.DataFrame) -> pd.DataFrame:
+def join_parts(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
     parts = sorted(pdf["template"])
     whole = Node.unpack(marshal.loads(parts[0]))
     for p in parts[1:]:
-        merge(whole, Node.unpack(marshal.loads(p)))
+        merge(whole, Node.unpack(marshal.loads(p)), least)
     return pd.DataFrame({"host": pdf["host"].iloc[:1], "part": [0], "template": [marshal.dumps(whole.pack())]})
 
 
-def templates(pages: DataFrame, html_col: str = "html", url_col: str = "url", host: Column | None = None) -> DataFrame:
+def templates(pages: DataFrame, html_col: str = "html", url_col: str = "url", host: Column | None = None, least: int = 4) -> DataFrame:
     """(host, template): the wrappers that the pages of each host induce."""
     host = host_path(F.col(url_col))[0] if host is None else host
     rows = pages.select(host.alias("host"), F.col(html_col).cast("string").alias("html")).where("html is not null and host <> ''")
     kind = "host string, part int, template binary"
-    parts = rows.mapInPandas(induce, kind).groupBy("host", "part").applyInPandas(join_parts, kind)
-    return parts.groupBy("host").applyInPandas(join_parts, kind).select("host", "template")
+    join = lambda pdf: join_parts(pdf, least)
+    parts = rows.mapInPandas(lambda batches: induce(batches, least), kind).groupBy("host", "part").applyInPandas(join, kind)
+    return parts.groupBy("host").applyInPandas(join, kind).select("host", "template")
 
 
 def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", least: int = 4) -> DataFrame:
     """pages with text and n_chars."""
-    found = materialize(templates(pages, html_col, url_col), "templates")
+    found = materialize(templates(pages, html_col, url_col, least=least), "templates")
     rows = pages.drop("text", "n_chars")
     host = host_path(F.col(url_col))[0]
     small = bounded(found, row_bytes=F.octet_length("template") + F.octet_length("host"))

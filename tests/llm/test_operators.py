@@ -140,6 +140,24 @@ def test_wrapper(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_wrapper_keeps_copies(spark):
+    """Copies of a page are no evidence of a template, alone on their host or among other pages."""
+    copy = "<nav>menu {i}</nav><article><h1>Copied</h1><p>The same story</p>{more}</article><div class='note'>House rules</div><script>track({i})</script>"
+    more = "<ul><li>Only here</li></ul><blockquote>Quoted</blockquote><table><tr><td>Cell</td></tr></table><h3>Part</h3>"
+    rows = [(i, f"http://copies.org/{i}", copy.format(i=0, more="")) for i in range(7)]
+    rows += [(10 + i, f"http://mixed.org/{i}", copy.format(i=i % 2, more=more)) for i in range(6)]
+    rows += [(20 + i, f"http://mixed.org/o{i}", f"<nav>menu</nav><article><h1>Own {i}</h1><p>Story {i}</p></article><div class='note'>House rules</div>") for i in range(6)]
+    rows += [(30 + i, f"http://plain.org/{i % 9}", f"<div><h1>Head {i % 5}</h1><p>Text {i % 5}</p></div><div>House rules</div>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in main_text(df).collect()}
+    for i in range(7):
+        assert got[i] == "Copied\nThe same story"
+    for i in range(6):
+        assert got[10 + i] == "Copied\nThe same story\nOnly here\nQuoted\nCell\nPart" and got[20 + i] == f"Own {i}\nStory {i}"
+    for i in range(20):
+        assert got[30 + i] == f"Head {i % 5}\nText {i % 5}"
+
+
 def test_wrapper_on_pages(spark):
     import html
 
