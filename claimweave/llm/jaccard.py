@@ -185,6 +185,10 @@ class JaccardJoin:
 
     def components(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc, n_shingles, k (the class) and component_id, one row a document."""
+        return self.rooted(docs, id_col, text_col).drop("root")
+
+    def rooted(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """components() with the root of each: its least class. component_id is no key, as ids may be null or repeat."""
         spark = docs.sparkSession
         rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
         made = materialize(self.postings(rows, self.sketch(rows.select("text"))), "shingles")
@@ -217,21 +221,21 @@ class JaccardJoin:
             links = materialize(links.union(self.verified(far, self.fetch(rows, classes, far))), "links")
             root = connected(links)
         best = classes.join(root, "k", "left").groupBy(F.coalesce("root", "k").alias("root")).agg(F.min("doc").alias("component_id"))
-        best = materialize(classes.select("k").join(root, "k", "left").withColumn("root", F.coalesce("root", "k")).join(materialize(best, "best"), "root").select(F.col("k").alias("b_k"), "component_id"), "best")
+        best = materialize(classes.select("k").join(root, "k", "left").withColumn("root", F.coalesce("root", "k")).join(materialize(best, "best"), "root").select(F.col("k").alias("b_k"), "root", "component_id"), "best")
         out = members.join(best, F.col("k") == F.col("b_k"), "left")
         for df in (posts, near, lone, far):
             forget(spark, df)
-        return out.select("doc", F.col("n").cast("long").alias("n_shingles"), "k", F.when(F.col("k").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
+        return out.select("doc", F.col("n").cast("long").alias("n_shingles"), "k", F.when(F.col("k").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
     def fetch(self, rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(classes, "k")
         return materialize(self.sets_of(rows, wanted), "sets")
 
     def keep_one(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """docs with one document of each component: that of the smallest id, and of its repeated rows one."""
-        own = self.components(docs, id_col, text_col)
+        """docs with one document of each component: that of the smallest id (null only where all are), of its classes the least, and of its repeated rows one."""
+        own = self.rooted(docs, id_col, text_col)
         # one (doc, k) a component; documents without shingles all stay
-        kept = own.where("k is not null").where(F.col("doc").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("k").alias("k"))
+        kept = own.where("k is not null").where(F.col("doc").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("component_id").alias("_id"), F.min("k").alias("_kept"))
         size = self.shingle
 
         @F.pandas_udf("long")
@@ -239,8 +243,7 @@ class JaccardJoin:
             return pd.Series([digest(x) if len(x := shingles(t, size)) else None for t in texts], dtype="Int64")
 
         marked = docs.withColumn("_k", class_of(F.col(text_col).cast("string")))
-        kept = kept.select(F.col("component_id").alias("_id"), F.col("k").alias("_kept"))
-        stay = marked.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_kept")), "left_semi").dropDuplicates([id_col]).drop("_k")
+        stay = marked.join(kept.select("_id", "_kept"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_kept")), "left_semi").dropDuplicates(["_k"]).drop("_k")
         return stay.unionByName(marked.where("_k is null").drop("_k"))
 
 

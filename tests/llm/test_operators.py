@@ -360,6 +360,17 @@ def test_jaccard_keeps_one(spark, odd):
     assert JaccardJoin().components(frame(spark, [])).count() == 0
 
 
+def test_jaccard_keeps_one_of_each_component(spark):
+    """Null ids and ids of several texts: texts without near duplicates all stay."""
+    text = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    rows = [(None, text(x)) for x in "abcd"] + [(None, text("a"))] + [(5, text("e")), (5, text("f")), (5, text("f")), (5, text("f") + " more")]
+    rows += [(None, text("g")), (9, text("g")), (7, text("g") + " more"), (7, text("h"))]
+    kept = [(r["doc_id"], r["text"]) for r in JaccardJoin(80, 100, 5).keep_one(frame(spark, rows)).collect()]
+    either = [x for x in kept if x in ((5, text("f")), (5, text("f") + " more"))]  # one component and one id: the least class
+    assert len(either) == 1
+    assert sorted(kept, key=str) == sorted([(None, text(x)) for x in "abcd"] + [(5, text("e")), *either, (7, text("g") + " more"), (7, text("h"))], key=str)
+
+
 # ---- 9
 
 def test_urls(spark):
