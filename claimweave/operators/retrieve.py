@@ -26,15 +26,24 @@ def top_k(scored: DataFrame, key: str, score: str, tie: str, k: int = TOP) -> Da
 
 
 def contained(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc_id): documents that hold an item's text (blanks squeezed). The item's rarest token leads to its candidates."""
-    own = items.select("item_id", text.squeeze(F.col("text")).alias("quote")).where(F.col("quote") != "")
+    """(item_id, doc_id): documents that hold an item's text (blanks squeezed). The item's rarest token leads to its candidates.
+
+    Only words with a blank of the quote on either side are whole words of a document that holds it; the first and the last can be
+    parts of longer ones. Quotes without a token between are looked for in every document, each distinct quote once.
+    """
+    words = F.split("quote", " ")
+    inner = F.concat_ws(" ", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    own = items.select("item_id", text.squeeze(F.col("text")).alias("quote")).where(F.col("quote") != "").withColumn("terms", F.array_distinct(text.tokens(inner)))
     every = docs.select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
-    asked = own.select("item_id", F.explode(F.array_distinct(text.tokens(F.slice(F.split("quote", " "), 2, 1_000_000).cast("string")))).alias("token"))
+    asked = own.select("item_id", F.explode("terms").alias("token"))
     frequency = every.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     rarest = asked.join(frequency, "token").groupBy("item_id").agg(F.min(F.struct("df", "token")).alias("r")).select("item_id", F.col("r.token").alias("token"))
     pairs = every.join(rarest, "token").select("item_id", "doc_id")
-    found = pairs.join(docs.select("doc_id", text.squeeze(F.col("text")).alias("body")), "doc_id").join(own, "item_id")
-    return found.where(F.contains("body", F.col("quote"))).select("item_id", "doc_id")
+    bodies = docs.select("doc_id", text.squeeze(F.col("text")).alias("body"))
+    found = pairs.join(bodies, "doc_id").join(own, "item_id").where(F.contains("body", F.col("quote"))).select("item_id", "doc_id")
+    bare = own.where(F.size("terms") == 0).select("item_id", "quote")
+    held = bodies.join(bare.select("quote").distinct(), F.contains("body", F.col("quote"))).select("doc_id", "quote")
+    return found.union(held.join(bare, "quote").select("item_id", "doc_id"))
 
 
 def clamp(x: Column) -> Column:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from claimweave.functions import text, text_udf
-from claimweave.operators import cluster, graph
+from claimweave.operators import cluster, graph, retrieve
 from claimweave.sources import log
 
 
@@ -49,6 +49,15 @@ def test_near_duplicates(spark):
     assert got == brute_near(rows, 0.82, 5) and got
 
 
+def test_contained_without_inner_words(spark):
+    docs = [(1, "A wonderful day, seen  from the\nhill-tops"), (2, "准确率达到了92%。其余不变"), (3, "wonder alone"), (4, "the hill"), (5, None), (6, "")]
+    quotes = ["wonder", "率达到", "ful day, seen from the hill", "the hill", "day, seen", "from the hi", "...", "a - hill", " ", None, "wonder", "seen from th", "hill"]
+    squeezed = {i: " ".join((t or "").split()) for i, t in docs}
+    want = sorted((k, i) for k, q in enumerate(quotes) for i, t in squeezed.items() if q and q.strip() and " ".join(q.split()) in t)
+    got = retrieve.contained(spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((r["item_id"], r["doc_id"]) for r in got.collect()) == want and want
+
+
 def test_components_and_closure(spark):
     rng = random.Random(3)
     pairs = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(70)] + [(100 + i, 101 + i) for i in range(20)]
