@@ -11,7 +11,7 @@ alone give the full order.
 Defined results: null, zero, ragged (another length than most vectors) and non-finite vectors take no part,
 neither as query nor as candidate; an empty table gives no rows; equal scores go to the smaller id; equal
 vectors are indexed once per block with all their ids, so copies never crowd each other out; ids that
-repeat are repeated candidates; rows with a null id take no part; other columns are ignored.
+repeat are repeated candidates; query rows that repeat (id and vector) are one query; rows with a null id take no part; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,7 +84,8 @@ class PermutationIndex:
         """query_id, rank, vec_id, score: the k nearest rows of data found for each query, its own id left out."""
         pivots, width = self.pivots, self.pivots.shape[1] if len(self.pivots) else -1
         rows = valid(data, id_col, vec_col).where(F.size("v") == width)
-        asked = valid(queries, id_col, vec_col).where(F.size("v") == width)
+        # hits are gathered by query id, so a repeated query would crowd out its own hits
+        asked = valid(queries, id_col, vec_col).where(F.size("v") == width).dropDuplicates(["id", "v"])
         blocks = max(1, math.ceil(rows.count() / self.block))
         query_blocks = max(1, math.ceil(asked.count() / self.block))
         both = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))

@@ -84,6 +84,14 @@ def test_ann_odd(spark):
     assert PermutationIndex().fit(none).search(none, none).count() == 0
 
 
+def test_ann_repeated_queries(spark):
+    df = spark.createDataFrame([(i, [1.0, i / 100]) for i in range(60)], "vec_id long, embedding array<double>")
+    q = df.where("vec_id % 20 = 0")
+    index = PermutationIndex(block=20).fit(df)
+    want = sorted(map(tuple, index.search(q, df).collect()))
+    assert sorted(map(tuple, index.search(q.union(q).union(q), df).collect())) == want and len(want) == 60
+
+
 # ---- 2
 
 def out_of_place(text, profiles, size):
