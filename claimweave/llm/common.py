@@ -31,12 +31,38 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own_folder
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df in the shared folder and read it back: cuts the lineage, and survives lost executors."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame | list[DataFrame]:
+    """Write df in the shared folder and read it back: cuts the lineage, and survives lost executors.
+
+    by: a boolean column; the rows where it is true and those where it is false become two tables without it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/claimweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if by is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    key = "spark.sql.maxConcurrentOutputFileWriters"  # both files of a task are open at once, so no task sorts its rows
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    try:
+        df.write.partitionBy(by).parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    rest, out = df.drop(by).schema, []
+    for value in ("true", "false"):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={value}")
+        there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        out.append(spark.read.schema(rest).parquet(f"{path}/{by}={value}") if there else spark.createDataFrame([], rest))
+    return out
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower()), out.append(name)
+    return out
 
 
 def forget(spark: SparkSession, df: DataFrame) -> None:

@@ -4,24 +4,25 @@ Terms are the words of a text and their beginnings of three to seven letters, ha
 beginning also that two, or four, different words of the text have it; a text has a term or not. The machine is  bias + sum w_i + sum_{i<j} <v_i, v_j>  through the logistic function, so that
 two terms together (an insult with a group mention) can weigh more, or less, than each alone.
 
+Terms are hashed for many words at once, in arrays of a bounded number of words; a worker keeps nothing from text to text.
+
 Fitting: how many labelled texts of each class have each hashed term is counted over all labelled rows; the
 ``features`` terms that tell most about the label enter the machine. Its weights are learned by AdaGrad on a bounded
-sample of labelled rows (``sample`` of each class, those of the smallest hash of their text), of which only the
+sample of labelled texts (``sample`` different ones of each class, those of the smallest hash), of which only the
 numbers of their terms come to the driver. Class weights undo the sample's other share of labels.
 
 Defined results: null and empty texts have no term and get the bias alone; texts are read whole; without labelled
-rows every score is 0; with labels of one class every score is the smoothed share of that class; rows of repeated ids
-are scored each for itself; rows whose label is null are not learned from.
+rows every score is as good as 0 (e^-50); with labels of one class every score is the smoothed share of that class; rows of repeated ids
+are scored each for itself; rows whose label is null are not learned from, and copies of a text are learned from once;
+other columns are kept, and a column called score or predicted is replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -30,60 +31,91 @@ from pyspark.sql import functions as F
 
 from claimweave.llm.common import forget, materialize
 
-WORD = re.compile(r"[^\W\d_]+")
-#: Words whose term numbers a worker remembers.
-MEMORY = 200_000
-
-
+#: Letters: A-Z, a-z and all code points from 128 on but those of the blocks of signs.
+LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+SIGNS = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u2000-\u2bff\u3000-\u303f\ufe30-\ufe4f\uff00-\uff20]")
+#: Words that are hashed at once, about.
+PART = 100_000
 #: Lengths of beginnings, and how many words with one make a term of their own.
 BEGINNINGS, LEVELS = (3, 4, 5, 6, 7), (2, 4)
-
-
-def level_term(h: int, level: int, bits: int) -> int:
-    return (h * 0x9E3779B1 + level * 0x85EBCA6B) >> 7 & (1 << bits) - 1
+_K, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def words_of(text: str | None) -> set[bytes]:
+    """The different words of a text, lower-cased."""
+    if not text:
+        return set()
+    if not (text := text.lower()).isascii():
+        text = SIGNS.sub(" ", text)
+    return set(text.encode("utf-8", "surrogatepass").translate(LETTERS).split())
+
+
+def level_term(h: np.ndarray, level: int, bits: int) -> np.ndarray:
+    return (h * np.uint64(0x9E3779B1) + np.uint64(level * 0x85EBCA6B)) >> np.uint64(7) & np.uint64((1 << bits) - 1)
+
+
+def hashes(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word its hash, and of its beginnings (word number, hash)."""
+    c = np.frombuffer(b" ".join(words).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    blanks = np.flatnonzero(c == 32)
+    starts, ends = np.concatenate(([0], blanks + 1)), np.concatenate((blanks, [len(c)]))
+    size, cut = ends - starts, np.uint64(64 - bits)
+    c = np.concatenate((c, np.full(BEGINNINGS[-1], 32, dtype=np.uint32))).astype(np.uint64)
+    h, number, found = np.full(len(words), 7, dtype=np.uint64), [], []
+    for j in range(BEGINNINGS[-1]):
+        h = (h + c[starts + j]) * _K
+        h ^= h >> np.uint64(29)
+        if j + 1 in BEGINNINGS:
+            number.append(at := np.flatnonzero(size > j + 1))
+            found.append(h[at] * _M >> cut)
+    power = np.full(int(size.max()) + 1, _K, dtype=np.uint64).cumprod()
+    place = np.arange(len(c) - BEGINNINGS[-1]) - np.repeat(starts, np.append(np.diff(starts), size[-1]))
+    c = np.where(c == 32, np.uint64(0), c)[: len(place)]
+    whole = np.add.reduceat(c * power[place], starts)
+    whole ^= whole >> np.uint64(31)
+    return whole * _M >> cut, np.concatenate(number), np.concatenate(found)
 
 
 class Terms:
-    """The numbers of the hashed terms of a text; ``among``: only these, renumbered by their place."""
+    """The hashed terms of texts; ``among``: only these, renumbered by their place."""
 
     def __init__(self, bits: int, among: np.ndarray | None = None):
-        self.bits, self.known = bits, {}
-        self.place = None if among is None else {int(h): i for i, h in enumerate(among)}
-        self.levels: dict[int, tuple[int | None, ...]] = {}
-
-    def wanted(self, h: int) -> int | None:
-        return h if self.place is None else self.place.get(h)
-
-    def of_word(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """The word's own terms, and the hashes of its beginnings that some level still needs."""
-        mask = (1 << self.bits) - 1
-        starts = tuple(crc32(b"^" + word[:n].encode()) & mask for n in BEGINNINGS if len(word) > n)
-        own = tuple(x for h in (crc32(word.encode()) & mask, *starts) if (x := self.wanted(h)) is not None)
-        return own, tuple(h for h in starts if any(x is not None for x in self.of_levels(h)))
-
-    def of_levels(self, h: int) -> tuple[int | None, ...]:
-        if (x := self.levels.get(h)) is None:
-            x = self.levels[h] = tuple(self.wanted(level_term(h, n, self.bits)) for n in LEVELS)
-        return x
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        found: set[int] = set()
-        counted: list[tuple[int, ...]] = []
-        known = self.known
-        for w in set(WORD.findall(text.lower() if text else "")):
-            if (t := known.get(w)) is None:
-                if len(known) > MEMORY:
-                    known.clear()
-                t = known[w] = self.of_word(w)
-            own, starts = t
-            if own:
-                found.update(own)
-            if starts:
-                counted.append(starts)
-        for h, n in Counter(chain.from_iterable(counted)).items():
-            if n >= LEVELS[0]:
-                found.update(x for x, least in zip(self.of_levels(h), LEVELS, strict=True) if n >= least and x is not None)
-        return np.fromiter(found, dtype=np.int64, count=len(found))
+        self.bits, self.place = bits, None
+        if among is not None:
+            every = np.arange(1 << bits, dtype=np.uint64)
+            self.place = np.full(1 << bits, -1, dtype=np.int32)
+            self.place[among] = np.arange(len(among), dtype=np.int32)
+            self.by_level = [self.place[level_term(every, n, bits)] for n in LEVELS]
+            self.counted = np.any([x >= 0 for x in self.by_level], axis=0)
+
+    def __call__(self, texts: list[str | None]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Parts of the texts, and for each the pairs (number of the text in the part, term), once each and in order."""
+        held, words, first = [], 0, 0
+        for i, text in enumerate(texts, 1):
+            held.append(own := words_of(text))
+            words += len(own)
+            if words >= PART or i == len(texts):
+                yield slice(first, i), *self.of_part(held)
+                held, words, first = [], 0, i
+
+    def of_part(self, sets: list[set[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets), dtype=np.uint64), list(map(len, sets)))
+        if not len(row):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        shift, mask = np.uint64(self.bits), np.uint64((1 << self.bits) - 1)
+        whole, number, found = hashes(list(chain.from_iterable(sets)), self.bits)
+        rows, terms = [row, row[number]], [whole, found]
+        counted = slice(None) if self.place is None else self.counted[found]
+        keys, n = np.unique(row[number][counted] << shift | found[counted], return_counts=True)
+        for k, least in enumerate(LEVELS):
+            rows.append((own := keys[n >= least]) >> shift)
+            terms.append(level_term(own & mask, least, self.bits) if self.place is None else self.by_level[k][own & mask])
+        if self.place is not None:
+            terms[:2] = [self.place[t] for t in terms[:2]]
+            kept = [t >= 0 for t in terms]
+            rows, terms = [r[k] for r, k in zip(rows, kept, strict=True)], [t[k].astype(np.uint64) for t, k in zip(terms, kept, strict=True)]
+        keys = np.unique(np.concatenate(rows) << shift | np.concatenate(terms))
+        return (keys >> shift).astype(np.int64), (keys & mask).astype(np.int64)
 
 
 def gain(a: Column, b: Column, n0: float, n1: float) -> Column:
@@ -114,9 +146,11 @@ class FactorizationMachine:
             terms, n = Terms(bits), np.zeros((1 << bits, 2), dtype=np.int64)
             total = np.zeros(2, dtype=np.int64)
             for pdf in batches:
-                for text, y in zip(pdf["text"], pdf["y"], strict=True):
-                    n[terms(text), y] += 1
-                    total[y] += 1
+                y = pdf["y"].to_numpy(dtype=np.int64)
+                total += np.bincount(y, minlength=2)
+                for part, row, term in terms(pdf["text"].tolist()):
+                    for label in (0, 1):
+                        n[:, label] += np.bincount(term[y[part][row] == label], minlength=1 << bits)
             h = np.flatnonzero(n.any(axis=1))
             yield pd.DataFrame({"h": [-1, *h], "n0": [total[0], *n[h, 0]], "n1": [total[1], *n[h, 1]]})
 
@@ -134,18 +168,24 @@ class FactorizationMachine:
 
     def drawn(self, rows: DataFrame, n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """The term numbers and labels of the sample."""
-        bits, among = self.bits, self.terms
+        bits, among, kind = self.bits, self.terms, np.uint16 if len(self.terms) <= 1 << 16 else np.uint32
 
         @F.pandas_udf("binary")
         def numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             terms = Terms(bits, among)
             for texts in batches:
-                yield texts.map(lambda t: np.sort(terms(t)).astype(np.int32).tobytes())
-
-        # texts are cut to term numbers before the heaps of the sample are filled
-        parts = [rows.where(F.col("y") == y).select(F.xxhash64("text").alias("h"), "y", numbers("text").alias("x")).orderBy("h", "x").limit(self.sample) for y in (0, 1)]
-        got = parts[0].union(parts[1]).collect()
-        return [np.frombuffer(r["x"], dtype=np.int32) for r in got], np.array([r["y"] for r in got], dtype=np.float64)
+                out = []
+                for part, row, term in terms(texts.tolist()):
+                    size = part.stop - part.start
+                    out += [x.tobytes() for x in np.split(term.astype(kind), np.searchsorted(row, np.arange(1, size)))]
+                yield pd.Series(out, dtype=object)
+
+        # hashes alone tell which texts are drawn; only these are parted into terms
+        keyed = rows.select("y", "text", F.xxhash64("text").alias("h"))
+        last = [keyed.where(F.col("y") == y).select("h").distinct().orderBy("h").limit(self.sample).agg(F.max("h")).first()[0] for y in (0, 1)]
+        drawn = keyed.where(F.col("h") <= F.when(F.col("y") == 1, last[1]).otherwise(last[0])).groupBy("y", "h").agg(F.first("text").alias("text"))
+        got = drawn.select("y", "h", numbers("text").alias("x")).orderBy("y", "h").collect()
+        return [np.frombuffer(r["x"], dtype=kind) for r in got], np.array([r["y"] for r in got], dtype=np.float64)
 
     def learn(self, xs: list[np.ndarray], y: np.ndarray, n: np.ndarray) -> None:
         rng = np.random.default_rng(self.seed)
@@ -191,14 +231,13 @@ class FactorizationMachine:
         @F.pandas_udf("double")
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             terms = Terms(bits, among)
-
-            def one(text: str | None) -> float:
-                x = np.sort(terms(text))
-                z = bias + w[x].sum() + 0.5 * ((v[x].sum(axis=0) ** 2).sum() - square[x].sum())
-                return float(1 / (1 + math.exp(-max(-50.0, min(50.0, z)))))
-
             for texts in batches:
-                yield pd.Series([one(t) for t in texts], dtype="float64")
+                z = np.zeros(len(texts))
+                for part, row, x in terms(texts.tolist()):
+                    add = lambda a, row=row, n=part.stop - part.start: np.bincount(row, a, n)
+                    total = sum(add(v[x, f]) ** 2 for f in range(v.shape[1]))
+                    z[part] = bias + add(w[x]) + 0.5 * (total - add(square[x]))
+                yield pd.Series(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
         rows = docs.drop("score", "predicted")
         return rows.withColumn("score", score(F.col(text_col).cast("string"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
