@@ -1,17 +1,20 @@
 """Operator 1. Approximate nearest neighbours by a permutation index.
 
-Each vector is represented by the order of its nearest pivots. The vectors of a block are posted in one
-inverted file per pivot (vector, rank of the pivot). A query reads the files of its own nearest pivots and
-adds up the footrule agreement; the best share of a block is reranked by the exact inner product.
+Each vector is represented by the order of its nearest pivots and posted in the inverted files of these pivots
+(vector, rank of the pivot), early ranks first. The files are kept by blocks of vectors. A query reads in each block the files of its own nearest
+pivots alone and adds up the footrule agreement of the vectors that it meets there; those of the greatest are reranked by the exact inner product.
 
 With ranks cut at ``depth`` m and an absent pivot at rank m, the footrule distance of two permutations is
 m(m+1) - 2 * sum over shared pivots of (m - max(rank_q, rank_x)), so the postings of the query's pivots
 alone give the full order.
 
+Of a block of n different vectors, share * n + spare * k are reranked, at every size of the table.
+
 Defined results: null, zero, ragged (another length than most vectors) and non-finite vectors take no part,
 neither as query nor as candidate; an empty table gives no rows; equal scores go to the smaller id; equal
 vectors are indexed once per block with all their ids, so copies never crowd each other out; ids that
-repeat are repeated candidates; query rows that repeat (id and vector) are one query; rows with a null id take no part; other columns are ignored.
+repeat are repeated candidates; query rows that repeat (id and vector) are one query, an id of several vectors is answered for each; rows with a null id take no part;
+no row of the query's own id is its neighbour; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HIT = "query_id long, vec_id long, score double"
+HIT = "query_id long, q long, vec_id long, score double"
 
 
 def valid(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -42,32 +45,32 @@ def permutations(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
 
 
 class InvertedFiles:
-    """The postings of one block: for each pivot, the vectors that have it among their nearest, and its rank."""
+    """The postings of one block: for each pivot, the vectors that have it among their nearest, by the pivot's rank."""
 
     def __init__(self, x: np.ndarray, pivots: np.ndarray, depth: int):
-        self.depth = depth
+        self.depth, self.size = depth, len(x)
         order = permutations(x, pivots, depth)
-        # a posting's weight is depth - rank; a vector that is not in a pivot's file weighs 0 there. A third of the places and more are
-        # taken, so each file is kept as a row of small numbers over the block's vectors
-        self.weight = np.zeros((len(pivots), len(x)), dtype=np.int16)
-        self.weight[order, np.arange(len(x))[:, None]] = depth - np.arange(order.shape[1], dtype=np.int16)
+        at = np.argsort((order * depth + np.arange(order.shape[1])).ravel(), kind="stable")
+        self.vector = (at // order.shape[1]).astype(np.int32)
+        self.weight = (depth - at % order.shape[1]).astype(np.float64)
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(order.ravel(), minlength=len(pivots)))))
 
     def agreement(self, order: np.ndarray) -> np.ndarray:
         """Half of (largest footrule distance - footrule distance) to each vector of the block."""
-        mine = self.depth - np.arange(len(order), dtype=np.int16)
-        return np.minimum(self.weight[order], mine[:, None]).sum(axis=0, dtype=np.int16 if self.depth < 180 else np.int32)
+        files = [slice(self.start[p], self.start[p + 1]) for p in order]
+        weight = [np.minimum(self.weight[f], self.depth - rank) for rank, f in enumerate(files)]
+        return np.bincount(np.concatenate([self.vector[f] for f in files]), np.concatenate(weight), self.size)
 
 
 class PermutationIndex:
     """fit() takes the pivots from a bounded sample; search() indexes every row, block by block.
 
     pivots: how many rows become pivots (those of the smallest hash of their vector: the bound of the sample).
-    depth: how many of its nearest pivots represent a vector. share: the part of each block that is reranked,
-    at least ``least`` vectors. block: rows of a block, which bounds a task's memory at every table size.
+    depth: how many of its nearest pivots represent a vector. share, spare: see above. block: rows of a block, which bounds a task's memory at every table size.
     """
 
-    def __init__(self, pivots: int = 256, depth: int = 96, share: float = 0.06, least: int = 1000, block: int = 4096):
-        self.n_pivots, self.depth, self.share, self.least, self.block = pivots, depth, share, least, block
+    def __init__(self, pivots: int = 512, depth: int = 64, share: float = 0.04, spare: int = 8, block: int = 4096):
+        self.n_pivots, self.depth, self.share, self.spare, self.block = pivots, depth, share, spare, block
         self.pivots = np.zeros((0, 0))
 
     def fit(self, df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> PermutationIndex:
@@ -84,48 +87,47 @@ class PermutationIndex:
         """query_id, rank, vec_id, score: the k nearest rows of data found for each query, its own id left out."""
         pivots, width = self.pivots, self.pivots.shape[1] if len(self.pivots) else -1
         rows = valid(data, id_col, vec_col).where(F.size("v") == width)
-        # hits are gathered by query id, so a repeated query would crowd out its own hits
         asked = valid(queries, id_col, vec_col).where(F.size("v") == width).dropDuplicates(["id", "v"])
         blocks = max(1, math.ceil(rows.count() / self.block))
         query_blocks = max(1, math.ceil(asked.count() / self.block))
-        both = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        both = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("id", "v"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
         left = both(rows, "db", blocks, "qb", query_blocks).withColumn("qb", F.col("qb").cast("long"))
-        right = both(asked, "qb", query_blocks, "db", blocks).withColumn("db", F.col("db").cast("long"))
-        depth, share, least = min(self.depth, max(1, len(pivots))), self.share, self.least
+        right = both(asked.withColumn("q", F.xxhash64("v")), "qb", query_blocks, "db", blocks).withColumn("db", F.col("db").cast("long"))
+        depth, share, spare = min(self.depth, max(1, len(pivots))), self.share, self.spare * k
 
         def block(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-            return search_block(d, q, pivots, depth, share, least, k)
+            return search_block(d, q, pivots, depth, share, spare, k)
 
         found = left.groupBy("db", "qb").cogroup(right.groupBy("db", "qb")).applyInPandas(block, HIT)
-        # min/max keep k rows per map task and query: what is gathered for a query is k rows a block at most
-        best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k)
-        return found.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+        # the limit on the rank is applied in each task before the shuffle too, and nothing is gathered for a query
+        rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search_block(d: pd.DataFrame, q: pd.DataFrame, pivots: np.ndarray, depth: int, share: float, least: int, k: int) -> pd.DataFrame:
+def search_block(d: pd.DataFrame, q: pd.DataFrame, pivots: np.ndarray, depth: int, share: float, spare: int, k: int) -> pd.DataFrame:
     if not len(d) or not len(q):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        return pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "q": "int64", "vec_id": "int64", "score": "float64"})
     x, where = np.unique(np.stack(d["v"].to_numpy()).astype(np.float64), axis=0, return_inverse=True)
+    every = np.sort(d["id"].to_numpy())
     order = np.lexsort((d["id"].to_numpy(), where.ravel()))
     ids, starts = d["id"].to_numpy()[order], np.searchsorted(where.ravel()[order], np.arange(len(x) + 1))
-    # of the copies of one vector, only the k + 1 smallest ids can be among the nearest
-    sizes = np.minimum(np.diff(starts), k + 1)
     files = InvertedFiles(x, pivots, depth)
-    budget = min(len(x), max(least, math.ceil(share * len(x))))
+    budget = min(len(x), math.ceil(share * len(x)) + spare)
     asked = np.stack(q["v"].to_numpy()).astype(np.float64)
-    out_q, out_v, out_s = [], [], []
-    for qid, qv, perm in zip(q["id"].to_numpy(), asked, permutations(asked, pivots, depth), strict=True):
-        near = np.arange(len(x))
-        if budget < len(x):
-            near = np.argpartition(-files.agreement(perm), budget - 1)[:budget]
+    out = []
+    for qid, qh, qv, perm in zip(q["id"].to_numpy(), q["q"].to_numpy(), asked, permutations(asked, pivots, depth), strict=True):
+        near = np.argpartition(-files.agreement(perm), budget - 1)[:budget]
+        # of the copies of one vector, the k smallest other ids can be among the nearest; rows of the query's own id come on top
+        own = np.searchsorted(every, qid, "right") - np.searchsorted(every, qid)
         rough = x[near] @ qv
-        if len(near) > k + 1:
-            near = near[rough >= np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1] - 1e-9 * (1 + np.abs(rough).max())]
+        if len(near) > k + own:
+            near = near[rough >= np.partition(rough, len(rough) - k - own)[len(rough) - k - own] - 1e-9 * (1 + np.abs(rough).max())]
         score = (x[near] * qv).sum(axis=1)  # row by row, so that a pair has one score wherever it is computed
-        spread = np.repeat(np.arange(len(near)), sizes[near])
-        offset = np.arange(len(spread)) - np.repeat(np.cumsum(sizes[near]) - sizes[near], sizes[near])
+        sizes = np.minimum(np.diff(starts)[near], k + own)
+        spread = np.repeat(np.arange(len(near)), sizes)
+        offset = np.arange(len(spread)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         vid, score = ids[starts[near][spread] + offset], score[spread]
-        vid, score = vid[(own := vid != qid)], score[own]
+        vid, score = vid[(other := vid != qid)], score[other]
         top = np.lexsort((vid, -score))[:k]
-        out_q.append(np.full(len(top), qid)), out_v.append(vid[top]), out_s.append(score[top])
-    return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
+        out.append(pd.DataFrame({"query_id": qid, "q": qh, "vec_id": vid[top], "score": score[top]}))
+    return pd.concat(out, ignore_index=True)

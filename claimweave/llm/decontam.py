@@ -11,7 +11,7 @@ intermediate results are sets, so that repeated rows, ids and items change nothi
 
 Defined results: null and wordless texts have no words, no hits and are not contaminated; items without words
 or without an id take no part; without items every document is clean; items of one id and several texts count as one
-item; each input row has one result row.
+item; each input row has one result row; other columns are kept, whatever their names, and columns called as a result are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import ascii_lower, bounded, materialize
+from claimweave.llm.common import ascii_lower, bounded, fresh, materialize
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, RAREST = 13, 2
@@ -38,8 +38,8 @@ class PositionalIndex:
     """documents: (doc, hash, words) of the training side. phrases: (phrase, words) to be found in them."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-        text = F.col(text_col).cast("string")
-        self.docs = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("hash"), text.alias("text")).withColumn("words", words_of(F.col("text")))
+        text = F.col(f"`{text_col}`").cast("string")
+        self.docs = docs.select(F.col(f"`{id_col}`").alias("doc"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("hash"), text.alias("text")).withColumn("words", words_of(F.col("text")))
 
     def frequencies(self, terms: DataFrame) -> DataFrame:
         """(term, df) of those terms that some document has."""
@@ -99,7 +99,7 @@ class PositionalIndex:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = 20) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words)."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text)).alias("words")).where("item is not null").where(F.size("words") > 0)
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), words_of(F.col(f"`{item_text}`")).alias("words")).where("item is not null").where(F.size("words") > 0)
     by_text = items.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("phrase", F.xxhash64("words"))
     index = PositionalIndex(docs, id_col, text_col)
     # read twice below: written once, as the search passes over all documents
@@ -110,14 +110,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     names = by_text.select("phrase", "items")
     own = found.select("doc", "hash", "phrase").distinct().join(broadcast_if(names, F.size("items") * 24 + 64), "phrase")
     own = own.groupBy("doc", "hash").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    both = places.alias("p").join(own.alias("o"), F.col("p.doc").eqNullSafe(F.col("o.doc")) & (F.col("p.hash") == F.col("o.hash"))).select(F.col("p.doc").alias("h_doc"), F.col("p.hash").alias("h_hash"), "n_hit", "items")
-    rows = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated").withColumn("_hash", F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0)))
-    joined = rows.join(both, F.col(id_col).eqNullSafe(F.col("h_doc")) & (F.col("_hash") == F.col("h_hash")), "left")
-    listed = F.coalesce("items", F.array().cast("array<string>"))
-    hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    rows = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    own_hash, h_doc, h_hash, h_n, h_items = fresh(rows, "hash", "h_doc", "h_hash", "h_n", "h_items")
+    both = places.alias("p").join(own.alias("o"), F.col("p.doc").eqNullSafe(F.col("o.doc")) & (F.col("p.hash") == F.col("o.hash")))
+    both = both.select(F.col("p.doc").alias(h_doc), F.col("p.hash").alias(h_hash), F.col("n_hit").alias(h_n), F.col("items").alias(h_items))
+    text = F.col(f"`{text_col}`")
+    rows = rows.withColumn(own_hash, F.coalesce(F.xxhash64(text.cast("string")), F.lit(0)))
+    joined = rows.join(both, F.col(f"`{id_col}`").eqNullSafe(F.col(h_doc)) & (F.col(own_hash) == F.col(h_hash)), "left")
+    listed = F.coalesce(h_items, F.array().cast("array<string>"))
     return (
-        joined.withColumn("n_words", F.size(words_of(F.col(text_col))).cast("long")).withColumn("n_hit", hit)
+        joined.withColumn("n_words", F.size(words_of(text)).cast("long")).withColumn("n_hit", F.coalesce(h_n, F.lit(0)).cast("long"))
         .withColumn("n_items", F.size(listed).cast("long")).withColumn("items_sha256", F.sha2(F.array_join(listed, ","), 256))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
-        .drop("_hash", "h_doc", "h_hash", "items")
+        .drop(own_hash, h_doc, h_hash, h_n, h_items)
     )

@@ -3,32 +3,35 @@
 A profile is the list of a language's most frequent letter n-grams (one to three letters, words padded by a
 blank), by rank. A document's own most frequent n-grams are compared with each profile: every n-gram adds the
 difference of its ranks, or the profile's length where the profile lacks it (out-of-place distance). The
-language of the smallest distance wins.
+language of the smallest distance wins. ``distance`` is that distance as a share of the largest that a text of at least
+``SHORT`` n-grams can have, so that a short text, which tells little, is never far.
 
 N-grams are packed exactly into 64-bit integers (21 bits a code point), counted with sorted arrays; per task
 and language only counts leave a worker, in pieces of bounded size.
 
 Defined results: a text that is null or has no letter gives ``und`` and score 0; equal distances go to the
 smaller language name; with no profiles at all (no training rows) every document is ``und``; rows with a null
-language are not learned from but are predicted; repeated rows give repeated results; whole texts are read.
+language are not learned from but are predicted; repeated rows give repeated results; whole texts are read; other columns are
+kept, and columns called lang_pred, score or distance are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import forget, materialize
+from claimweave.llm.common import forget, fresh, materialize
 
 UNKNOWN = "und"
 BLANK = 32
 #: Counts that a worker holds for a language before it hands them on.
 FLUSH = 400_000
+#: N-grams that a text must have for a distance near 1.
+SHORT = 50
 
 _letter: np.ndarray | None = None
 
@@ -97,28 +100,26 @@ class RankOrderProfiles:
         rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
         counts = rows.mapInPandas(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         counts = materialize(counts, "grams")
-        langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-        # each language's top is a bounded heap in every task, merged by Spark
-        tops = [counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(self.size) for lang in langs]
-        self.profiles = {lang: [] for lang in langs}
-        if tops:
-            for r in reduce(DataFrame.union, tops).orderBy("lang", F.desc("n"), "gram").collect():
-                self.profiles[r["lang"]].append(r["gram"])
+        # one plan for all languages: the limit on the rank is applied in each task before the shuffle too
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+        tops = counts.withColumn("rank", rank).where(F.col("rank") <= self.size).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "gram"))).alias("top"))
+        self.profiles = {r["lang"]: [x["gram"] for x in r["top"]] for r in tops.orderBy("lang").collect()}
         forget(docs.sparkSession, counts)
         return self
 
     def predict(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """docs with lang_pred and score. score: how much nearer the best profile is than the second (0 to 1)."""
+        """docs with lang_pred, score and distance (null without a profile or a letter). score: how much nearer the best profile is than the second (0 to 1)."""
         profiles, size = self.profiles, self.size
 
-        @F.pandas_udf("lang_pred string, score double")
+        @F.pandas_udf("lang_pred string, score double, distance double")
         def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             judge = Judge(profiles, size)
             for texts in batches:
-                yield pd.DataFrame([judge(t) for t in texts], columns=["lang_pred", "score"])
+                yield pd.DataFrame([judge(t) for t in texts], columns=["lang_pred", "score", "distance"])
 
-        rows = docs.drop("lang_pred", "score", "_p")
-        return rows.withColumn("_p", predict(F.col(text_col).cast("string"))).select(*[F.col(f"`{c}`") for c in rows.columns], "_p.lang_pred", "_p.score")
+        rows = docs.drop("lang_pred", "score", "distance")
+        (told,) = fresh(rows, "told")
+        return rows.withColumn(told, predict(F.col(f"`{text_col}`").cast("string"))).select(*[F.col(f"`{c}`") for c in rows.columns], f"{told}.lang_pred", f"{told}.score", f"{told}.distance")
 
 
 class Judge:
@@ -130,9 +131,9 @@ class Judge:
             order = np.argsort(keys)
             self.tables.append((keys[order], order))
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
+    def __call__(self, text: str | None) -> tuple[str, float, float | None]:
         if text is None or not self.langs or not len(g := grams(text)):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, None
         mine = ranked(*np.unique(g, return_counts=True), self.size)
         far = []
         for keys, rank in self.tables:
@@ -140,4 +141,4 @@ class Judge:
             far.append(int(np.where(keys[at] == mine, np.abs(rank[at] - np.arange(len(mine))), self.size).sum()))
         best = min(range(len(far)), key=lambda i: (far[i], self.langs[i]))
         rest = min((d for i, d in enumerate(far) if i != best), default=self.size * len(mine))
-        return self.langs[best], (rest - far[best]) / rest if rest else 0.0
+        return self.langs[best], (rest - far[best]) / rest if rest else 0.0, far[best] / (self.size * max(SHORT, len(mine)))

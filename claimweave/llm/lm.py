@@ -17,7 +17,8 @@ the shared folder. Words of more than 1/frequent of all tokens (fewer than ``fre
 definition) are broadcast and settled where the text is read; each other word goes with the rows that have it,
 word by word as one list a batch, to its count and its lattice score.
 
-Defined results: null counts as the empty text, which is one end; each row is scored for itself, repeated ids too; no training rows leave all counts 0 and the prior weights.
+Defined results: null counts as the empty text, which is one end; each row is scored for itself, repeated ids too; no training rows leave all counts 0 and the prior weights;
+id columns may have any names, but one called as a result is left out.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ DENSE = 128
 NONE = -1e300
 #: The share of ends in what is spelled, for texts of no training word.
 END = 1e-3
+RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 class Lattice:
@@ -263,7 +265,7 @@ class SubwordLatticeModel:
 
     def fit(self, docs: DataFrame, train: Column, text_col: str = "text") -> SubwordLatticeModel:
         """Counts the words of all rows and learns from those that ``train`` marks."""
-        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
         rows = docs.select(text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
         counts = rows.mapInArrow(count_words, "word string, train boolean, n long").groupBy("word")
         own = F.coalesce(F.sum(F.when(F.col("train"), F.col("n"))), F.lit(0)).alias("c")
@@ -306,6 +308,9 @@ class SubwordLatticeModel:
 
     def score(self, docs: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
         """id_cols, n_tokens, n_known, train_tokens, base_score, score for the texts that fit() has counted."""
+        names = [c for c in id_cols if c.lower() not in RESULTS]
+        id_cols = [f"id{i}" for i in range(len(names))]
+        docs = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, id_cols, strict=True)], F.col(f"`{text_col}`").alias("text"))
         n, v, logs, model_file = self.n_tokens, self.n_types, self.logs, self.model_file
         factor = lattice(model_file).spelling(logs) + math.log(1 - END)
         mixed = self.plain().mixed
@@ -360,7 +365,7 @@ class SubwordLatticeModel:
             for pdf in gathered(batches, WEIGHED):
                 yield pd.DataFrame({"w": pdf["word"], "c": pdf["c"], "s": mixed(own.score(pdf["word"].tolist(), logs) + factor, pdf["c"].to_numpy(dtype=np.float64))})
 
-        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         # the numbers of the rows hold from the moment that the table below is written
         rows = docs.select(*id_cols, F.monotonically_increasing_id().alias("key"), text.alias("text"))
         listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
@@ -374,5 +379,5 @@ class SubwordLatticeModel:
         heads = made.where("row is not null").select("row", *id_cols, "tokens", "seen", "base", "score")
         sums = each.unionByName(heads).groupBy("row").agg(*[F.max(c).alias(c) for c in id_cols], *[F.sum(c).alias(c) for c in ("tokens", "seen", "base", "score")])
         return sums.select(
-            *id_cols, F.col("tokens").alias("n_tokens"), F.col("seen").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+            *[F.col(i).alias(c) for c, i in zip(names, id_cols, strict=True)], F.col("tokens").alias("n_tokens"), F.col("seen").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
             (F.col("base") - F.col("tokens") * math.log10(n + v + 1)).alias("base_score"), "score")

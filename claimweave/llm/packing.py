@@ -8,7 +8,8 @@ and each single size, raised where a piece needs more), every bin is then downsi
 and the packing of least total cost is kept.
 
 Defined results: documents of zero or null length are not packed and do not appear; ties go to the
-older bin and the smaller (id, piece); repeated ids are packed as often as they occur; an empty table gives no rows.
+older bin and the smaller (id, piece); repeated ids are packed as often as they occur, and repeats of one id and length are numbered and dealt to
+different shards; a null id is packed as such; other columns play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -76,23 +77,25 @@ def best_fit(docs: DataFrame, length_col: str, id_col: str = "doc_id", sizes: tu
     top = sizes[-1]
     n = F.col("n")
     # written once and before any filter: the lengths are read again and again, and a function that gives them would run each time
-    rows = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(length_col).cast("long").alias("n")), "lengths").where("n > 0")
+    rows = materialize(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{length_col}`").cast("long").alias("n")), "lengths").where("n > 0")
     total = rows.agg(F.sum(F.ceil(n / top))).first()[0] or 0
+    rows = rows.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("times")).select("doc_id", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
     shards = max(1, -(-int(total) // shard))
     pieces = (
         rows.withColumn("n_pieces", F.ceil(n / top).cast("int"))
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
         .withColumn("start", F.col("piece").cast("long") * top)
         .withColumn("length", F.least(F.lit(top), n - F.col("start")).cast("int"))
-        # copies of one id are dealt apart by their length only; a piece number parts the pieces of a long document
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
+        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length", "copy"), F.lit(shards)))
     )
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.iloc[np.lexsort((pdf["piece"], pdf["doc_id"].fillna(-1), -pdf["length"]))].reset_index(drop=True)
+        pdf = pdf.iloc[np.lexsort((pdf["piece"], pdf["id"], pdf["known"], -pdf["length"]))].reset_index(drop=True)
+        pdf["doc_id"] = pd.arrays.IntegerArray(pdf["id"].to_numpy(dtype=np.int64), ~pdf["known"].to_numpy(dtype=bool))
         bin_of, size, filled = pack(pdf["length"].to_numpy(dtype=np.int64), sizes)
         pdf = pdf.assign(bin=bin_of, size=size[bin_of], filled=filled[bin_of])
         pdf["offset"] = pdf.groupby("bin")["length"].cumsum() - pdf["length"]
         return pdf[[c.split()[0] for c in PLACED.split(", ")]]
 
-    return pieces.select("shard", "doc_id", "piece", "n_pieces", "start", "length").groupBy("shard").applyInPandas(one, PLACED)
+    # a null id travels beside the others, which would else become floating
+    return pieces.select("shard", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNotNull().alias("known"), "piece", "n_pieces", "start", "length").groupBy("shard").applyInPandas(one, PLACED)

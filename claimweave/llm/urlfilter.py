@@ -8,7 +8,8 @@ Host and path are exactly what stands in the URL: ports, user names and trailing
 path starts with no rule's path but an empty one.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and no rule; repeated rows give
-repeated results; rules with a null host or path take no part; without rules every verdict is the default.
+repeated results; rules with a null host or path take no part; without rules every verdict is the default; other columns
+are kept, whatever their names, and columns called host, path, rule or verdict are replaced (the URL's own column may have such a name).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import ascii_lower, bounded
+from claimweave.llm.common import ascii_lower, bounded, fresh
 
 #: Parts that a hot expression is dealt to where the rules are too many to broadcast.
 SALT = 16
@@ -40,8 +41,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         .withColumn("full", digest).withColumn("short", F.substring("full", 1, 8))
     )
     lengths = [r[0] for r in rules.select(F.length("x_path").alias("n")).distinct().orderBy("n").collect()]  # path lengths: some hundreds
-    host, path = host_path(F.col(url_col))
-    rows = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
+    host, path = host_path(F.col(f"`{url_col}`"))
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    rows = pages.select(*kept, host.alias("host"), path.alias("path"))
     if not lengths:
         return rows.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     labels = F.split("host", r"\.")
@@ -61,7 +63,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     r = rules.select(*keys, F.col("full").alias("r_full"), "v")
     hits = expressions.join(F.broadcast(r) if small else r, keys).where("full = r_full")
     weight = F.struct(F.length("x_host") + F.length("x_path"), F.length("x_host"), "v", "x_host", "x_path")
-    best = hits.groupBy("host", "path").agg(F.max(weight).alias("b")).select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), F.concat("b.x_host", "b.x_path").alias("rule"), F.col("b.v").alias("verdict"))
+    b_host, b_path = fresh(rows, "b_host", "b_path")
+    best = hits.groupBy("host", "path").agg(F.max(weight).alias("b")).select(F.col("host").alias(b_host), F.col("path").alias(b_path), F.concat("b.x_host", "b.x_path").alias("rule"), F.col("b.v").alias("verdict"))
     # a hot URL's pages are split by Spark's own treatment of skewed joins, as no aggregation stands on this join
-    on = (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path"))
-    return rows.join(best, on, "left").withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop("b_host", "b_path")
+    on = (F.col("host") == F.col(b_host)) & (F.col("path") == F.col(b_path))
+    return rows.join(best, on, "left").withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop(b_host, b_path)

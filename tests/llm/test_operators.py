@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimweave.llm.ann import PermutationIndex
+from claimweave.llm.ann import InvertedFiles, PermutationIndex, permutations
 from claimweave.llm.decontam import PositionalIndex, decontaminate
 from claimweave.llm.jaccard import JaccardJoin
 from claimweave.llm.langid import RankOrderProfiles
@@ -20,7 +20,7 @@ from claimweave.llm.lm import Lattice, SubwordLatticeModel
 from claimweave.llm.packing import SIZES, best_fit, cost
 from claimweave.llm.queries import op1_permutation_ann
 from claimweave.llm.tokens import default_model, token_counts
-from claimweave.llm.toxicity import FactorizationMachine
+from claimweave.llm.toxicity import FactorizationMachine, hashes, level_term
 from claimweave.llm.urlfilter import url_filter
 from claimweave.llm.wrapper import main_text
 from tests.support import SF
@@ -63,7 +63,7 @@ def test_ann_recall_where_the_index_prunes(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     q = df.where("vec_id % 60 = 39")
     found = defaultdict(set)
-    for r in PermutationIndex(block=3000, least=200).fit(df).search(q, df, 10).collect():
+    for r in PermutationIndex(block=3000).fit(df).search(q, df, 10).collect():
         found[r["query_id"]].add(r["vec_id"])
     hits = total = 0
     for i in found:
@@ -92,6 +92,33 @@ def test_ann_repeated_queries(spark):
     assert sorted(map(tuple, index.search(q.union(q).union(q), df).collect())) == want and len(want) == 60
 
 
+def test_ann_reranks_few():
+    """At the defaults, on even directions, under a tenth of a full block is reranked, and nine tenths of the nearest are among it."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((4096, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index, hits = PermutationIndex(), 0
+    budget, pivots = math.ceil(index.share * 4096) + index.spare * 20, x[: index.n_pivots]
+    files, orders = InvertedFiles(x, pivots, index.depth), permutations(x, pivots, index.depth)
+    for i in range(100):
+        agreement = files.agreement(orders[i])
+        weight = np.zeros((2, 512), dtype=np.int64)
+        weight[0, orders[i]] = weight[1, orders[i + 1]] = 64 - np.arange(64)
+        assert agreement[i + 1] == weight.min(axis=0).sum() and agreement[i] == agreement.max()
+        near = set(np.argsort(-agreement)[:budget].tolist())
+        hits += len(near & set(np.argsort(-(x @ x[i]))[1:21].tolist()))
+    assert budget < 0.1 * 4096 and hits >= 0.9 * 20 * 100
+
+
+def test_ann_ids_that_repeat(spark):
+    """Rows of the query's own id hide no other copy; an id of two vectors is answered for each."""
+    rows = [(20, [1.0, 0.0])] * 40 + [(i, [1.0, 0.0]) for i in range(1, 8)] + [(40, [1.0, 0.0]), (40, [0.0, 1.0]), (9, [0.5, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in PermutationIndex().fit(df).search(df.where("vec_id in (20, 40)"), df, 4).collect()]
+    assert sorted(x for x in got if x[0] == 20) == [(20, k, k) for k in (1, 2, 3, 4)]
+    assert sorted(x for x in got if x[0] == 40) == sorted([(40, k, k) for k in (1, 2, 3, 4)] + [(40, 1, 9)] + [(40, k + 1, k) for k in (1, 2, 3)])
+
+
 # ---- 2
 
 def out_of_place(text, profiles, size):
@@ -133,6 +160,34 @@ def test_language_odd(spark, odd):
     assert {r["lang_pred"] for r in RankOrderProfiles().fit(docs.where("false")).predict(docs).collect()} == {"und"}
 
 
+def test_language_distance(spark):
+    """What is in a learned language is near, letters at random are far, and a short text is never far."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(8)
+    noise = " ".join("".join(rng.choice("qxzwkjvğωжю") for _ in range(9)) for _ in range(300))
+    more = spark.createDataFrame([(-1, noise, None), (-2, "Zq xw", None)], docs.schema)
+    got = {r["doc_id"]: r for r in RankOrderProfiles().fit(docs).predict(docs.union(more)).collect()}
+    assert got[-1]["distance"] > 0.95 and got[-2]["distance"] < 0.6
+    assert all(r["distance"] < 0.7 for i, r in got.items() if i >= 0 and r["distance"] is not None)
+
+
+def test_clashing_names(spark):
+    """Columns of any name that the operators use inside stay as they are."""
+    names = ["told", "_told", "hash", "h_doc", "h_hash", "h_n", "h_items", "items", "_hash", "_p", "b_host", "b_path", "x_host", "x_path", "full", "short", "salt", "v", "id", "odd", "class", "kept_id", "kept_class", "_id", "_k", "_kept",
+             "base", "tokens", "seen", "row", "key", "word", "times", "doc", "k", "n", "root", "token", "meta", "path_", "of", "template", "page", "a.b", "id0", "q", "db", "qb"]
+    rows = [(i, t, u, *names) for i, t, u in [(1, "one of many words here", "http://a.com/x"), (2, "one of many words here", "http://a.com/y"), (3, "two", None), (None, None, "http://b.net/es/")]]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "url", *names])
+    same = lambda df, n=4: df.count() == n and all(tuple(r) == tuple(names) for r in df.select(*[F.col(f"`{c}`") for c in names]).collect())
+    assert same(RankOrderProfiles().fit(docs, lang_col="doc").predict(docs))
+    assert same(decontaminate(docs, docs, item_col="doc_id"))
+    assert same(url_filter(docs, spark.createDataFrame([("com", "/", "allow")], "host string, path string, verdict string")))
+    assert same(JaccardJoin(80, 100, 5).keep_one(docs), 3)
+    assert same(token_counts(docs)) and same(main_text(docs, html_col="text"))
+    assert same(FactorizationMachine().fit(docs.withColumn("toxic", F.col("doc_id") % 2)).predict(docs))
+    assert same(SubwordLatticeModel().fit(docs, train=F.lit(True)).score(docs, ["doc_id", *names]))
+    assert best_fit(docs.withColumn("length", F.length("text")), "length").count() == 3
+
+
 # ---- 3
 
 PAGE = '<html><head><title>t</title><style>p{{}}</style></head><body><div class="top">Site name</div><nav><ul><li><a href="/{i}">link {i}</a></li></ul></nav><div class="body"><h1>Title {i}</h1><p>First &amp; {i} <b>bold<br>line</b><p>Second&nbsp;{i}</div><div class="note">Always the same words</div><div class="comments"><p>Reader {i} says</p></div><form>Sign {i}</form><footer>&copy; {i}</footer>'
@@ -269,6 +324,28 @@ def test_toxicity_learns_pairs(spark):
     assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.97 * len(got)
 
 
+def test_toxicity_against_explicit_pairs(spark):
+    """The score is the logistic function of bias, weights and the sum over all pairs of a text's terms, found one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    model = FactorizationMachine(features=200).fit(docs.join(labels, "doc_id"))
+    place = {int(h): i for i, h in enumerate(model.terms)}
+    one = lambda b: hashes([b], model.bits)
+    for r in model.predict(docs.orderBy("doc_id").limit(60)).collect():
+        words = {w for w in re.findall(r"[^\W\d_]+", (r["text"] or "").lower())}
+        found, starts = set(), Counter()
+        for w in words:
+            whole, _, own = one(w.encode())
+            found.update([int(whole[0]), *map(int, own)])
+            assert len(own) == sum(len(w) > n for n in (3, 4, 5, 6, 7))
+            starts.update(map(int, own))
+        for h, n in starts.items():
+            found.update(int(level_term(np.uint64(h), least, model.bits)) for least in (2, 4) if n >= least)
+        x = sorted(place[h] for h in found if h in place)
+        z = model.bias + sum(model.w[i] for i in x) + sum(float(model.v[i] @ model.v[j]) for k, i in enumerate(x) for j in x[:k])
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-max(-50, min(50, z)))), rel_tol=1e-9)
+
+
 def test_toxicity_odd(spark, odd):
     docs = frame(spark, odd)
     blank = FactorizationMachine().fit(docs.withColumn("toxic", F.lit(None).cast("int")))
@@ -421,3 +498,44 @@ def test_packing(spark):
         total += cost(rows[0]["size"])
     assert total < 1.12 * sum(n * cost(1024) / 1024 for n in want.values()) * 1.2
     assert best_fit(spark.createDataFrame([], "doc_id long, n long"), "n").count() == 0
+
+
+def brute_pack(lengths, sizes):
+    """The cheapest of the opening policies, each by a walk over all open bins for the one of least room."""
+    best = None
+    for opening in (None, *sizes):
+        bins = []  # [room, contents]
+        for n in lengths:
+            able = [b for b in bins if b[0] >= n]
+            if able:
+                b = min(able, key=lambda b: b[0])
+            else:
+                fit = [s for s in sizes if s >= n]
+                size = min(fit, key=lambda s: (cost(s) / (s // n * n), s)) if opening is None else next((s for s in fit if s >= opening), fit[-1])
+                bins.append(b := [size, []])
+            b[0] -= n
+            b[1].append(n)
+        packed = sorted(tuple(b[1]) for b in bins)
+        total = sum(cost(min(s for s in sizes if s >= sum(p))) for p in packed)
+        if best is None or total < best[0]:
+            best = total, packed
+    return best[1]
+
+
+def test_packing_is_best_fit(spark):
+    rng = random.Random(10)
+    for trial in range(3):
+        lengths = [rng.randint(1, [300, 1500, 8192][trial]) for _ in range(250)]
+        bins = defaultdict(list)
+        for r in best_fit(spark.createDataFrame([(None if i == 9 else i, n) for i, n in enumerate(lengths)], "doc_id long, n long"), "n").collect():
+            bins[r["shard"], r["bin"]].append(r["length"])
+        assert sorted(tuple(sorted(b, reverse=True)) for b in bins.values()) == brute_pack(sorted(lengths, reverse=True), SIZES)
+
+
+def test_packing_deals_repeats(spark):
+    """Very many rows of one id and length go to different shards; large ids beside a null one stay exact."""
+    big = (1 << 60) + 1
+    got = best_fit(spark.createDataFrame([(7, 100)] * 2000 + [(None, 100), (big, 100)], "doc_id long, n long"), "n", shard=200).collect()
+    shards = Counter(r["shard"] for r in got)
+    assert len(got) == 2002 and len(shards) == 11 and max(shards.values()) < 300
+    assert {r["doc_id"] for r in got} == {7, None, big}
