@@ -1,36 +1,40 @@
 """Operator 3. Main text of web pages by wrapper induction.
 
-Pages become trees of block elements (label: tag with class, id and role), neighbouring list items and paragraphs folded
-into one repeated node. Trees of one host are aligned by simple tree matching (the largest order-preserving
-match of equal-labelled nodes) into one template. A text slot whose text is the same on all the pages that have it is
-template, where these are pages of different texts and not copies of one page; slots that vary are content, unless they stand in a menu, header, footer, sidebar, notice, advert,
-form or comment element, or are mostly links over the whole host. Where a host has article or main elements, content
-is what stands in them.
-
-Templates hold counts and one hash a slot, so they merge: each task folds its pages into one template a host (handed on
-in pieces of bounded number), partial templates of a host merge in two steps, and no page travels.
-
-Defined results: null and empty html give the empty text; a slot needs ``least`` pages that differ before sameness makes it
-template, so lone pages and copies of one page, however many, are judged by their elements alone, as are pages without a host;
+Pages become trees of block elements (label: tag with class, id and role). Paragraphs, list items and the like of one element are one
+repeated node, as are long runs of neighbours of one label (records of a list). Each host has a reference tree, a page of the shape of the most different pages,
+and every page is aligned with it by simple tree matching (the largest order-preserving
+match of equal-labelled nodes, a node of equal text counting twice); what has no counterpart is known by its path below the last node that has one. A slot is a node with text. A slot
+that ``least`` different pages have is template where its text is always the same or mostly links; slots that vary are content, unless they stand in a menu, header, footer, sidebar, notice, advert,
+form or comment element. Where a page has content in article or main elements, its text is what stands in them.
+
+Three passes: shapes are counted by host, slots are summed up by host and slot, pages are read with what was found. The reference and the sums do not depend on
+how pages are dealt to tasks, a host's slots are summed apart, and no page travels while the templates are small enough to broadcast.
+
+Defined results: null and empty html give the empty text; a slot needs ``least`` pages that differ before it is judged by all its pages,
+so lone pages and copies of one page, however many, are judged by their elements and links alone, as are pages without a host;
 pages differ by their texts outside menus, headers, footers, adverts and the like; truncated
-tags and unclosed elements end with the page; repeated rows give repeated results; other columns are kept.
+tags and unclosed elements end with the page; repeated rows give repeated results; other columns are kept, whatever their names, and
+columns called text or n_chars are replaced (the page's own column may have such a name).
 """
 
 from __future__ import annotations
 
 import marshal
 import re
+import sys
 from collections.abc import Iterator
 from functools import cache, lru_cache
 from html import unescape
-from zlib import crc32
 
+import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from claimweave.llm.common import bounded, materialize
+from claimweave.llm.common import bounded, fresh, materialize
 from claimweave.llm.urlfilter import host_path
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -42,7 +46,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "nobr", "center"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "aside", "nav", "footer", "header", "form", "body", "html", "blockquote"}
-#: Elements whose neighbours of the same label are one repeated node.
+#: Elements that are one repeated node with all their siblings of the same label.
 FOLDED = {"p", "li", "tr", "td", "th", "dt", "dd", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "#text"}
 BOILER_TAGS = {"nav", "header", "footer", "aside", "form", "button", "fieldset", "dialog", "menu", "head", "frameset"}
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
@@ -51,29 +55,45 @@ BOILER_WORDS = {
     "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "sidebar", "side", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "share", "sharing", "social", "related",
     "recommended", "footer", "header", "masthead", "topbar", "subscribe", "subscription", "newsletter", "popup", "modal", "overlay", "login", "signup", "search", "pagination", "pager", "widget", "widgets", "toolbar", "paywall",
 }
-DEPTH, WIDE = 120, 64
-#: Templates that a task holds.
-HELD = 2000
+#: Neighbours of one label that are taken for records of a list. Cells up to which two lists of children are matched by the weight of what is below.
+RUN, CELLS = 12, 4096
+#: Hosts whose templates a worker keeps unpacked, slots that it sums up before it hands them on, parts that a slot's sums are dealt to.
+HELD, SLOTS, PARTS = 2000, 100_000, 64
 
 
 class Node:
-    """A node of a folded page or of a template: hashes of different pages that have it (of a slot that varies none, else as many as are asked for)
-    and, of a text slot, what its text is like."""
+    """An element of a folded page. runs: (place, text, characters in links); mark: a hash of its text (0: none); number: its place in a reference tree."""
 
-    __slots__ = ("label", "kids", "pages", "mark", "varies", "chars", "links", "runs")
+    __slots__ = ("label", "kids", "runs", "mark", "number")
 
-    def __init__(self, label: str):
-        self.label, self.kids, self.pages, self.mark, self.varies, self.chars, self.links, self.runs = label, [], (), 0, False, 0, 0, []
+    def __init__(self, label: str, mark: int = 0, number: int = 0):
+        self.label, self.kids, self.runs, self.mark, self.number = label, [], [], mark, number
 
-    def pack(self) -> tuple:
-        return self.label, self.pages, self.mark, self.varies, self.chars, self.links, [k.pack() for k in self.kids]
 
-    @staticmethod
-    def unpack(t: tuple) -> Node:
-        node = Node(t[0])
-        _, node.pages, node.mark, node.varies, node.chars, node.links, kids = t
-        node.kids = [Node.unpack(k) for k in kids]
-        return node
+def preorder(root: Node) -> Iterator[Node]:
+    stack = [root]
+    while stack:
+        yield (node := stack.pop())
+        stack.extend(reversed(node.kids))
+
+
+def packed(root: Node) -> tuple[bytes, int]:
+    """The labels and marks of a tree, each with the number of its parent; a hash of its shape."""
+    labels, parents, marks, stack = [], [], [], [(root, -1)]
+    while stack:
+        node, parent = stack.pop()
+        labels.append(node.label), parents.append(parent), marks.append(node.mark)
+        stack.extend((kid, len(labels) - 1) for kid in reversed(node.kids))
+    return marshal.dumps((labels, parents, marks), 2), xxhash.xxh3_64_intdigest(marshal.dumps((labels, parents), 2)) >> 1
+
+
+def unpacked(tree: bytes) -> Node:
+    nodes: list[Node] = []
+    for label, parent, mark in zip(*marshal.loads(tree), strict=True):
+        nodes.append(node := Node(label, mark, len(nodes)))
+        if parent >= 0:
+            nodes[parent].kids.append(node)
+    return nodes[0]
 
 
 def label_of(tag: str, attrs: str) -> str:
@@ -159,12 +179,13 @@ def parse(html: str) -> Node:
                 elif stack[i][0] in SCOPE:
                     break
             node = Node(label_of(tag, attrs))
-            if len(stack) < DEPTH:
-                stack[-1][1].kids.append(node)
-                stack.append((tag, node))
+            stack[-1][1].kids.append(node)
+            stack.append((tag, node))
     close(1)
     fold(root)
-    settle(root)
+    for node in preorder(root):
+        if node.runs:
+            node.mark = hashed("\n".join(r[1] for r in node.runs))
     return root
 
 
@@ -178,223 +199,275 @@ def end_of(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}\b[^>]*>", re.I)
 
 
-def fold(node: Node) -> None:
-    """Neighbours of one foldable label become one; in very wide nodes all children of one label do."""
-    out: list[Node] = []
-    places: dict[str, Node] = {}
-    wide = len(node.kids) > WIDE
-    for kid in node.kids:
-        same = places.get(kid.label) if wide else out[-1] if out and out[-1].label == kid.label and foldable(kid.label) else None
-        if same is None:
-            out.append(kid)
-            places[kid.label] = kid
-        else:
-            same.kids += kid.kids
-            same.runs += kid.runs
-    for kid in out:
-        if kid.kids:
-            fold(kid)
-    node.kids = out
-
-
-def settle(node: Node) -> None:
-    if node.runs:
-        node.mark = crc32("\n".join(r[1] for r in node.runs).encode())
-        node.chars, node.links = sum(len(r[1]) for r in node.runs), sum(r[2] for r in node.runs)
-    for kid in node.kids:
-        settle(kid)
-
-
-def matched(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
-    """The order-preserving pairs of equal labels with the most nodes matched below them."""
-    if len(a) == len(b) and all(x.label == y.label for x, y in zip(a, b, strict=True)):
-        return [(i, i) for i in range(len(a))]
-    score = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    own: dict[tuple[int, int], int] = {}
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best = max(score[i + 1][j], score[i][j + 1])
-            if a[i].label == b[j].label:
-                own[i, j] = match_size(a[i], b[j])
-                best = max(best, score[i + 1][j + 1] + own[i, j])
-            score[i][j] = best
-    i = j = 0
-    pairs = []
-    while i < len(a) and j < len(b):
-        if (i, j) in own and score[i][j] == score[i + 1][j + 1] + own[i, j]:
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif score[i][j] == score[i + 1][j]:
-            i += 1
+def fold(root: Node) -> None:
+    """Siblings of one foldable label become one, as do long runs of neighbours of one label, and an element that holds nothing but one of its own label."""
+    for node in preorder(root):
+        while len(node.kids) == 1 and not node.runs and node.kids[0].label == node.label:
+            node.runs, node.kids = node.kids[0].runs, node.kids[0].kids
+        run, n = [0] * len(node.kids), 0  # the length of each kid's run of neighbours
+        for i, kid in enumerate(node.kids):
+            n = n + 1 if i and node.kids[i - 1].label == kid.label else 1
+            run[i] = n
+        for i in range(len(run) - 2, -1, -1):
+            if run[i + 1] > 1:
+                run[i] = max(run[i], run[i + 1]) if node.kids[i].label == node.kids[i + 1].label else run[i]
+        out: list[Node] = []
+        places: dict[str, Node] = {}
+        for i, kid in enumerate(node.kids):
+            same = places.get(kid.label) if foldable(kid.label) else out[-1] if run[i] >= RUN and out and out[-1].label == kid.label else None
+            if same is None:
+                out.append(kid)
+                places[kid.label] = kid
+            else:
+                same.kids += kid.kids
+                same.runs += kid.runs
+        node.kids = out
+
+
+class Matching:
+    """Simple tree matching of a page with a reference tree."""
+
+    def __init__(self):
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def pairs(self, a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
+        """The order-preserving pairs of equal labels with the most nodes matched below them."""
+        if len(a) == len(b) and all(x.label == y.label for x, y in zip(a, b, strict=True)):
+            return [(i, i) for i in range(len(a))]
+        if len(a) * len(b) > CELLS:
+            return longest_common([x.label for x in a], [y.label for y in b])
+        score = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        own: dict[tuple[int, int], int] = {}
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best = max(score[i + 1][j], score[i][j + 1])
+                if a[i].label == b[j].label:
+                    own[i, j] = self.size(a[i], b[j])
+                    best = max(best, score[i + 1][j + 1] + own[i, j])
+                score[i][j] = best
+        i = j = 0
+        found = []
+        while i < len(a) and j < len(b):
+            if (i, j) in own and score[i][j] == score[i + 1][j + 1] + own[i, j]:
+                found.append((i, j))
+                i, j = i + 1, j + 1
+            elif score[i][j] == score[i + 1][j]:
+                i += 1
+            else:
+                j += 1
+        return found
+
+    def size(self, a: Node, b: Node) -> int:
+        """The nodes of the largest match of two trees of one label."""
+        own = 2 if a.mark and a.mark == b.mark else 1
+        if not a.kids or not b.kids:
+            return own
+        if (n := self.sizes.get((id(a), id(b)))) is None:
+            n = own
+            for i, j in self.pairs(a.kids, b.kids):
+                n += self.size(a.kids[i], b.kids[j])
+            self.sizes[id(a), id(b)] = n
+        return n
+
+
+def longest_common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence, row by row in arrays: for lists of very many children."""
+    number = {x: i for i, x in enumerate(dict.fromkeys(a + b))}
+    y = np.array([number[x] for x in b])
+    rows = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
+    for i, x in enumerate(a):
+        rows[i + 1, 1:] = np.maximum.accumulate(np.maximum(rows[i, 1:], np.where(y == number[x], rows[i, :-1] + 1, 0)))
+    i, j, found = len(a), len(b), []
+    while i and j:
+        if rows[i, j] == rows[i - 1, j]:
+            i -= 1
+        elif rows[i, j] == rows[i, j - 1]:
+            j -= 1
         else:
-            j += 1
-    return pairs
-
-
-def match_size(a: Node, b: Node) -> int:
-    """Simple tree matching: the nodes of the largest match of two trees of one label."""
-    return 1 + sum(match_size(a.kids[i], b.kids[j]) for i, j in matched(a.kids, b.kids)) if a.kids and b.kids else 1
-
-
-def merge(template: Node, other: Node, least: int) -> None:
-    """Align other (a page or a partial template) into the template, whose slots keep up to least pages that differ."""
-    template.varies |= other.varies or template.mark != other.mark
-    if template.varies:
-        template.pages = ()
-    elif len(template.pages) < least and template.pages != other.pages:
-        template.pages = tuple(sorted({*template.pages, *other.pages})[:least])
-    template.chars += other.chars
-    template.links += other.links
-    pairs = matched(template.kids, other.kids)
-    if len(pairs) < len(other.kids):
-        out, i, j = [], 0, 0
-        for x, y in [*pairs, (len(template.kids), len(other.kids))]:
-            out += template.kids[i:x] + other.kids[j:y]
-            if x < len(template.kids):
-                merge(template.kids[x], other.kids[y], least)
-                out.append(template.kids[x])
-            i, j = x + 1, y + 1
-        template.kids = out
-    else:
-        for x, y in pairs:
-            merge(template.kids[x], other.kids[y], least)
-
-
-def bare(node: Node, page: tuple[int]) -> Node:
-    """Without the texts, as a template keeps it."""
-    node.runs, node.pages = [], page
-    for kid in node.kids:
-        bare(kid, page)
-    return node
+            i, j = i - 1, j - 1
+            found.append((i, j))
+    return found[::-1]
 
 
+@lru_cache(4096)
 def boiler(label: str) -> bool:
     name, _, role = label.partition("#")
     tag, *words = name.split(".")
     return tag in BOILER_TAGS or role in BOILER_ROLES or any(w in BOILER_WORDS for w in words) and tag not in ("body", "html")
 
 
-def page_hash(page: Node) -> int:
-    """What makes two pages copies: their texts in page order, but those of menus, headers, footers, adverts and the like."""
-    found: list[tuple[int, str]] = []
+@lru_cache(4096)
+def main_label(label: str) -> bool:
+    return re.split(r"[.#]", label)[0] in ("article", "main") or label.endswith("#main")
 
-    def walk(node: Node) -> None:
-        if not boiler(node.label):
-            found.extend((seq, text) for seq, text, _ in node.runs)
-            for kid in node.kids:
-                walk(kid)
 
-    walk(page)
-    return xxhash.xxh3_64_intdigest("\n".join(text for _, text in sorted(found)).encode("utf-8", "surrogatepass"))
+def hashed(text: str, seed: int = 0) -> int:
+    """63 bits."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed) >> 1
 
 
-def decide(node: Node, least: int, inside: bool = False, out: bool = False) -> tuple:
-    """The template's decisions: (label, is content, stands in an article, children)."""
-    out = out or boiler(node.label)
-    inside = inside or re.split(r"[.#]", node.label)[0] in ("article", "main") or node.label.endswith("#main")
-    same = len(node.pages) >= least and not node.varies
-    return node.label, not (out or same or 2 * node.links > node.chars), inside and not out, [decide(k, least, inside, out) for k in node.kids]
+def slots(page: Node, reference: Node | None) -> list[tuple[int, Node, bool]]:
+    """(key, node, whether in an article) of the page's slots outside menus and the like. key: the number of the counterpart, or a hash of the path below the last one."""
+    found, match = [], Matching()
+    stack: list[tuple[Node, Node | None, int, bool]] = [(page, reference, 0, False)]
+    while stack:
+        node, other, key, inside = stack.pop()
+        if boiler(node.label):
+            continue
+        inside = inside or main_label(node.label)
+        if node.runs:
+            found.append((key, node, inside))
+        pairs = dict(match.pairs(node.kids, other.kids)) if other is not None and node.kids and other.kids else {}
+        for i, kid in enumerate(node.kids):
+            if (j := pairs.get(i)) is not None:
+                stack.append((kid, other.kids[j], other.kids[j].number, inside))
+            else:
+                stack.append((kid, None, hashed(kid.label, key) | 1 << 62, inside))
+    return found
 
 
-class Decided:
-    """A template's decisions in the shape that matched() takes."""
+def page_hash(found: list[tuple[int, Node, bool]]) -> int:
+    """What makes two pages copies: their texts in page order, but those of menus, headers, footers, adverts and the like."""
+    return hashed("\n".join(text for _, text in sorted((seq, text) for _, node, _ in found for seq, text, _ in node.runs)))
 
-    __slots__ = ("label", "content", "inside", "kids")
 
-    def __init__(self, t: tuple):
-        self.label, self.content, self.inside = t[:3]
-        self.kids = [Decided(k) for k in t[3]]
+def mostly_links(chars: int, links: int) -> bool:
+    return 2 * links > chars
 
 
-def read(page: Node, decided: Decided) -> str:
-    """The page's content: its slots as their counterparts in the template were decided."""
+def read(page: Node, reference: Node | None, judged: dict[int, bool]) -> str:
+    """The page's content: its slots as the template judges them, or, where it does not know them, by their links."""
     found: list[tuple[bool, int, str]] = []
-
-    def walk(a: Node, b: Decided) -> None:
-        if b.content:
-            found.extend((b.inside, seq, text) for seq, text, _ in a.runs)
-        for i, j in matched(a.kids, b.kids):
-            walk(a.kids[i], b.kids[j])
-
-    walk(page, decided)
+    for key, node, inside in slots(page, reference):
+        drop = judged.get(key)
+        if drop is None:
+            drop = mostly_links(sum(len(r[1]) for r in node.runs), sum(r[2] for r in node.runs))
+        if not drop:
+            found.extend((inside, seq, text) for seq, text, _ in node.runs)
     if any(inside for inside, _, _ in found):
         found = [x for x in found if x[0]]
     return "\n".join(text for _, _, text in sorted(found, key=lambda x: x[1]))
 
 
-def induce(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    """(host, html) to (host, part, template): one partial template a host and task."""
-    held: dict[str, Node] = {}
+def deep() -> None:
+    """Matching goes as deep as the pages do."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
+
+
+def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(host, html) to (host, shape, page, tree): the tree where no page before has a smaller hash, so that of the smallest is always there."""
+    seen: dict[tuple[str, int], int] = {}
+    for pdf in batches:
+        out = []
+        for host, html in zip(pdf["host"], pdf["html"], strict=True):
+            root = parse(html)
+            page, (tree, shape) = page_hash(slots(root, None)), packed(root)
+            new = page < seen.get((host, shape), 1 << 63)
+            if new:
+                if len(seen) > SLOTS:
+                    seen.clear()
+                seen[host, shape] = page
+            out.append((host, shape, page, tree if new else None))
+        yield pd.DataFrame(out, columns=["host", "shape", "page", "tree"])
+
+
+def sums(batches: Iterator[pd.DataFrame], references, least: int) -> Iterator[pd.DataFrame]:
+    """(host, html, tree) to sums by host and slot: least and greatest hash of its text, up to ``least`` different pages, characters, and those in links."""
+    deep()
+    part = TaskContext.get().partitionId() % PARTS
+    held: dict[tuple[str, int], list] = {}
 
     def out() -> pd.DataFrame:
-        parts = [(h, crc32(p := marshal.dumps(t.pack())) % 16, p) for h, t in held.items()]
+        rows = [(host, key, part, low, high, sorted(pages), chars, links) for (host, key), (low, high, pages, chars, links) in held.items()]
         held.clear()
-        return pd.DataFrame(parts, columns=["host", "part", "template"])
+        return pd.DataFrame(rows, columns=["host", "key", "part", "low", "high", "pages", "chars", "links"])
 
     for pdf in batches:
-        for host, html in zip(pdf["host"], pdf["html"], strict=True):
-            page = parse(html)
-            page = bare(page, (page_hash(page),))
-            if host in held:
-                merge(held[host], page, least)
-            else:
-                held[host] = page
-        if len(held) > HELD:
+        for host, html, tree in zip(pdf["host"], pdf["html"], pdf["tree"], strict=True):
+            found = slots(parse(html), references(host, tree)[0])
+            page = page_hash(found)
+            for key, node, _ in found:
+                mark, chars, links = node.mark, sum(len(r[1]) for r in node.runs), sum(r[2] for r in node.runs)
+                if (own := held.get((host, key))) is None:
+                    held[host, key] = [mark, mark, {page}, chars, links]
+                    continue
+                own[0], own[1], own[3], own[4] = min(own[0], mark), max(own[1], mark), own[3] + chars, own[4] + links
+                if page not in own[2]:
+                    own[2].add(page)
+                    if len(own[2]) > least:
+                        own[2].remove(max(own[2]))
+        if len(held) > SLOTS:
             yield out()
     if held:
         yield out()
 
 
-def join_parts(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
-    parts = sorted(pdf["template"])
-    whole = Node.unpack(marshal.loads(parts[0]))
-    for p in parts[1:]:
-        merge(whole, Node.unpack(marshal.loads(p)), least)
-    return pd.DataFrame({"host": pdf["host"].iloc[:1], "part": [0], "template": [marshal.dumps(whole.pack())]})
+class Templates:
+    """The templates of hosts as a worker asks for them: from the broadcast table, or from what stands with the page."""
 
+    def __init__(self, shared):
+        self.shared, self.known = shared, {}
 
-def templates(pages: DataFrame, html_col: str = "html", url_col: str = "url", host: Column | None = None, least: int = 4) -> DataFrame:
+    def __call__(self, host: str, own: bytes | None) -> tuple[Node | None, dict[int, bool]]:
+        if own is None and self.shared is not None:
+            own = self.shared.value.get(host)
+        if own is None:
+            return None, {}
+        if (t := self.known.get(host)) is None:
+            if len(self.known) > HELD:
+                self.known.clear()
+            tree, keys, drops = marshal.loads(own)
+            t = self.known[host] = unpacked(tree), dict(zip(keys, drops, strict=True))
+        return t
+
+
+def beside(rows: DataFrame, found: DataFrame, host: str, name: str) -> tuple[DataFrame, object]:
+    """rows with the template of their host as column ``name``, or with null there and the templates broadcast, where their counted size allows."""
+    if bounded(found, row_bytes=F.octet_length("template") + F.octet_length("host")):
+        shared = found.sparkSession.sparkContext.broadcast({r["host"]: bytes(r["template"]) for r in found.collect()})
+        return rows.withColumn(name, F.lit(None).cast("binary")), shared
+    (of,) = fresh(rows, "of")
+    return rows.join(found.select(F.col("host").alias(of), F.col("template").alias(name)), F.col(host) == F.col(of), "left").drop(of), None
+
+
+@F.pandas_udf(BinaryType())
+def as_template(tree: pd.Series, keys: pd.Series, drops: pd.Series) -> pd.Series:
+    return pd.Series([marshal.dumps((t, k.tolist(), d.tolist()), 2) for t, k, d in zip(tree, keys, drops, strict=True)], dtype=object)
+
+
+def templates(pages: DataFrame, html_col: str = "html", url_col: str = "url", least: int = 4) -> DataFrame:
     """(host, template): the wrappers that the pages of each host induce."""
-    host = host_path(F.col(url_col))[0] if host is None else host
-    rows = pages.select(host.alias("host"), F.col(html_col).cast("string").alias("html")).where("html is not null and host <> ''")
-    kind = "host string, part int, template binary"
-    join = lambda pdf: join_parts(pdf, least)
-    parts = rows.mapInPandas(lambda batches: induce(batches, least), kind).groupBy("host", "part").applyInPandas(join, kind)
-    return parts.groupBy("host").applyInPandas(join, kind).select("host", "template")
+    host = host_path(F.col(f"`{url_col}`"))[0]
+    rows = pages.select(host.alias("host"), F.col(f"`{html_col}`").cast("string").alias("html")).where("html is not null and host <> ''")
+    found = rows.mapInPandas(shapes, "host string, shape long, page long, tree binary").groupBy("host", "shape").agg(F.approx_count_distinct("page").alias("n"), F.min_by("tree", F.when(F.col("tree").isNotNull(), F.col("page"))).alias("tree"))
+    found = found.groupBy("host").agg(F.max_by("tree", F.struct("n", "shape")).alias("tree"))
+    none = F.array().cast("array<bigint>"), F.array().cast("array<boolean>")
+    found = materialize(found.select("host", "tree", as_template("tree", *none).alias("template")), "references")
+    seen, shared = beside(rows, found.select("host", "template"), "host", "tree")
+    made = seen.mapInPandas(lambda batches: sums(batches, Templates(shared), least), "host string, key long, part int, low long, high long, pages array<long>, chars long, links long")
+    some = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))), 1, least).alias("pages")
+    for keys in (["host", "key", "part"], ["host", "key"]):  # the sums of a slot of a hot host come together in two steps
+        made = made.groupBy(*keys).agg(F.min("low").alias("low"), F.max("high").alias("high"), some, F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    judged = made.where(F.size("pages") >= least).select("host", F.struct("key", ((F.col("low") == F.col("high")) | (2 * F.col("links") > F.col("chars"))).alias("drop")).alias("j"))
+    judged = judged.groupBy("host").agg(F.sort_array(F.collect_list("j")).alias("j")).select(F.col("host").alias("of"), F.col("j.key").alias("keys"), F.col("j.drop").alias("drops"))
+    both = found.join(judged, F.col("host") == F.col("of"), "left")
+    return both.select("host", as_template("tree", F.coalesce("keys", none[0]), F.coalesce("drops", none[1])).alias("template"))
 
 
 def main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", least: int = 4) -> DataFrame:
     """pages with text and n_chars."""
-    found = materialize(templates(pages, html_col, url_col, least=least), "templates")
-    rows = pages.drop("text", "n_chars")
-    host = host_path(F.col(url_col))[0]
-    small = bounded(found, row_bytes=F.octet_length("template") + F.octet_length("host"))
-    shared = pages.sparkSession.sparkContext.broadcast({r["host"]: bytes(r["template"]) for r in found.collect()}) if small else None
+    found = materialize(templates(pages, html_col, url_col, least), "templates")
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("text", "n_chars")]
+    host, html, template = fresh(pages, "host", "html_text", "template")
+    rows = pages.select(*kept, host_path(F.col(f"`{url_col}`"))[0].alias(host), F.col(f"`{html_col}`").cast("string").alias(html))
+    rows, shared = beside(rows, found, host, template)
 
     @F.pandas_udf("string")
     def extract(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[str, Decided] = {}
-
-        def one(html: str | None, host: str, template: bytes | None) -> str:
-            if not html:
-                return ""
-            page = parse(html)
-            if template is None and shared is not None:
-                template = shared.value.get(host)
-            if template is None:
-                return read(page, Decided(decide(page, least)))
-            if host not in known:
-                if len(known) > HELD:
-                    known.clear()
-                known[host] = Decided(decide(Node.unpack(marshal.loads(template)), least))
-            return read(page, known[host])
-
-        for html, host, template in batches:
-            yield pd.Series(map(one, html, host, template), dtype=object)
-
-    if small:
-        rows = rows.withColumn("text", extract(F.col(html_col).cast("string"), host, F.lit(None).cast("binary")))
-    else:
-        joined = rows.withColumn("_host", host).join(found.withColumnRenamed("host", "_of").withColumnRenamed("template", "_template"), F.col("_host") == F.col("_of"), "left")
-        rows = joined.withColumn("text", extract(F.col(html_col).cast("string"), "_host", "_template")).drop("_host", "_of", "_template")
+        deep()
+        of = Templates(shared)
+        for pages, hosts, own in batches:
+            yield pd.Series([read(parse(p), *of(h, t)) if p else "" for p, h, t in zip(pages, hosts, own, strict=True)], dtype=object)
+
+    rows = rows.withColumn("text", extract(html, host, template)).drop(host, html, template)
     return rows.withColumn("n_chars", F.length("text").cast("long"))

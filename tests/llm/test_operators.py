@@ -22,7 +22,7 @@ from claimweave.llm.queries import op1_permutation_ann
 from claimweave.llm.tokens import default_model, token_counts
 from claimweave.llm.toxicity import FactorizationMachine, hashes, level_term
 from claimweave.llm.urlfilter import url_filter
-from claimweave.llm.wrapper import main_text
+from claimweave.llm.wrapper import longest_common, main_text, parse, read
 from tests.support import SF
 
 DOCS = "doc_id long, text string, extra string, score string, words string"
@@ -221,6 +221,51 @@ def test_wrapper_keeps_copies(spark):
         assert got[30 + i] == f"Head {i % 5}\nText {i % 5}"
 
 
+BARE = "<div><b>Brand {h}</b></div><div><p>Title {i} of {h}</p><div><p>Body {i}</p><p>More {i}</p></div></div><div>All rights {h}</div>"
+
+
+def test_wrapper_without_telling_names(spark):
+    """Plain elements alone: what is template comes from the templates, however the pages are dealt to tasks."""
+    rows = [(100 * h + i, f"http://h{h}.org/{i}", BARE.format(h=h, i=i)) for h in range(3) for i in range(12)]
+    # a page with one more element, one without the foot, one of another shape
+    rows[3] = (3, rows[3][1], rows[3][2].replace("<div>All", "<div><i>Only</i> here</div><div>All"))
+    rows[4] = (4, rows[4][1], rows[4][2].partition("<div>All")[0])
+    rows[5] = (5, rows[5][1], "<table><tr><td>Other</td></tr></table>" + rows[5][2])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {100 * h + i: f"Title {i} of {h}\nBody {i}\nMore {i}" for h in range(3) for i in range(12)}
+    want[3] += "\nOnly here"
+    want[5] = "Other\n" + want[5]
+    for parts in (1, 7, 36):
+        assert {r["page_id"]: r["text"] for r in main_text(df.repartition(parts, "page_id")).collect()} == want
+    alone = read(parse(rows[0][2]), None, {})
+    assert alone.startswith("Brand 0\n") and alone.endswith("All rights 0")  # without a template nothing tells them apart
+
+
+def test_wrapper_deep_and_wide(spark):
+    """Very deep and very wide pages are read whole."""
+    deep = "<div>" * 3000 + "<section>" * 3000 + "<p>Far down {i}</p>" + "</section>" * 3000 + "</div>" * 3000 + "<p>After {i}</p>"
+    mixed = "".join(f"<div class='k{'abcdefgh'[j % 8]}{'xyz'[j % 3]}'>Part {j} of {{i}}</div><section>And {j} {{i}}</section>" for j in range(400))
+    nested = "".join(f"<{'div' if j % 2 else 'section'}>" for j in range(4000)) + "<p>Bottom {i}</p>"
+    rows = [(10 * k + i, f"http://w{k}.org/{i}", x.format(i=i)) for k, x in enumerate((deep, mixed, nested)) for i in range(6)]
+    rows[8] = (12, rows[8][1], "<div class='ka'>Own</div>" + rows[8][2])
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"Far down {i}\nAfter {i}" and got[20 + i] == f"Bottom {i}"
+        assert got[10 + i] == ("Own\n" if i == 2 else "") + "\n".join(f"Part {j} of {i}\nAnd {j} {i}" for j in range(400))
+
+
+def test_longest_common():
+    rng = random.Random(12)
+    for _ in range(60):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(1, 30))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        pairs = longest_common(a, b)
+        assert len(pairs) == table[-1][-1] and all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))  # noqa: B905
+
+
 def test_wrapper_on_pages(spark):
     import html
 
