@@ -114,7 +114,7 @@ def search_block(d: pd.DataFrame, q: pd.DataFrame, pivots: np.ndarray, depth: in
     files = InvertedFiles(x, pivots, depth)
     budget = min(len(x), math.ceil(share * len(x)) + spare)
     asked = np.stack(q["v"].to_numpy()).astype(np.float64)
-    out = []
+    out_q, out_h, out_v, out_s = [], [], [], []
     for qid, qh, qv, perm in zip(q["id"].to_numpy(), q["q"].to_numpy(), asked, permutations(asked, pivots, depth), strict=True):
         near = np.argpartition(-files.agreement(perm), budget - 1)[:budget]
         # of the copies of one vector, the k smallest other ids can be among the nearest; rows of the query's own id come on top
@@ -129,5 +129,5 @@ def search_block(d: pd.DataFrame, q: pd.DataFrame, pivots: np.ndarray, depth: in
         vid, score = ids[starts[near][spread] + offset], score[spread]
         vid, score = vid[(other := vid != qid)], score[other]
         top = np.lexsort((vid, -score))[:k]
-        out.append(pd.DataFrame({"query_id": qid, "q": qh, "vec_id": vid[top], "score": score[top]}))
-    return pd.concat(out, ignore_index=True)
+        out_q.append(np.full(len(top), qid)), out_h.append(np.full(len(top), qh)), out_v.append(vid[top]), out_s.append(score[top])
+    return pd.DataFrame({"query_id": np.concatenate(out_q), "q": np.concatenate(out_h), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
