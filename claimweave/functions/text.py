@@ -166,3 +166,20 @@ def far_apart(a: Column, b: Column) -> Column:
 def request_fingerprint(need: Column, hints: Column) -> Column:
     plain = lambda x: squeeze(F.lower(x))
     return F.sha2(F.concat(plain(need), F.lit("\n"), F.array_join(F.array_sort(F.transform(hints, plain)), "\n")), 256)
+
+
+def norm_v0(text: Column) -> Column:
+    """Folded quotes, dashes, blanks and dots, single blanks."""
+    t = F.replace(F.translate(text, "‘’“”–—\u00a0", "''\"\"-- "), F.lit("…"), F.lit("..."))
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
+def normalize_legacy(text: Column) -> Column:
+    """The quote form that drops every blank of a text with any Chinese character; kept as a control."""
+    t = squeeze(fold_marks(text))
+    return F.when(t.rlike(r"[\u4E00-\u9FFF]"), F.regexp_replace(t, r"(?U)\s+", "")).otherwise(t)
+
+
+def recent_year(text: Column, year: int) -> Column:
+    """Whether a text names a year of four digits not before the one before this."""
+    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"\b(\d{4})\b"), F.lit(1)), lambda y: y.cast("int"))) >= year - 1, F.lit(False))

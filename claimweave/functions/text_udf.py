@@ -17,17 +17,40 @@ CHINESE = "零一二三四五六七八九"
 DASHES = "‐‑‒–—―−－⁻"
 # fixed values of the polarity rules: operators by class
 NEGATIONS = {
-    "NEG-S": ["不", "未", "没有", "并非", "无", "尚未", "未能", "难以", "否认", "而非", "并不", "not", "no", "never", "failed to", "fail to", "without", "neither", "nor", "unable to", "rather than", "contrary to", "cannot", "hardly", "barely", "scarcely", "far from", "short of", "fails to", "insufficient", "refuted", "retracted", "is false", "overstated", "lacks", "seldom", "rarely", "questionable", "debunked"],
-    "NEG-N": ["comparable", "similar", "equivalent", "on par with", "no different", "did not differ", "do not differ", "does not differ", "no significant difference", "no difference", "not statistically significant", "相当", "相仿", "接近", "无差异", "无显著差异", "没有显著影响", "没有显著差异"],
-    "NEG-C": ["若", "如果", "除非", "假设", "即便", "if", "unless", "assuming", "provided that", "would", "could"],
+    "NEG-S": [
+        "不", "未", "没有", "并非", "无", "尚未", "未能", "难以", "否认", "而非", "并不", "not", "no", "never", "failed to", "fail to", "without", "neither", "nor", "unable to", "rather than", "contrary to", "cannot", "did not", "does not", "do not",
+        "hardly", "barely", "scarcely", "falls short of", "fall short of", "short of", "far from", "fails to", "insufficient",
+        "撤稿", "存疑", "是错的", "反驳", "远逊于", "未达", "达不到", "并未", "disproved", "disproven", "refuted", "retracted", "is false", "overstates", "overstated", "lacks", "seldom", "rarely", "questionable", "debunked",
+    ],
+    "NEG-N": [
+        "comparable", "similar", "equivalent", "on par with", "no different", "did not reach significance", "not statistically significant", "did not differ", "do not differ", "does not differ", "were not different",
+        "no significant difference", "no statistically significant difference", "no significant association", "no significant effect", "no difference",
+        "相当", "相仿", "接近", "无差异", "无显著差异", "未达显著", "未见差异", "无统计学差异", "没有显著影响", "没有显著差异", "无显著影响", "无显著相关性", "无显著相关", "没有显著相关", "无统计学意义", "未见显著", "差异不显著", "相关性不显著",
+    ],
+    "NEG-C": ["若", "如果", "除非", "假设", "即便", "在……情况下", "if", "unless", "assuming", "provided that", "would", "could"],
     "NEG-Q": ["是否", "能否", "有待", "尚不清楚", "whether", "remains unclear", "it is unknown"],
     "NEG-R": ["声称", "据称", "有人认为", "号称", "自称", "claimed", "alleged", "purported", "reportedly", "claims to"],
     "NEG-L": ["至多", "最多", "不超过", "仅", "只有", "充其量", "低于", "小于", "不足", "少于", "at most", "up to", "no more than", "only", "below", "fewer than", "less than", "as low as", "under"],
     "NEG-I": ["吗", "呢", "?", "？"],
 }
+# fixed values: the words that may stand right before a number
+BEFORE_NUMBERS = [
+    "reached", "reaches", "reach", "achieved", "achieves", "achieve", "attained", "attains", "scored", "scores", "obtained", "obtains", "yields", "yielded", "gives", "gave", "reports", "reported", "shows", "showed", "records", "recorded", "hit", "hits",
+    "is", "was", "are", "were", "be", "of", "to", "at", "with", "by", "the", "a", "an", "and", "or", "about", "report", "show", "record", "observe", "observed", "observes", "we", "they", "it", "that", "this", "these", "those",
+    "达到", "达", "为", "是", "取得", "到", "有", "共", "计", "的", "率",
+]
 CONTRAST = ["however", "but", "yet", "nevertheless", "但", "然而", "不过"]
 MARKS = {"verified": "已验证", "attributed": "已归因", "estimated": "估计值", "contested": "有反证", "unverified": "未验证", "not_covered": "未覆盖"}
-CONTROLLED = {"not", "no", "failed", "fails", "refuted", "retracted", "replication", "contrary", "evidence", "against", "criticism", "decline", "limitation", "limitations"}
+# fixed values of the counter-evidence rules: negations, words of contrary literature, neutral words, comparatives, words of the query language
+COUNTER_NOT = ["不", "未", "没有", "并非", "无", "并不", "否", "not", "no", "never", "without", "fails", "fail"]
+COUNTER_LITERATURE = [
+    "反驳", "质疑", "未能复现", "无法复现", "复现失败", "失败", "争议", "撤稿", "更正", "存疑", "refute", "refutes", "refuted", "contradict", "contradicts", "contradicted", "fails", "failed", "failure", "irreproducible", "unreproducible",
+    "retraction", "retracted", "dispute", "disputed", "criticism", "critique", "rebuttal", "erratum", "corrigendum", "overestimate", "overstated", "limitation", "limitations",
+]
+COUNTER_NEUTRAL = ["reproduce", "reproduced", "reproduces", "reproduction", "reproducibility", "replicate", "replicated", "replicates", "replication", "independent", "verify", "verified", "复现", "重复实验", "独立验证"]
+COUNTER_COMPARE = ["高于", "低于", "优于", "劣于", "大于", "小于", "超过", "不足", "higher", "lower", "better", "worse", "above", "below", "exceeds", "under"]
+COUNTER_STOP = ["and", "or", "not", "the", "of", "in", "a", "an", "to", "for", "on", "is", "are", "was", "were", "的", "了", "与", "和", "在", "是", "被", "对", "从", "及", "等", "中", "该方法", "该模型", "该研究", "本文", "论文", "研究", "方法", "模型", "结果", "实验"]
+CONTROLLED = {*COUNTER_NOT, *COUNTER_LITERATURE, *COUNTER_NEUTRAL, *COUNTER_COMPARE, *COUNTER_STOP}
 
 _NUMBER = {w: i for i, w in enumerate(ONES)} | {w: 10 * (i + 2) for i, w in enumerate(TENS)}
 _WORDS = re.compile(rf"\b(?:({'|'.join(TENS)})[\s-]({'|'.join(ONES[1:10])})|({'|'.join([*TENS, *sorted(ONES, key=len, reverse=True)])}))\b", re.I)
@@ -67,7 +90,7 @@ def containment(slot_type: str | None, value: str, anchor: str) -> str | None:
 
 
 def _find(op: str, text: str) -> list[tuple[int, int]]:
-    pattern = rf"\b{re.escape(op)}\b" if re.fullmatch(r"[a-z ]+", op) else re.escape(op)
+    pattern = rf"\b{re.escape(op)}\b" if re.fullmatch(r"[a-z ]+", op) else ".*?".join(map(re.escape, op.split("……")))
     return [m.span() for m in re.finditer(pattern, text)]
 
 
@@ -76,7 +99,7 @@ def polarity(payload: str, sentence: str) -> str:
 
     Classes S and R reach from the operator to the end of its clause, C to the end of the sentence, L over the
     payload right behind it; N, Q and I cover their clause or the whole. An even number of S in a clause cancels. A payload that
-    has the operator itself is exempt.
+    has the operator itself is exempt. NEG-P: right before a number stands a word that is not known to assert it.
     """
     text, value = unicodedata.normalize("NFKC", sentence).lower(), unicodedata.normalize("NFKC", payload).lower()
     at = text.find(value)
@@ -111,9 +134,27 @@ def polarity(payload: str, sentence: str) -> str:
             hit = bool(inside)
         if hit:
             found.append(name)
+    if is_number(value) and not asserting(word_before(text, at)):
+        found.append("NEG-P")
     return ",".join(found) or "pass"
 
 
+def is_number(value: str) -> bool:
+    """Whether a payload as a whole is a number, but for its currency, percent sign or scale."""
+    core = re.sub(r"\s*(?:million|billion|thousand|万|亿|千|百分点|个百分点)$", "", re.sub(r"[%‰]$", "", re.sub(r"^[$¥€£]", "", value.strip())), flags=re.I)
+    return re.fullmatch(r"[-−+]?[\d〇一二三四五六七八九十百千万亿]+(?:\.\d+)?", re.sub("[,，]", "", core).strip()) is not None
+
+
+def word_before(text: str, at: int) -> str:
+    """The word, or run of Chinese characters, that ends right before a place; empty at the start and after a mark."""
+    m = re.search(r"([\u4e00-\u9fff]+|[A-Za-z]+)[\s(（【\[「『\"']*$", text[:at])
+    return m[1].lower() if m else ""
+
+
+def asserting(word: str) -> bool:
+    return not word or (word in BEFORE_NUMBERS if word.isascii() else word.endswith(tuple(w for w in BEFORE_NUMBERS if not w.isascii())))
+
+
 def frame(value: str, discriminator: str, sentence: str) -> str:
     """Whether a number is told apart from competing readings of its unit in the sentence.
 
@@ -142,9 +183,16 @@ def counter_scan(entities: str, query: str, results: str, support: str, known: s
     if not all(set(e) <= set(words) for e in asked):
         return "a"
     extra = [w for w in words if not any(w in e for e in asked)]
-    if len(extra) > 8 or any(w not in CONTROLLED for w in extra):
+    compared = any(w in COUNTER_COMPARE for w in extra)
+    if len(extra) > 8 or any(w not in CONTROLLED and not (compared and w.isdigit()) for w in extra):
         return "b"
-    if sum(w in ("not", "no", "failed", "fails", "refuted", "retracted", "contrary", "against", "decline") for w in extra) != 1:
+    # exactly one operator: a negation, another number under comparison, one or two words of contrary literature; a negation right before such a word is one with it
+    chinese = [w for w in COUNTER_LITERATURE if not w.isascii() and w in query]
+    negated = any(w in COUNTER_NOT for w in extra) or any(w in query for w in COUNTER_NOT if not w.isascii() and not any(w in c for c in chinese))
+    contrary = {w for w in extra if w in COUNTER_LITERATURE} | set(chinese)
+    joined = any(a in COUNTER_NOT and (b in COUNTER_LITERATURE or b in COUNTER_NEUTRAL) for a, b in zip(words, words[1:], strict=False))
+    number = compared and any(w.isdigit() for w in extra)
+    if len(contrary) > 2 or (negated and not (joined and contrary)) + bool(contrary) + number != 1:
         return "c"
     got = set(split(results))
     if got and got <= set(split(support)):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimweave.operators.graph import cut
+
 
 def latest(log: DataFrame, key: str, seq: str) -> DataFrame:
     """The last record of each id. One aggregation with map-side combining, no sort of the log."""
@@ -41,3 +43,11 @@ def streak(rounds: DataFrame, key: str, seq: str, progressed: Column) -> DataFra
     marked = rounds.withColumn("_p", progressed.cast("int")).withColumn("_island", F.sum("_p").over(w))
     runs = marked.withColumn("_run", F.sum(1 - F.col("_p")).over(w.partitionBy(key, "_island")))
     return runs.groupBy(key).agg(F.max("_run").alias("longest"), F.min(F.when(F.col("_run") >= 2, F.col(seq))).alias("stopped_at"))
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """df with place: 1 for the least key and so on, without a window over the whole table. Parts are dealt by range and kept, then counted."""
+    parts = cut(df.repartitionByRange(key).sortWithinPartitions(key).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))  # one row a part
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.join(F.broadcast(sizes.select("_part", "_first", before.alias("_before"))), "_part").withColumn("place", F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_part", "_at", "_first", "_before")

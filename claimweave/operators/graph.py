@@ -87,10 +87,7 @@ def paths(nodes: DataFrame) -> DataFrame:
     return every
 
 
-def distance_class(mine: Column, other: Column) -> Column:
-    """0 self, 1 descendant, 2 ancestor, 3 sibling, 4 elsewhere: by two paths."""
-    n, m = F.size(mine), F.size(other)
-    return (
-        F.when(mine == other, 0).when((m > n) & (F.slice(other, F.lit(1), n) == mine), 1).when((n > m) & (F.slice(mine, F.lit(1), m) == other), 2)
-        .when((n == m) & (n > 1) & (F.slice(mine, F.lit(1), n - 1) == F.slice(other, F.lit(1), m - 1)), 3).otherwise(4)
-    )
+def distance_class(mine: Column, my_parent: Column, other: Column, other_parent: Column) -> Column:
+    """0 self, 1 descendant, 2 ancestor, 3 sibling, 4 elsewhere: by two joined paths and those of the parents (null at a root)."""
+    below = lambda a, b: F.startswith(b, F.concat(a, F.lit("/")))
+    return F.when(mine == other, 0).when(below(mine, other), 1).when(below(other, mine), 2).when(my_parent == other_parent, 3).otherwise(4)

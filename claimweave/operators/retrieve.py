@@ -102,3 +102,17 @@ def merge_by_content(docs: DataFrame) -> DataFrame:
     """One row a distinct content: its hash, the first id, how many, and the sources in order."""
     own = docs.groupBy(F.sha2("text", 256).alias("content_hash"))
     return own.agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
+
+
+def by_blocks(queries: DataFrame, query_key: str, rows: DataFrame, row_key: str, block: int = 2048) -> DataFrame:
+    """A stated set of queries beside all rows, as an equi-join on (query block, row block): each task holds one block of queries, whatever the sizes."""
+    nq, nr = (max(1, -(-df.count() // block)) for df in (queries, rows))
+    own = lambda df, key, mine, n, other, m: df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    return own(queries, query_key, "_qb", nq, "_rb", nr).join(own(rows, row_key, "_rb", nr, "_qb", nq), ["_qb", "_rb"]).drop("_qb", "_rb")
+
+
+def search_box(titles: DataFrame, units: DataFrame, key: str, asked: str) -> DataFrame:
+    """All units (key, text) of the records whose title (key, title), or any unit, has the words, whatever their case."""
+    has = lambda c: F.contains(F.lower(c), F.lit(asked.lower()))
+    hit = titles.where(has("title")).select(key).union(units.where(has("text")).select(key)).distinct()
+    return units.join(hit, key, "left_semi")

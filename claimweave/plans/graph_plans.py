@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.operators import cluster, graph
+from claimweave.operators import cluster, current, graph
 from claimweave.plans.registry import query
 from claimweave.sources.tables import load
 
@@ -52,12 +52,12 @@ def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.touched(n, edges(spark, sf_dir), n.where("lane = 4 and rejected").select("node"))
 
 
-@query("""with recursive e as (select c_custkey as s, c_custkey // 2 as t from customer where c_custkey between 1 and 150 union select c_custkey, (7 * c_custkey + 1) % 100 from customer where c_custkey % 3 = 0 and c_custkey <= 150),
+@query("""with recursive e as (select c_custkey as s, c_custkey // 2 as t from customer where c_custkey >= 1 union select c_custkey, (7 * c_custkey + 1) % 100 from customer where c_custkey % 3 = 0),
  x as (select s as source, t as target from e where s <> t), r as (select source, target from x union select r.source, x.target from r join x on x.source = r.target), back as (select distinct source as node from r where source = target)
  select x.source, x.target from x where x.target in (select node from back) or exists (select 1 from r where r.source = x.target and r.target in (select node from back))""")
 def cycle_check_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges from which a cycle can be reached: what is left when nodes without outgoing edges are peeled off."""
-    c = load(spark, sf_dir, "customer").where("c_custkey <= 150")
+    c = load(spark, sf_dir, "customer")
     e = c.where("c_custkey >= 1").selectExpr("c_custkey as source", "c_custkey div 2 as target").union(c.where("c_custkey % 3 = 0").selectExpr("c_custkey", "(7 * c_custkey + 1) % 100")).where("source <> target").distinct()
     return graph.cyclic(e.select(F.col("target").alias("source"), F.col("source").alias("target"))).select(F.col("target").alias("source"), F.col("source").alias("target"))
 
@@ -77,14 +77,19 @@ def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.paths(nodes(spark, sf_dir)).select("node", "depth", F.array_join("path", "/").alias("path"))
 
 
-@query(_TREE + """, o as (select o_orderkey, o_custkey, (o_orderkey * 11 + 5) % 120 as other from orders where o_orderkey % 5 = 0)
+@query(_TREE + """, o as (select o_orderkey, o_custkey, (o_orderkey * 11 + 5) % 120 as other from orders)
  select o_orderkey, case when a.path = b.path then 0 when starts_with(b.path, a.path || '/') then 1 when starts_with(a.path, b.path || '/') then 2 when a.depth = b.depth and a.depth > 0 and regexp_replace(a.path, '/\\d+$', '') = regexp_replace(b.path, '/\\d+$', '') then 3 else 4 end as distance
  from o join p a on a.node = o.o_custkey join p b on b.node = o.other""")
 def tree_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = graph.cut(graph.paths(nodes(spark, sf_dir)).select("node", "path"))
-    o = load(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").selectExpr("o_orderkey", "o_custkey as node", "(o_orderkey * 11 + 5) % 120 as other")
-    pairs = o.join(p, "node").join(p.select(F.col("node").alias("other"), F.col("path").alias("path2")), "other")
-    return pairs.select("o_orderkey", graph.distance_class(F.col("path"), F.col("path2")).alias("distance"))
+    return moves(spark, sf_dir).select("o_orderkey", graph.distance_class(F.col("path"), F.col("up"), F.col("path2"), F.col("up2")).alias("distance"))
+
+
+def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two nodes of each order, with their paths and their parents' paths as strings."""
+    joined = F.array_join("path", "/")
+    p = graph.cut(graph.paths(nodes(spark, sf_dir)).select("node", joined.alias("path"), F.expr("case when depth > 0 then substring_index(array_join(path, '/'), '/', depth) end").alias("up")))
+    o = load(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey as node", "(o_orderkey * 11 + 5) % 120 as other")
+    return o.join(p, "node").join(p.select(F.col("node").alias("other"), F.col("path").alias("path2"), F.col("up").alias("up2")), "other")
 
 
 @query(_TREE + ", d as (select p.node, max(list_position(string_split(p.path, '/'), cast(n.node as varchar))) as place from p join n on n.rejected and n.node <> p.node and list_contains(string_split(p.path, '/'), cast(n.node as varchar)) group by p.node) select d.node as node, cast(string_split(p.path, '/')[place] as bigint) as dead from d join p on p.node = d.node")
@@ -293,11 +298,9 @@ def sibling_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").where("o_orderstatus in ('O', 'P')").select(F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("id")).join(near, "id", "left_semi").select("item")
 
 
-@query("select c_custkey as id, 'N-' || lpad(cast((select max(c_custkey) from customer) + row_number() over (order by c_custkey) as varchar), 8, '0') as new_id from customer where c_nationkey = 5")
+@query("select c_custkey as id, 'N-' || lpad(cast((select max(c_custkey) from customer) + row_number() over (order by c_custkey) as varchar), 8, '0') as new_id from customer")
 def id_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New ids for one batch (the records of one nation): the largest number and their place, zero-padded."""
+    """New ids for all records: the largest number and their place, zero-padded."""
     c = load(spark, sf_dir, "customer")
     top = c.agg(F.max("c_custkey").alias("top")).first()["top"]
-    from pyspark.sql import Window
-
-    return c.where("c_nationkey = 5").select(F.col("c_custkey").alias("id"), F.concat(F.lit("N-"), F.lpad((F.row_number().over(Window.orderBy("c_custkey")) + F.lit(top)).cast("string"), 8, "0")).alias("new_id"))
+    return current.numbered(c.select(F.col("c_custkey").alias("id")), "id").select("id", F.concat(F.lit("N-"), F.lpad((F.col("place") + F.lit(top)).cast("string"), 8, "0")).alias("new_id"))

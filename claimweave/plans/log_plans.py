@@ -199,7 +199,7 @@ def facet_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(ledger.matches_facet(F.col("domain"), F.lit(""), F.col("tier"), F.col("facet"))).groupBy("facet").agg(F.count(F.lit(1)).alias("matches"), F.min("page_id").alias("first_page"))
 
 
-_BIND = """t as (select c_custkey as target from customer), b as (select o_custkey as target, l_partkey as doc, case l_returnflag when 'A' then 'supports' when 'R' then 'refutes' end as direction from orders join lineitem on l_orderkey = o_orderkey where l_linenumber = 1),
+_BIND = """t as (select c_custkey as target from customer), b as (select o_custkey as target, l_partkey as doc, case l_returnflag when 'A' then 'supports' when 'R' then 'refutes' end as direction from orders join lineitem on l_orderkey = o_orderkey),
 d as (select p_partkey as doc, case when p_size % 7 = 0 then '' else p_brand end as publisher, case p_type when 'ECONOMY' then 'T1_official' when 'STANDARD' then 'T3_working_paper' when 'PROMO' then 'T5_press' else 'T4_industry_data' end as tier from part)"""
 
 
@@ -209,14 +209,14 @@ d as (select p_partkey as doc, case when p_size % 7 = 0 then '' else p_brand end
  (count(*) filter (tier in ('T1_official', 'T2_peer_reviewed')) > 0 and count(distinct o.doc) >= 2) or (count(distinct o.doc) filter (tier in ('T3_working_paper', 'T4_industry_data')) >= 2 and count(distinct publisher) filter (tier in ('T3_working_paper', 'T4_industry_data') and publisher <> '') >= 2) as triangulated
  from t left join o on o.target = t.target group by t.target""")
 def coverage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets are customers, bindings their orders' first lines, documents the parts."""
-    o, li, p = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem").where("l_linenumber = 1"), load(spark, sf_dir, "part")
+    """Targets are customers, bindings their orders' lines, documents the parts."""
+    o, li, p = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "part")
     bindings = o.join(li, o["o_orderkey"] == li["l_orderkey"]).selectExpr("o_custkey as target", "l_partkey as doc", "case l_returnflag when 'A' then 'supports' when 'R' then 'refutes' end as direction")
     docs = p.selectExpr("p_partkey as doc", "case when p_size % 7 = 0 then '' else p_brand end as publisher", "case p_type when 'ECONOMY' then 'T1_official' when 'STANDARD' then 'T3_working_paper' when 'PROMO' then 'T5_press' else 'T4_industry_data' end as tier")
     return ledger.coverage(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target")), bindings, docs)
 
 
-_ANGLE = "select user_id as target, case event_id % 4 when 0 then 'official_stats' when 1 then 'academic' when 2 then 'counter' else 'industry' end as angle, case event_type when 'error' then 'tried_blocked' when 'purchase' then 'productive' when 'view' then 'no_attempt' else 'tried_empty' end as outcome from events where value < 6"
+_ANGLE = "select user_id as target, case event_id % 4 when 0 then 'official_stats' when 1 then 'academic' when 2 then 'counter' else 'industry' end as angle, case event_type when 'error' then 'tried_blocked' when 'purchase' then 'productive' when 'view' then 'no_attempt' else 'tried_empty' end as outcome from events"
 
 
 @query(f"with a as ({_ANGLE}) select target, angle, case max(case outcome when 'productive' then 3 when 'tried_blocked' then 2 when 'tried_empty' then 1 else 0 end) when 3 then 'productive' when 2 then 'tried_blocked' when 1 then 'tried_empty' else 'no_attempt' end as outcome from a group by target, angle")
@@ -238,11 +238,11 @@ def no_progress_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current.streak(load(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", F.col("event_type") == "purchase")
 
 
-@query("""with t as (select cast(c_custkey as varchar) as thread from customer where c_nationkey = 3), b as (select thread, (row_number() over (order by thread) - 1) // 6 as batch from t) select thread, batch from b""")
+@query("""with t as (select cast(c_custkey as varchar) as thread from customer), b as (select thread, (row_number() over (order by thread) - 1) // 6 as batch from t) select thread, batch from b""")
 def orchestrator_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threads of one run (a bounded set: those of one nation) in the order of their names, six at a time."""
-    t = load(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").cast("string").alias("thread"))
-    return t.select("thread", F.expr("(row_number() over (order by thread) - 1) div 6").alias("batch"))
+    """All threads in the order of their names, six at a time."""
+    t = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("thread"))
+    return current.numbered(t, "thread").select("thread", F.expr("(place - 1) div 6").alias("batch"))
 
 
 @query("""with r as (select user_id as thread, event_id, row_number() over (partition by user_id order by event_id) as round, case event_type when 'purchase' then 'verified' when 'error' then 'contested' else 'open' end as outcome from events),

@@ -260,14 +260,14 @@ _VEC = "with q as (select vec_id as q, cast(embedding as double[]) as a, label a
 
 
 def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The queries (every fiftieth vector) against the vectors of their own group and the next."""
+    """The queries (every fiftieth vector) against all vectors: each block of queries meets each block of vectors in a group of its own."""
     e = load(spark, sf_dir, "embeddings").where("embedding is not null")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("a"), F.col("label").alias("ql"), F.explode(F.array(F.col("label"), (F.col("label") + 1) % 10)).alias("vl"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("a"), F.col("label").alias("ql"))
     v = e.select(F.col("vec_id").alias("v"), F.col("embedding").alias("b"), F.col("label").alias("vl"))
-    return q.join(v, "vl").where("q <> v").withColumn("cos", retrieve.cosine(F.col("a"), F.col("b")))
+    return retrieve.by_blocks(q, "q", v, "v").where("q <> v").withColumn("cos", retrieve.cosine(F.col("a"), F.col("b")))
 
 
-_PAIR = _VEC + ", p as (select q, v, ql, vl, list_cosine_similarity(a, b) as cos, cast((q * 7 + v * 13) % 5 as bigint) as raw from q join v on q <> v and (vl = ql or vl = (ql + 1) % 10))"
+_PAIR = _VEC + ", p as (select q, v, ql, vl, list_cosine_similarity(a, b) as cos, cast((q * 7 + v * 13) % 5 as bigint) as raw from q join v on q <> v)"
 _MM = ", n as (select *, case when max(raw) over (partition by q) > min(raw) over (partition by q) then (raw - min(raw) over (partition by q)) / (max(raw) over (partition by q) - min(raw) over (partition by q)) else case when raw > 0 then 1.0 else 0.0 end end as s from p)"
 
 
@@ -344,10 +344,10 @@ def claim_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GATES = {
-    "polarity": (text_udf.polarity, [("92%", "The method reached 92% on the set.", "pass"), ("92%", "The method did not reach 92% on the set.", "NEG-S"), ("92%", "It reached at most 92% here.", "NEG-L"), ("gain", "Gain was comparable, gain was seen.", "NEG-N"), ("5%", "If tuned, it gains 5% more.", "NEG-C"), ("5%", "They claimed a 5% gain.", "NEG-R"), ("3", "It is not true that it never gave 3 hits.", "pass"), ("x", "no such", "absent"), ("92%", "准确率未达到92%。", "NEG-S"), ("90%", "Is it 90%?", "NEG-I")]),
+    "polarity": (text_udf.polarity, [("92%", "The method reached 92% on the set.", "pass"), ("92%", "The method did not reach 92% on the set.", "NEG-S"), ("92%", "It reached at most 92% here.", "NEG-L,NEG-P"), ("gain", "Gain was comparable, gain was seen.", "NEG-N"), ("5%", "If tuned, it gains 5% more.", "NEG-C,NEG-P"), ("92%", "在无噪声情况下达到92%。", "NEG-S,NEG-C"), ("7", "Gains did not reach significance at 7 sites.", "NEG-S,NEG-N"), ("19-9", "A test for 19-9 was used.", "pass"), ("40", "It topped 40 in trials.", "NEG-P"), ("5%", "They claimed a 5% gain.", "NEG-R"), ("3", "It is not true that it never gave 3 hits.", "pass"), ("x", "no such", "absent"), ("92%", "准确率未达到92%。", "NEG-S"), ("90%", "Is it 90%?", "NEG-I")]),
     "frame": (text_udf.frame, [("92.4", "", "It scored 92.4 points in all.", "alone"), ("39%", "treated", "39% of treated and 12% of control patients", "told"), ("39%", "patients", "39% of treated patients and 12% of control patients", "ambiguous"), ("7", "a", "there were 8 of them", "absent"), ("39%", "", "39% or 12% of patients", "ambiguous")]),
     "containment": (text_udf.containment, [("value", "36", "a rate of 36% was seen", "exact"), ("value", "36%", "thirty-six percent of them", "numeric"), ("value", "3", "a rate of 36% was seen", None), ("entity", "network models", "the networks model worked", "stem"), ("entity", "training runs", "trained on a training run", None), ("metric", "thirty", "30 of them", None)]),
-    "counter_scan": (text_udf.counter_scan, [("AlphaFold", "alphafold not replication", "W2", "W1", "W1,W2", "pass"), ("AlphaFold", "other not", "W2", "W1", "W1,W2", "a"), ("AlphaFold", "alphafold not weather", "W2", "W1", "W1,W2", "b"), ("AlphaFold", "alphafold not failed", "W2", "W1", "W1,W2", "c"), ("AlphaFold", "alphafold not", "W1", "W1", "W1,W2", "d"), ("AlphaFold", "alphafold not", "W9", "W1", "W1,W2", "e"), ("AlphaFold", "alphafold not", "", "W1", "W1", "pass")]),
+    "counter_scan": (text_udf.counter_scan, [("AlphaFold", "alphafold not replication", "W2", "W1", "W1,W2", "pass"), ("AlphaFold", "other not", "W2", "W1", "W1,W2", "a"), ("AlphaFold", "alphafold not weather", "W2", "W1", "W1,W2", "b"), ("AlphaFold", "alphafold not failed", "W2", "W1", "W1,W2", "pass"), ("AlphaFold", "alphafold not the failed", "W2", "W1", "W1,W2", "c"), ("AlphaFold", "alphafold replicated", "W2", "W1", "W1,W2", "c"), ("AlphaFold", "alphafold below 90", "W2", "W1", "W1,W2", "pass"), ("AlphaFold", "alphafold disputed", "W2", "W1", "W1,W2", "pass"), ("AlphaFold", "alphafold disputed retracted refuted", "W2", "W1", "W1,W2", "c"), ("AlphaFold", "alphafold not", "W1", "W1", "W1,W2", "d"), ("AlphaFold", "alphafold not", "W9", "W1", "W1,W2", "e"), ("AlphaFold", "alphafold not", "", "W1", "W1", "pass")]),
 }
 for _name, (_f, _cases) in GATES.items():
 
