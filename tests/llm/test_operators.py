@@ -445,7 +445,8 @@ def test_proximity(spark):
 
 # ---- 8
 
-def brute_components(docs, num, den, m):
+def brute_roots(docs, num, den, m):
+    """The component of each row, by the number of one of its rows."""
     words = lambda t: (t or "").encode().lower().split()
     sets = []
     for d, t in docs:
@@ -463,10 +464,16 @@ def brute_components(docs, num, den, m):
             a, b = sets[i][1], sets[j][1]
             if a and b and den * len(a & b) >= num * len(a | b):
                 root[find(i)] = find(j)
-    least = defaultdict(list)
-    for i, (d, _) in enumerate(sets):
-        least[find(i)].append(d)
-    return sorted(((d, len(s), min((x for x in least[find(i)] if x is not None), default=None)) for i, (d, s) in enumerate(sets)), key=str)
+    return [find(i) for i in range(len(sets))]
+
+
+def brute_components(docs, num, den, m):
+    words = lambda t: (t or "").encode().lower().split()
+    roots, least = brute_roots(docs, num, den, m), defaultdict(list)
+    for (d, _), r in zip(docs, roots, strict=True):
+        least[r].append(d)
+    size = lambda w: len({tuple(w[i : i + m]) for i in range(max(1, len(w) - m + 1))}) if w else 0
+    return sorted(((d, size(words(t)), min((x for x in least[r] if x is not None), default=None)) for (d, t), r in zip(docs, roots, strict=True)), key=str)
 
 
 @pytest.mark.parametrize(("num", "size"), [(90, 3), (80, 5), (50, 1)])
