@@ -168,15 +168,16 @@ class JaccardJoin:
                 out.append(den * both >= num * (len(x) + len(y) - both))
             return pd.Series(out, dtype="bool")
 
-        # a class of very many pairs (the pivot of a large group) meets them in parts, each with a copy of its set
-        times = materialize(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "times")
-        hot = times.where("parts > 1")
-        hot = F.broadcast(hot) if bounded(hot) else hot
-        parts = F.coalesce("parts", F.lit(1))
-        left = pairs.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"))
-        left = left.join(sets.select(F.col("k").alias("a"), F.col("own").alias("own_a")), "a")
-        right = sets.select(F.col("k").alias("b"), F.col("own").alias("own_b")).join(times, "b").select("b", "own_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        return left.join(right, ["b", "part"]).where(linked("own_a", "own_b")).select("a", "b")
+        # a class of very many pairs (the pivot of a large group) meets them in parts, each with a copy of its set; the sets of the
+        # others come from the one shuffle by class that serves both sides
+        hot = materialize(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 1"), "hot")
+        own = lambda c: sets.select(F.col("k").alias(c), F.col("own").alias(f"own_{c}"))
+        few = F.broadcast(hot) if bounded(hot) else hot
+        most = pairs.join(few, "b", "left_anti").join(own("a"), "a").join(own("b"), "b")
+        rest = pairs.join(few, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")).join(own("a"), "a")
+        copies = own("b").join(few, "b").select("b", "own_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        out = [x.where(linked("own_a", "own_b")).select("a", "b") for x in (most, rest.join(copies, ["b", "part"]))]
+        return out[0].union(out[1])
 
     def sets_of(self, rows: DataFrame, wanted: DataFrame) -> DataFrame:
         """(k, own) of the wanted classes (k, doc) and a few others, read again from the texts of their first documents."""
