@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SUFFIXES = ["ions", "ion", "ing", "ies", "es", "ed", "s", "e"]
 STOP = ["the", "a", "an", "of", "in", "on", "for", "to", "and", "or", "is", "was", "were", "are", "be", "with", "by", "at", "as", "that", "this", "it", "we", "our", "的", "了", "是", "在", "和", "与", "对", "有", "这", "那", "被", "为"]
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}"
+# fixed value of the quote forms: ideographs, their marks and the full-width forms
+QUOTE_CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}"
 COMMON_NUMBERS = ["100", "50", "95", "99"]
 
 
@@ -25,7 +27,7 @@ def fold_marks(text: Column) -> Column:
 def normalize_quote(text: Column) -> Column:
     """Marks folded, blanks squeezed, and no blank beside a CJK character. Compatibility forms: text_udf.nfkc first."""
     plain = squeeze(fold_marks(text))
-    return F.regexp_replace(F.regexp_replace(plain, rf"(?<=[{CJK}])\s+", ""), rf"\s+(?=[{CJK}])", "")
+    return F.regexp_replace(F.regexp_replace(plain, rf"(?<=[{QUOTE_CJK}])\s+", ""), rf"\s+(?=[{QUOTE_CJK}])", "")
 
 
 def dehyphenate(text: Column) -> Column:
@@ -177,7 +179,7 @@ def norm_v0(text: Column) -> Column:
 def normalize_legacy(text: Column) -> Column:
     """The quote form that drops every blank of a text with any Chinese character; kept as a control."""
     t = squeeze(fold_marks(text))
-    return F.when(t.rlike(r"[\u4E00-\u9FFF]"), F.regexp_replace(t, r"(?U)\s+", "")).otherwise(t)
+    return F.when(t.rlike(f"[{QUOTE_CJK}]"), F.regexp_replace(t, r"(?U)\s+", "")).otherwise(t)
 
 
 def recent_year(text: Column, year: int) -> Column:

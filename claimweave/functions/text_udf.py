@@ -14,6 +14,8 @@ from pyspark.sql.types import DataType, StringType
 ONES = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
 TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
 CHINESE = "零一二三四五六七八九"
+CHINESE_NUMBER = "〇零一二三四五六七八九十百千万亿两"
+UNITS = "%|‰|倍|x|ms|秒|分钟|小时|天|年|月|日|个|篇|条|名|例|人|位|项|次|种|组|家|所|元|万元|亿元|美元|分|度|kg|g|mg|km|m|cm|mm|GB|MB|KB"
 DASHES = "‐‑‒–—―−－⁻"
 # fixed values of the polarity rules: operators by class
 NEGATIONS = {
@@ -201,17 +203,21 @@ def counter_scan(entities: str, query: str, results: str, support: str, known: s
 
 
 def bare_numbers(skeleton: str) -> list[str]:
-    """Numbers of a skeleton that stand outside placeholders {{claim.field}}; years, ordinals and parts of names are none."""
+    """Numbers of a skeleton that stand outside placeholders {{claim.field}}; years, ordinals and parts of names are none, nor is the unit behind a placeholder."""
     text = re.sub(r"\{\{[^}]*\}\}", "\0", unicodedata.normalize("NFKC", skeleton))
     out = []
     for m in re.finditer(r"(?<![\w.])\d+(?:\.\d+)?(?:[eE][+-]?\d+)?", text):
         before, after = text[: m.start()], text[m.end() :]
         year = re.fullmatch(r"(19|20)\d\d", m[0]) and (re.match(r"\s*年", after) or re.search(r"[(（]\s*$", before) and re.match(r"\s*[)）]", after))
         ordinal = "." not in m[0] and re.search(r"(第|§|No\.|Section|Table|Tab\.|Figure|Fig\.|Chapter|表|图)\s*$", before, re.I)
-        named = re.search(r"[A-Za-z]-?$", before)
-        if not (year or ordinal or named):
+        hyphened = (after[:1] == "-" and after[1:2].isdigit()) or re.search(r"\d-$", before)
+        named = re.search(r"[A-Za-z]-?$", before) or (hyphened and re.search("[A-Za-z]", before.rstrip()[-8:]))
+        counted = re.match(rf"\s*(?:{UNITS})(?!\w)", after)
+        if not (year or not counted and (ordinal or named)):
             out.append(m[0])
-    return out + re.findall(r"百分之[〇零一二三四五六七八九十百千万两]+", text)
+    for pattern in (rf"(?<![A-Za-z])[IVXLCDM]{{2,}}\s*(?:{UNITS})", rf"[{CHINESE_NUMBER}]{{2,}}\s*(?:{UNITS}|百分点|分之)", f"百分之[{CHINESE_NUMBER}]+"):
+        out += [m[0].strip() for m in re.finditer(pattern, text) if not text[: m.start()].rstrip().endswith("\0")]
+    return out
 
 
 def render(value: str, status: str, sources: int, clusters: int) -> str:

@@ -27,7 +27,7 @@ def norm_v0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.length(t).cast("long").alias("n"), F.sha2(t, 256).alias("h"))
 
 
-@query("select item_id, case when regexp_matches(q, '[\\x{4E00}-\\x{9FFF}]') then regexp_replace(q, '\\s+', '', 'g') else q end as quote from (select item_id, trim(regexp_replace(replace(translate(text, '‘’“”–—', '''''\"\"--'), '…', '...'), '\\s+', ' ', 'g')) as q from benchmark)")
+@query(f"select item_id, case when regexp_matches(q, '[{text.QUOTE_CJK}]') then regexp_replace(q, '\\s+', '', 'g') else q end as quote from (select item_id, trim(regexp_replace(replace(translate(text, '‘’“”–—', '''''\"\"--'), '…', '...'), '\\s+', ' ', 'g')) as q from benchmark)")
 def normalize_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The control form: all blanks go where any Chinese character stands."""
     return load(spark, sf_dir, "benchmark").select("item_id", text.normalize_legacy(F.col("text")).alias("quote"))
