@@ -55,10 +55,11 @@ def tier_changes(profiles: DataFrame, seq: str) -> DataFrame:
 
 
 def matches_facet(domain: Column, publisher: Column, tier: Column, facet: Column) -> Column:
-    """Official sources always; else a substring of domain or publisher, or a whole label of the domain that is no TLD."""
-    labels = F.filter(F.split(F.lower(domain), r"[^a-z0-9]+"), lambda x: (x != "") & ~x.isin(*TLDS))
-    words = F.filter(F.split(F.lower(facet), r"[^a-z0-9]+"), lambda x: x != "")
-    return (tier == "T1_official") | F.contains(F.lower(domain), F.lower(facet)) | F.contains(F.lower(publisher), F.lower(facet)) | F.arrays_overlap(labels, words)
+    """Official sources always; else the facet names the domain or the publisher, or has a label of the domain, no TLD, as a whole word."""
+    named = lambda c: (c != "") & F.contains(F.lower(facet), F.lower(c))
+    labels = F.filter(F.split(F.lower(domain), r"\."), lambda x: (x != "") & ~x.isin(*TLDS))
+    words = F.regexp_extract_all(F.lower(facet), F.lit("[a-z0-9]+"), F.lit(0))
+    return (tier == "T1_official") | named(domain) | named(publisher) | F.arrays_overlap(labels, words)
 
 
 def best_angle(attempts: DataFrame, keys: list[str]) -> DataFrame:

@@ -189,12 +189,12 @@ def registry_tier_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.tier_changes(spark.sql(_PROFILE).withColumn("noted", F.col("blocked")), "doc_id").select("domain", "doc_id", "was", "tier")
 
 
-@query("""with p as (select page_id, regexp_extract(url, '://([^/?#]*)', 1) as domain, case when page_id % 19 = 0 then 'T1_official' else 'T5_press' end as tier from pages), f as (select unnest(['example', 'net', 'pills store', 'spam', 'tion']) as facet)
- select facet, cast(count(*) as bigint) as matches, min(page_id) as first_page from f, p where tier = 'T1_official' or contains(domain, facet)
-  or len(list_intersect(list_filter(regexp_split_to_array(domain, '[^a-z0-9]+'), lambda x: x <> '' and x not in ('com', 'org', 'net', 'gov', 'edu', 'io', 'co', 'uk', 'us', 'int', 'ac')), list_filter(regexp_split_to_array(facet, '[^a-z0-9]+'), lambda x: x <> ''))) > 0 group by facet""")
+@query("""with p as (select page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) as domain, case when page_id % 19 = 0 then 'T1_official' else 'T5_press' end as tier from pages), f as (select unnest(['example', 'net', 'pills store', 'spam at www.example.com', 'tion']) as facet)
+ select facet, cast(count(*) as bigint) as matches, min(page_id) as first_page from f, p where tier = 'T1_official' or (domain <> '' and contains(facet, domain))
+  or len(list_intersect(list_filter(string_split(domain, '.'), lambda x: x <> '' and x not in ('com', 'org', 'net', 'gov', 'edu', 'io', 'co', 'uk', 'us', 'int', 'ac')), regexp_extract_all(facet, '[a-z0-9]+'))) > 0 group by facet""")
 def facet_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = load(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("domain"), F.when(F.col("page_id") % 19 == 0, "T1_official").otherwise("T5_press").alias("tier"))
-    facets = F.explode(F.array(*map(F.lit, ("example", "net", "pills store", "spam", "tion"))))  # a constant list
+    facets = F.explode(F.array(*map(F.lit, ("example", "net", "pills store", "spam at www.example.com", "tion"))))  # a constant list
     rows = profiles.withColumn("facet", facets)
     return rows.where(ledger.matches_facet(F.col("domain"), F.lit(""), F.col("tier"), F.col("facet"))).groupBy("facet").agg(F.count(F.lit(1)).alias("matches"), F.min("page_id").alias("first_page"))
 
