@@ -23,11 +23,6 @@ def step_down(x: Column) -> Column:
     return F.when(x.isin(N, C), x).when(x == V, A).otherwise(U)
 
 
-def meet_all(start: Column, ceilings: Column) -> Column:
-    """The meet of start and an array of statuses; null elements bind nothing."""
-    return F.aggregate(F.filter(ceilings, lambda c: c.isNotNull()), start, meet)
-
-
 def steps_down(x: Column, n: Column) -> Column:
     """n steps down at once: two reach the bottom from anywhere."""
     return F.when(n <= 0, x).when(n == 1, step_down(x)).otherwise(step_down(step_down(x)))

@@ -6,10 +6,12 @@ null status and says where in contract_gap. The order of the steps is part of th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.operators.lattice import A, C, E, N, U, V, meet, meet_all, step_down, steps_down
+from claimweave.operators.lattice import A, C, E, N, U, V, meet, step_down, steps_down
 
 # fixed values of the status rules
 REQUIRED = ["evidence_grade", "independent_cluster_count", "counter_evidence_searched", "counter_evidence_found", "mechanism_results", "flags", "budget_state", "source_integrity", "kind", "retention_tier"]
@@ -44,7 +46,7 @@ def flag_drivers() -> dict[str, Column]:
 def with_status(claims: DataFrame) -> DataFrame:
     """claims with status, step (where it was decided), trace (codes of the steps that acted) and contract_gap."""
     has = lambda f: F.array_contains("flags", f)
-    missing = F.exists(F.array(*[F.col(c).isNull() for c in REQUIRED]), lambda m: m)
+    missing = reduce(Column.__or__, [F.col(c).isNull() for c in REQUIRED])
     undriven = F.lit(False)
     for flag, driver in flag_drivers().items():
         undriven = undriven | (has(flag) & ~F.coalesce(driver, F.lit(False)))
@@ -72,20 +74,24 @@ def with_status(claims: DataFrame) -> DataFrame:
         .when(kind == "K-L-T", F.when(transcribed, V).otherwise(supported)).when(kind == "K-L-A", supported)
         .otherwise(F.when(yes("inference_gate_passed"), A).otherwise(U))
     )
-    weak = F.exists("mechanism_results", lambda m: m == "GC-2")
+    weak = F.array_contains("mechanism_results", "GC-2")
     df = claims.withColumn("_early", early).withColumn("_kind", F.when((kind == "K-L-T") & ~transcribed, "K-L-A").otherwise(kind))
     df = df.withColumn("_b1", by_kind).withColumn("_b1", F.when(yes("chart_extracted"), F.lit(E)).otherwise(F.when(weak, meet(F.col("_b1"), F.lit(A))).otherwise(F.col("_b1"))))
     few = F.col("independent_cluster_count") < literal_map(CLUSTERS_NEEDED)[F.col("_kind")]
     df = df.withColumn("_b2", F.when(few, step_down(F.col("_b1"))).otherwise(F.col("_b1")))
     df = df.withColumn("_b3", meet(meet(F.col("_b2"), literal_map(GRADE_CEILING)[F.col("evidence_grade")]), literal_map(TIER_CEILING)[F.col("retention_tier")]))
-    df = df.withColumn("_b4", meet_all(F.col("_b3"), F.transform("flags", lambda f: literal_map(FLAG_CEILING)[f])))
-    df = df.withColumn("_downs", F.size(F.filter("flags", lambda f: f.isin(*FLAG_STEP_DOWN))))
+    df = df.withColumn("_b4", F.col("_b3"))
+    for ceiling in dict.fromkeys(FLAG_CEILING.values()):
+        bound = F.arrays_overlap("flags", F.array(*[F.lit(f) for f, c in FLAG_CEILING.items() if c == ceiling]))
+        df = df.withColumn("_b4", F.when(bound, meet(F.col("_b4"), F.lit(ceiling))).otherwise(F.col("_b4")))
+    # what is removed counts, so that a flag set twice steps down twice; functions of lambdas would leave generated code
+    df = df.withColumn("_downs", F.size("flags") - F.size(reduce(F.array_remove, FLAG_STEP_DOWN, F.col("flags"))))
     df = df.withColumn("_b5", steps_down(F.col("_b4"), F.col("_downs")))
     degraded = F.col("budget_state") == "degraded"
     df = df.withColumn("_b6", F.when(degraded, step_down(F.col("_b5"))).otherwise(F.col("_b5")))
-    ceiled = F.exists("flags", lambda f: f.isin(*FLAG_CEILING))
+    ceiled = F.arrays_overlap("flags", F.array(*map(F.lit, FLAG_CEILING)))
     acted = [("1", F.lit(True)), ("1-K-L-A", F.col("_kind") != kind), ("1-GC-2", weak), ("1-chart", yes("chart_extracted")), ("2b", few), ("2c", F.lit(True)), ("2d", ceiled), ("2d'", F.col("_downs") > 0), ("2e", degraded)]
-    late = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for code, c in acted]), lambda x: x.isNotNull())
+    late = F.array_remove(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)).otherwise("") for code, c in acted]), "")
     decided = F.col("_early").isNotNull()
     out = df.select(
         *[F.col(c) for c in claims.columns], F.when(decided, F.col("_early.status")).otherwise(F.col("_b6")).alias("status"), F.when(decided, F.col("_early.step")).otherwise("end").alias("step"),
