@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
@@ -243,6 +244,20 @@ def exact_url(url: str | None) -> str | None:
     return urlunsplit((scheme, place.removeprefix("www."), path, urlencode(pairs), ""))
 
 
+def merge_patch(target: str | None, patch: str | None) -> str | None:
+    """A JSON merge patch (RFC 7386) in canonical form: null removes a key, objects merge, all else replaces. A null text is no document."""
+    if target is None or patch is None:
+        return target
+
+    def over(old, new):
+        if not isinstance(new, dict):
+            return new
+        left = old if isinstance(old, dict) else {}
+        return {k: v for k, v in left.items() if k not in new} | {k: over(left.get(k), v) for k, v in new.items() if v is not None}
+
+    return json.dumps(over(json.loads(target), json.loads(patch)), sort_keys=True, ensure_ascii=False)
+
+
 def rowwise(f, *columns, kind: DataType = StringType()):
     """f over the columns, an Arrow batch at a time; null where any argument is."""
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimweave.functions import text
+from claimweave.functions import text, text_udf
 from claimweave.operators import cluster, commit, graph
 from claimweave.operators.rules import audit, dangling, violation
+from claimweave.plans import rules_plans  # noqa: F401
 from claimweave.plans.graph_plans import _G, edges, nodes
-from claimweave.plans.registry import query
+from claimweave.plans.registry import ORACLES, QUERIES, query
 from claimweave.sources.tables import load
 
 _RECORD = """c_custkey as id, case when c_custkey % 3 = 0 then 'edge' else 'node' end as kind, case c_mktsegment when 'AUTOMOBILE' then 'parked' when 'BUILDING' then 'candidate' when 'FURNITURE' then 'pending_proof' else 'active' end as state,
@@ -207,3 +208,43 @@ def article_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("article")).agg(F.array_join(F.transform(F.sort_array(F.collect_set("o_orderkey")), lambda x: F.concat(F.lit("- ["), x.cast("string"), F.lit("]"))), "\n").alias("refs"))
     tail = F.when(F.col("refs").isNull(), "").otherwise(F.concat(F.lit("\n## References\n\n"), "refs", F.lit("\n")))
     return p.join(body, "article").join(refs, "article", "left").select("article", F.concat(F.lit("# "), "url", F.lit("\n\n"), "prose", tail).alias("body"), "skipped")
+
+
+_PATCHES = """case event_id % 4 when 0 then '{"x": {"y": null, "w": 5}}' when 1 then '{"k": null, "x": {"z": {"q": null, "r": 1}}}' when 2 then '{"x": 7}' else '{"n": {"m": null}}' end"""
+_TARGET = """replace(props, '}', ', "x": {"y": 1, "z": 2}}')"""
+_AT = ("k", "x", "x.y", "x.z.r", "x.w", "n.m")
+
+
+@query(f"with p as (select event_id, json_merge_patch({_TARGET}::json, ({_PATCHES})::json) as j from events) select event_id, " + ", ".join(f"json_extract(j, '$.{a}') is not null as has_{a.replace('.', '_')}" for a in _AT) + ", json_extract_string(j, '$.k') as k, json_extract_string(j, '$.x.z.r') as r from p")
+def merge_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings under a patch: what is left, what is new."""
+    e = load(spark, sf_dir, "events").selectExpr("event_id", f"{_TARGET} as target", f"{_PATCHES} as patch")
+    p = e.select("event_id", text_udf.rowwise(text_udf.merge_patch, "target", "patch").alias("j"))
+    at = lambda a: F.get_json_object("j", f"$.{a}")
+    return p.select("event_id", *[at(a).isNotNull().alias(f"has_{a.replace('.', '_')}") for a in _AT], at("k").alias("k"), at("x.z.r").alias("r"))
+
+
+#: table, id, and which column is hot as state, status, strength, queue_name and kind
+INDEXED = [("customer", "c_custkey", {"state": "c_mktsegment"}), ("orders", "o_orderkey", {"status": "o_orderstatus", "queue_name": "o_orderpriority"}), ("events", "event_id", {"kind": "event_type"}), ("part", "p_partkey", {"kind": "p_type", "strength": "p_brand"}), ("documents", "doc_id", {"kind": "lang", "state": "source"})]
+_HOT = ("state", "status", "strength", "queue_name", "kind")
+
+
+def _indexed(table: str, key: str, hot: dict[str, str]) -> str:
+    return f"select '{table}' as name, cast({key} as {{0}}) as id, " + ", ".join(f"{hot.get(c, 'cast(null as {0})')} as {c}" for c in _HOT) + f" from {table}"
+
+
+@query(" union all ".join(_indexed(*t) for t in INDEXED).format("varchar"))
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all tables in one shape, with the columns that lists filter by."""
+    for table, _, _ in INDEXED:
+        load(spark, sf_dir, table).createOrReplaceTempView(table)
+    return spark.sql(" union all ".join(_indexed(*t) for t in INDEXED).format("string"))
+
+
+AT_REST = ["rules_xref", "rules_restatement", "rules_lanes", "rules_source", "rules_task", "rules_wave"]
+
+
+@query("select rule, cast(count(*) as bigint) as n from (" + " union all ".join(f"select * from ({ORACLES[r]})" for r in AT_REST) + ") group by rule")
+def verify_at_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules about stored tables together: how often each is broken."""
+    return audit(*[QUERIES[r](spark, sf_dir) for r in AT_REST]).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
