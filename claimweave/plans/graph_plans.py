@@ -174,19 +174,21 @@ def sweep_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("target", (((F.col("a") >= 2) & (F.col("b") >= 2)) | (F.col("c") >= 2)).alias("floor"))
 
 
-@query("""with s as (select conv_id * 100 + turn as id, array_to_string(list_sort(regexp_extract_all(text, '\\d+(?:\\.\\d+)?')), ',') as d, list_distinct(list_transform(range(1, greatest(length(text) - 4, 0) + 1), lambda i: text[i : i + 4])) as g from conversations),
+@query("""with c as (select 200 * conv_id + 2 * turn as id, text from conversations union all select 200 * conv_id + 2 * turn + 1, text || ' so it is' from conversations where conv_id % 7 = 0), s as (select min(id) as id, array_to_string(list_sort(regexp_extract_all(text, '\\d+(?:\\.\\d+)?')), ',') as d, list_distinct(list_transform(range(1, greatest(length(text) - 4, 0) + 1), lambda i: text[i : i + 4])) as g from c group by text),
  p as (select a.id as a, b.id as b, len(list_intersect(a.g, b.g)) as i, len(a.g) as n, len(b.g) as m from s a join s b on a.id < b.id and a.d = b.d and len(a.g) > 0 and len(b.g) > 0 and least(len(a.g), len(b.g)) >= 0.82 * greatest(len(a.g), len(b.g)))
  select a, b, round(i / (n + m - i), 6) as jaccard from p where i / (n + m - i) >= 0.82""")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
-    return cluster.near_duplicates(refs).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Pairs of near-equal turns; some turns stand once more with a few words added."""
+    c, id = load(spark, sf_dir, "conversations"), 200 * F.col("conv_id") + 2 * F.col("turn")
+    refs = c.select(id.alias("id"), "text").union(c.where("conv_id % 7 = 0").select(id + 1, F.concat("text", F.lit(" so it is"))))
+    return cluster.near_duplicates(cluster.distinct_texts(refs)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query()
 def near_dup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over whole documents, where all pairs are too many for SQL; tests hold it against brute force."""
-    refs = load(spark, sf_dir, "documents").dropDuplicates(["text"]).select(F.col("doc_id").alias("id"), "text")
-    return cluster.near_duplicates(refs).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    refs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return cluster.near_duplicates(cluster.distinct_texts(refs)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("""with recursive s as (select doc_id, sha256(text) as h, case when n_chars % 97 = 0 then lang || source end as up from documents), e as (select a.doc_id as x, min(b.doc_id) as y from s a join s b on a.h = b.h group by a.doc_id union select a.doc_id, min(b.doc_id) from s a join s b on a.up = b.up group by a.doc_id),
