@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the cluster's folder; in one of our own only where none is set."""
+    """checkpoint() in the cluster's folder; in one of our own only on a local master where none is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="claimweave-graph-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="claimweave-graph-"))
     return df.checkpoint()
 
 
