@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm.ann import PermutationIndex
+from claimweave.llm.bitsliced import BitSlicedSearch
 from claimweave.llm.common import bounded, fold, materialize, table
 from claimweave.llm.decontam import decontaminate
+from claimweave.llm.exponion import ExponionKMeans
 from claimweave.llm.jaccard import JaccardJoin
 from claimweave.llm.langid import RankOrderProfiles
+from claimweave.llm.licenses import licence_scan
 from claimweave.llm.lm import SubwordLatticeModel
 from claimweave.llm.packing import best_fit
 from claimweave.llm.tokens import token_counts
@@ -84,6 +87,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(docs, "n_tokens")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licence_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op12_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return BitSlicedSearch().search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exponion_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ExponionKMeans().cluster(table(spark, sf_dir, "embeddings"))
+
+
 _OP7 = """
 with docs as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') as w from documents),
 items as (select item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') as w from benchmark where text is not null and item_id is not null),
@@ -108,10 +124,43 @@ m as (select host, path, rh || rp as rule, v, row_number() over (partition by ho
 select page_id, p.host as host, p.path as path, rule, coalesce(v, 'allow') as verdict from p left join m on p.host = m.host and p.path = m.path and m.k = 1
 """
 
+_TERMS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+_OP12 = f"""
+with docs as (select doc_id, row_number() over () as r, {_TERMS} as w from documents),
+col as (select count(*) as nd, sum(len(w)) as l from docs where len(w) > 0),
+asked as (select distinct item_id, t from (select item_id, unnest({_TERMS}) as t from benchmark where item_id is not null)),
+post as (select r, any_value(doc_id) as doc_id, any_value(n) as n, t, count(*) as tf from (select r, doc_id, len(w) as n, unnest(w) as t from docs) group by r, t),
+wt as (select t, cast(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) as bigint) as wt from (select t, count(*) as df from post where t in (select t from asked) group by t), col),
+hit as (select item_id, r, any_value(doc_id) as doc_id, cast(sum(wt * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nd) // l)))) as bigint) as score
+  from (select r, doc_id, t, tf, n, nd, cast(l as bigint) as l from post, col) join wt using (t) join asked using (t) group by item_id, r)
+select item_id, cast(rank as int) as rank, doc_id, score from (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank from hit where score > 0) where rank <= 50
+"""
+
+
+def _op13(k: int = 40, rounds: int = 5) -> str:
+    d = "list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c)"
+    near = lambda i: f"a{i} as materialized (select r, vec_id, v, own, d from (select r, vec_id, v, k as own, {d} as d, row_number() over (partition by r order by {d}, k) as best from x, c{i}) where best = 1)"
+    parts = [
+        "x as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda y: cast(floor(256 * cast(y as double)) as double)) as v from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda y: y is not null and isfinite(y))) = 64)",
+        f"c0 as materialized (select row_number() over (order by sha256('{2}:' || vec_id), v) - 1 as k, v as c from x where vec_id is not null qualify k < {k})",
+    ]
+    for i in range(rounds):
+        parts += [
+            near(i),
+            f"s{i} as (select own, p, sum(cast(y as bigint)) as s, count(*) as n from (select own, unnest(v) as y, unnest(range(64)) as p from a{i}) group by own, p)",
+            f"m{i} as (select own, list(cast((s - ((s % n) + n) % n) // n as double) order by p) as c from s{i} group by own)",
+            f"c{i + 1} as materialized (select k, coalesce(m{i}.c, c{i}.c) as c from c{i} left join m{i} on k = own)",
+        ]
+    return f"""with {", ".join([*parts, near(rounds)])}
+select vec_id, cast(own as int) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by own) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
+  sha256(array_to_string(list_transform(c, lambda y: cast(cast(y as bigint) as varchar)), ',')) as centroid_sha256
+from a{rounds} join c{rounds} on own = k"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_permutation_ann, op2_language_id, op3_wrapper_induction, op4_token_counts, op5_subword_lattice, op6_toxicity, op7_decontamination, op8_ngram_jaccard, op9_url_filter, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_permutation_ann, op2_language_id, op3_wrapper_induction, op4_token_counts, op5_subword_lattice, op6_toxicity, op7_decontamination, op8_ngram_jaccard, op9_url_filter, op10_best_fit_packing,
+                                  op11_license_scan, op12_bit_sliced_search, op13_exponion_kmeans)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": _OP7, "op9_url_filter": _OP9}
+    return {"op7_decontamination": _OP7, "op9_url_filter": _OP9, "op12_bit_sliced_search": _OP12, "op13_exponion_kmeans": _op13()}
