@@ -13,9 +13,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimweave.llm.ann import InvertedFiles, PermutationIndex, permutations
+from claimweave.llm.bitsliced import BitSlicedSearch, BlockIndex, best
 from claimweave.llm.decontam import PositionalIndex, decontaminate
+from claimweave.llm.exponion import Centroids, ExponionKMeans, squared
 from claimweave.llm.jaccard import JaccardJoin
 from claimweave.llm.langid import RankOrderProfiles
+from claimweave.llm.licenses import PHRASES, TEMPLATES, LicenceScanner, SuffixAutomaton, licence_scan
 from claimweave.llm.lm import Lattice, SubwordLatticeModel
 from claimweave.llm.packing import SIZES, best_fit, cost
 from claimweave.llm.queries import op1_permutation_ann
@@ -591,3 +594,170 @@ def test_packing_deals_repeats(spark):
     shards = Counter(r["shard"] for r in got)
     assert len(got) == 2002 and len(shards) == 11 and max(shards.values()) < 300
     assert {r["doc_id"] for r in got} == {7, None, big}
+
+
+# ---- 11
+
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain_places(text):
+    w = plain_words(text)
+    return w, [(i, label) for phrase, label in PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+
+
+def test_licence_scan(spark, odd):
+    gpl, mit = "This work is licensed under the GNU General Public License, version 3.", "Released under the MIT License."
+    rows = [
+        *odd, (20, gpl), (21, "x " * 9 + mit + " y"), (22, "CC BY, cc-by cc_by ccby CC  BY. all rights reserved"), (23, TEMPLATES[13][1]), (24, TEMPLATES[13][1].replace("charge,", "charge, really,").replace("copy of", "copies of")),
+        (25, "the software and the work of the public"), (26, (mit + " ") * 400), (27, "general public license " * 3000), (28, "general public licence"), (29, mit + " " + gpl), (29, mit + " " + gpl), (30, "released under the other mit license of some kind"),
+    ]
+    got = licence_scan(frame(spark, rows))
+    assert got.columns[:2] == ["doc_id", "text"] and {"extra", "words"} < set(got.columns)
+    found = sorted(((r["doc_id"], r["text"] or "", r) for r in got.collect()), key=lambda x: (str(x[0]), x[1]))
+    assert len(found) == len(rows)
+    for _, text, r in found:
+        w, places = plain_places(text)
+        starts = [i for i, _ in places]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(places), min(starts, default=None), max(starts, default=None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in places})) and {x for _, x in places} <= {*r["labels"].split(",")} and 0 <= r["score"] <= 1
+        assert all(s["covered"] >= 0.8 * s["size"] and w[s["start"]] in plain_words(" ".join(t for _, t in TEMPLATES)) for s in r["spans"])
+    by = {i: r for i, _, r in found}
+    assert by[20]["labels"] == "gpl,gpl-3.0" and by[21]["labels"] == "mit" and [tuple(s)[:3] for s in by[21]["spans"]] == [("mit", 9, 13)] and by[23]["labels"] == "mit" == by[24]["labels"]
+    assert by[25]["labels"] == "" and by[29]["labels"] == "gpl,gpl-3.0,mit" and len(by[26]["spans"]) == 400 and by[27]["n_base"] == 3000 and by[5]["score"] == 0
+    assert licence_scan(frame(spark, [])).count() == 0
+    assert LicenceScanner([], []).scan(b"cc by")[1:3] == (0, None)
+
+
+def test_suffix_automaton():
+    """Every run of every sequence is there once with all its ends, and matching statistics are those of a search of all runs."""
+    rng = random.Random(5)
+    sequences = [[rng.randrange(3) for _ in range(rng.randrange(1, 14))] for _ in range(12)]
+    automaton = SuffixAutomaton(sequences)
+    runs = defaultdict(set)
+    for s, seq in enumerate(sequences):
+        for i in range(len(seq)):
+            for j in range(i, len(seq)):
+                runs[tuple(seq[i : j + 1])].add((s, j))
+    for run, ends in runs.items():
+        assert set(automaton.ends(automaton.find(list(run)))) == ends
+    assert sum(automaton.length[s] - automaton.length[automaton.link[s]] for s in range(1, len(automaton.link))) == len(runs)
+    scanner = LicenceScanner([(f"t{i}", " ".join("abc"[x] for x in seq)) for i, seq in enumerate(sequences)], [("a b", "ab"), ("c", "c")], least=2)
+    text = [rng.choice("abcd") for _ in range(300)]
+    known = [scanner.word.get(w.encode()) for w in text]
+    found, places = scanner.matches(known)
+    longest = [max((n for n in range(i + 2) if tuple("abc".find(w) for w in text[i - n + 1 : i + 1]) in runs), default=0) for i in range(len(text))]
+    want = [(i, n) for i, n in enumerate(longest) if n >= 2 and (i + 1 == len(text) or longest[i + 1] != n + 1)]
+    assert [(i, n) for i, n, _ in found] == want
+    assert sorted(places) == sorted([(i, "ab") for i in range(299) if text[i : i + 2] == ["a", "b"]] + [(i, "c") for i in range(300) if text[i] == "c"])
+    # the best chain of each template, by trying all pairs
+    for template, chains in scanner.chains(found).items():
+        seeds = sorted((e, p, n) for e, n, state in found for t, p in scanner.automaton.ends(state) if t == template)
+        value = []
+        for k, (e, p, n) in enumerate(seeds):
+            before = [v + n - max(seeds[j][0] - (e - n), seeds[j][1] - (p - n), 0) for j, v in enumerate(value) if seeds[j][0] < e and seeds[j][1] < p and e - n + 1 - seeds[j][0] <= scanner.gap + 1 and max(seeds[j][0] - (e - n), seeds[j][1] - (p - n), 0) < n]
+            value.append(max([n, *before]))
+        assert [c for c, _, _ in chains] == value
+
+
+# ---- 12
+
+def plain_ranks(rows, items, k=50):
+    texts = [(i, Counter(plain_words(t))) for i, t in rows]
+    texts = [(i, c) for i, c in texts if c]
+    n, length = len(texts), sum(c.total() for _, c in texts)
+    asked = defaultdict(set)
+    for item, t in items:
+        if item is not None:
+            asked[item] |= set(plain_words(t))
+    out = []
+    for item, terms in asked.items():
+        weight = {t: math.floor(1000 * math.log((2 * n + 2) / (2 * sum(t in c for _, c in texts) + 1))) for t in terms}
+        scores = []
+        for i, c in texts:
+            m = 50 + 50 * c.total() * n // length
+            scores.append((-sum(weight[t] * (1_000_000_000 * c[t] // (1000 * c[t] + 20 * m)) for t in terms if t in c), i is None, i))
+        scores = sorted((s for s in scores if s[0] < 0), key=lambda x: (x[0], x[1], x[2] or 0))[:k]
+        out += [(item, r + 1, i, -s) for r, (s, _, i) in enumerate(scores)]
+    return sorted(out, key=str)
+
+
+def test_bit_sliced_search(spark, odd):
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(30)] + ["é", "漢字", "Zoë"]
+    rows = [*odd, *((100 + i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 60)))) for i in range(400)), (50, "w1 w2"), (51, "W1, w2!"), (51, "w1-w2"), (None, "w1 w2"), (None, "word w3 " * 30)]
+    items = [(1, "w1 w2 W1"), (1, "the same text"), (2, None), (3, "nothing of the kind zzz"), (None, "w1"), (4, "漢字 Zoë é w5"), (5, " ".join(vocabulary)), (6, "word")]
+    docs, asked = frame(spark, rows), spark.createDataFrame([(i, t, 0, 1) for i, t in items], "item_id long, text string, rank int, doc_id int")
+    want = plain_ranks(rows, items)
+    for args in ({}, {"block_docs": 7}, {"block_postings": 40, "query_bytes": 20}):
+        got = BitSlicedSearch(**args).search(docs, asked)
+        assert got.columns == ["item_id", "rank", "doc_id", "score"]
+        assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    assert BitSlicedSearch().search(docs.where("false"), asked).count() == 0 and BitSlicedSearch().search(docs, asked.where("false")).count() == 0
+    assert sorted((tuple(r) for r in BitSlicedSearch(k=3).search(docs, asked).collect()), key=str) == plain_ranks(rows, items, 3)
+
+
+def test_bit_slices():
+    """Sums by carries and the k best against plain sums, with ties at the k-th."""
+    rng = np.random.default_rng(4)
+    for docs, top in ((1, 1), (64, 3), (200, 1 << 20), (1000, 9)):
+        dense = rng.integers(0, top + 1, (12, docs)) * (rng.random((12, docs)) < rng.random((12, 1)))
+        term, doc = np.nonzero(np.ones_like(dense))
+        index = BlockIndex(term, doc, dense.ravel(), docs)
+        for terms in ([0], [3, 4], list(range(12)), [7, 99]):
+            sums = dense[[t for t in terms if t < 12]].sum(axis=0)
+            for k in (1, 5, 50, 5000):
+                found, score = best(index.total(terms), k)
+                want = sorted((-s, i) for i, s in enumerate(sums.tolist()) if s)[:k]
+                assert sorted(zip((-score).tolist(), found.tolist(), strict=True)) == want
+
+
+# ---- 13
+
+def plain_clusters(rows, k, rounds, width):
+    kept = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and len(v) == width and all(x is not None and math.isfinite(x) for x in v)]
+    start = sorted((hashlib.sha256(f"2:{i}".encode()).hexdigest(), v) for i, v in kept if i is not None)[:k]
+    centroids = [v for _, v in start]
+    near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), j) for j, c in enumerate(centroids))
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for _, v in kept:
+            groups[near(v)[1]].append(v)
+        centroids = [[sum(x) // len(groups[j]) for x in zip(*groups[j], strict=True)] if groups[j] else c for j, c in enumerate(centroids)]
+    last = [(i, *near(v)) for i, v in kept]
+    inertia = Counter()
+    for _, d, j in last:
+        inertia[j] += d
+    return sorted(((i, j, d, inertia[j], inertia.total(), hashlib.sha256(",".join(map(str, centroids[j])).encode()).hexdigest()) for i, d, j in last), key=str)
+
+
+@pytest.mark.parametrize("grid", [1, 4, 64])
+def test_exponion(spark, grid):
+    """On a coarse grid most distances tie, and several start centroids are equal."""
+    rng = np.random.default_rng(grid)
+    rows = [(i, v) for i, v in enumerate((rng.integers(-grid, grid + 1, (300, 3)) / 256).tolist())]
+    rows += [(7, [0.0, 0.0, 0.0])] * 40 + [(None, [1.0, -1.0, 0.5]), (8, [float("nan"), 0.0, 0.0]), (9, None), (10, [1.0]), (11, [1.0, None, 0.0]), (12, [float("inf"), 0.0, 0.0]), (13, [])]
+    df = spark.createDataFrame([(i, v, 5, "c") for i, v in rows], "vec_id long, embedding array<double>, cluster int, d string").repartition(3)
+    for k, rounds in ((9, 4), (1, 2), (60, 1), (1000, 2), (5, 0)):
+        got = ExponionKMeans(k=k, rounds=rounds, width=3).cluster(df)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == plain_clusters(rows, k, rounds, 3), k
+    assert ExponionKMeans(width=3).cluster(df.where("false")).count() == 0
+
+
+def test_exponion_skips():
+    """Bounds and balls leave out most distances where clusters are apart, and give the nearest centroid, ties to the smaller number."""
+    rng = np.random.default_rng(1)
+    middle = rng.integers(-9000, 9000, (40, 8))
+    x = middle[rng.integers(0, 40, 5000)] + rng.integers(-300, 300, (5000, 8))
+    a, u, low = np.zeros(5000, dtype=np.int32), np.full(5000, np.inf), np.zeros(5000)
+    c, moved = middle, np.zeros(40)
+    for _ in range(4):
+        most = np.array([np.delete(moved, j).max() for j in range(40)])
+        u, low, search = u + moved[a], low - most[a], Centroids(c)
+        d = search.assign(x, a, u, low)
+        every = np.stack([squared(x, own) for own in c])
+        assert (a == every.argmin(axis=0)).all() and (d == every.min(axis=0)).all()
+        new = np.stack([x[a == j].sum(axis=0) // max(1, (a == j).sum()) if (a == j).any() else c[j] for j in range(40)])
+        c, moved = new, np.sqrt(squared(new, c))
+    assert search.scanned < 0.02 * 40 * 5000
