@@ -8,6 +8,8 @@ With ranks cut at ``depth`` m and an absent pivot at rank m, the footrule distan
 m(m+1) - 2 * sum over shared pivots of (m - max(rank_q, rank_x)), so the postings of the query's pivots
 alone give the full order.
 
+A permutation knows the direction alone, and nearness is the inner product: agreement is turned into an estimate of the cosine by a straight line, fitted in each block on pairs
+of its own vectors, and vectors are ranked by estimate times length. Where all have one length this is the footrule order.
 Of a block of n different vectors, share * n + spare * k are reranked, at every size of the table.
 
 Defined results: null, zero, ragged (another length than most vectors) and non-finite vectors take no part,
@@ -47,13 +49,25 @@ def permutations(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
 class InvertedFiles:
     """The postings of one block: for each pivot, the vectors that have it among their nearest, by the pivot's rank."""
 
-    def __init__(self, x: np.ndarray, pivots: np.ndarray, depth: int):
-        self.depth, self.size = depth, len(x)
-        order = permutations(x, pivots, depth)
+    def __init__(self, order: np.ndarray, pivots: int, depth: int):
+        """order: the permutations of the block's vectors."""
+        self.depth, self.size = depth, len(order)
         at = np.argsort((order * depth + np.arange(order.shape[1])).ravel(), kind="stable")
         self.vector = (at // order.shape[1]).astype(np.int32)
         self.weight = (depth - at % order.shape[1]).astype(np.float64)
-        self.start = np.concatenate(([0], np.cumsum(np.bincount(order.ravel(), minlength=len(pivots)))))
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(order.ravel(), minlength=pivots))))
+
+    def cosine_line(self, x: np.ndarray, norms: np.ndarray, order: np.ndarray, pairs: int = 128) -> tuple[float, float]:
+        """(level, slope) of the cosine by agreement, over some vectors, evenly spaced in the block, beside all others."""
+        some = np.unique(np.linspace(0, len(x) - 1, min(pairs, len(x))).astype(int))
+        other = np.arange(len(x)) != some[:, None]
+        agree = np.stack([self.agreement(order[i]) for i in some])[other]
+        cos = ((x[some] / norms[some, None]) @ (x / norms[:, None]).T)[other]
+        if not len(agree) or agree.min() == agree.max():
+            return 0.0, 1.0
+        spread = agree - agree.mean()
+        slope = max(float((spread * cos).sum() / (spread**2).sum()), 1e-12)
+        return float(cos.mean()) - slope * float(agree.mean()), slope
 
     def agreement(self, order: np.ndarray) -> np.ndarray:
         """Half of (largest footrule distance - footrule distance) to each vector of the block."""
@@ -66,19 +80,21 @@ class PermutationIndex:
     """fit() takes the pivots from a bounded sample; search() indexes every row, block by block.
 
     pivots: how many rows become pivots (those of the smallest hash of their vector: the bound of the sample).
-    depth: how many of its nearest pivots represent a vector. share, spare: see above. block: rows of a block, which bounds a task's memory at every table size.
+    depth: how many of its nearest pivots represent a vector. Both go by the number of dimensions where they are not given (8 and 2 a dimension, within bounds).
+    share, spare: see above. block: vectors of a block; query_bytes: of a block of queries; they bound a task's memory at every table size.
     """
 
-    def __init__(self, pivots: int = 512, depth: int = 64, share: float = 0.04, spare: int = 8, block: int = 4096):
-        self.n_pivots, self.depth, self.share, self.spare, self.block = pivots, depth, share, spare, block
+    def __init__(self, pivots: int | None = None, depth: int | None = None, share: float = 0.04, spare: int = 8, block: int = 4096, query_bytes: int = 32 << 20):
+        self.n_pivots, self.depth, self.share, self.spare, self.block, self.query_bytes = pivots, depth, share, spare, block, query_bytes
         self.pivots = np.zeros((0, 0))
 
     def fit(self, df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> PermutationIndex:
         rows = valid(df, id_col, vec_col)
         widths = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
         if widths:
+            n = self.n_pivots or min(8192, max(1024, 8 * widths["w"]))
             # equal vectors hash alike, so a vector of many copies is one pivot at most
-            picked = rows.where(F.size("v") == widths["w"]).groupBy(F.xxhash64("v").alias("h")).agg(F.min("v").alias("v")).orderBy("h").limit(self.n_pivots)
+            picked = rows.where(F.size("v") == widths["w"]).groupBy(F.xxhash64("v").alias("h")).agg(F.min("v").alias("v")).orderBy("h").limit(n)
             self.pivots = np.array([r["v"] for r in picked.collect()], dtype=np.float64)
             self.pivots /= np.linalg.norm(self.pivots, axis=1, keepdims=True)
         return self
@@ -89,11 +105,12 @@ class PermutationIndex:
         rows = valid(data, id_col, vec_col).where(F.size("v") == width)
         asked = valid(queries, id_col, vec_col).where(F.size("v") == width).dropDuplicates(["id", "v"])
         blocks = max(1, math.ceil(rows.count() / self.block))
-        query_blocks = max(1, math.ceil(asked.count() / self.block))
+        query_blocks = max(1, math.ceil(asked.count() * 8 * max(1, width) / self.query_bytes))
         both = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("id", "v"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
         left = both(rows, "db", blocks, "qb", query_blocks).withColumn("qb", F.col("qb").cast("long"))
         right = both(asked.withColumn("q", F.xxhash64("v")), "qb", query_blocks, "db", blocks).withColumn("db", F.col("db").cast("long"))
-        depth, share, spare = min(self.depth, max(1, len(pivots))), self.share, self.spare * k
+        depth = min(self.depth or min(2048, max(128, 2 * width)), max(1, len(pivots)))
+        share, spare = self.share, self.spare * k
 
         def block(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
             return search_block(d, q, pivots, depth, share, spare, k)
@@ -111,12 +128,14 @@ def search_block(d: pd.DataFrame, q: pd.DataFrame, pivots: np.ndarray, depth: in
     every = np.sort(d["id"].to_numpy())
     order = np.lexsort((d["id"].to_numpy(), where.ravel()))
     ids, starts = d["id"].to_numpy()[order], np.searchsorted(where.ravel()[order], np.arange(len(x) + 1))
-    files = InvertedFiles(x, pivots, depth)
+    own = permutations(x, pivots, depth)
+    files, norms = InvertedFiles(own, len(pivots), depth), np.linalg.norm(x, axis=1)
+    level, slope = files.cosine_line(x, norms, own)
     budget = min(len(x), math.ceil(share * len(x)) + spare)
     asked = np.stack(q["v"].to_numpy()).astype(np.float64)
     out_q, out_h, out_v, out_s = [], [], [], []
     for qid, qh, qv, perm in zip(q["id"].to_numpy(), q["q"].to_numpy(), asked, permutations(asked, pivots, depth), strict=True):
-        near = np.argpartition(-files.agreement(perm), budget - 1)[:budget]
+        near = np.argpartition(-norms * (level + slope * files.agreement(perm)), budget - 1)[:budget]
         # of the copies of one vector, the k smallest other ids can be among the nearest; rows of the query's own id come on top
         own = np.searchsorted(every, qid, "right") - np.searchsorted(every, qid)
         rough = x[near] @ qv
