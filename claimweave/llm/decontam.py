@@ -65,7 +65,7 @@ class PositionalIndex:
         known = offsets.join(self.frequencies(terms), "term").withColumn("at", F.struct("df", (F.col("start") + F.col("offset")).alias("at"), "term"))
         # a term that no document has leaves its windows out here
         chosen = known.groupBy("phrase", "start").agg(F.slice(F.sort_array(F.collect_list("at")), 1, rarest).alias("rare"), F.count(F.lit(1)).alias("has"), F.max("n").alias("n")).where("has = n").select("phrase", "start", "rare")
-        chosen = chosen.persist()  # of the benchmark's size; recomputed if an executor is lost
+        chosen = materialize(chosen, "windows")  # of the benchmark's size; read twice
         lists = chosen.select("phrase", F.explode("rare").alias("r")).select(F.col("r.term").alias("term"), "phrase", F.col("r.at").alias("at")).distinct()
         lists = lists.groupBy("term").agg(F.collect_list(F.struct("phrase", "at")).alias("uses"))
         hits = self.postings(lists).select("doc", "hash", "pos", F.explode("uses").alias("u")).select("doc", "hash", "u.phrase", (F.col("pos") - F.col("u.at")).alias("shift"), "u.at")
@@ -75,10 +75,13 @@ class PositionalIndex:
         met = lined.join(broadcast_if(asks, size), "phrase")
         met = met.withColumn("starts", F.transform(F.filter("asks", lambda a: (a["start"] + F.col("shift") >= 0) & (F.size(F.array_except(a["need"], F.col("ats"))) == 0)), lambda a: a["start"]))
         met = met.where(F.size("starts") > 0).select("doc", "hash", "phrase", "shift", "starts")
-        # what the rarest terms leave is compared whole; a document's candidates travel to its text
-        per_doc = met.groupBy("doc", "hash").agg(F.collect_list(F.struct("phrase", "shift", "starts")).alias("c"))
+        # what the rarest terms leave is compared whole. A document's candidates are written once, so that their size is known; they travel to its text where they are few,
+        # and texts are shuffled only where they are not
+        per_doc = materialize(met.groupBy("doc", "hash").agg(F.collect_list(F.struct("phrase", "shift", "starts")).alias("c")), "candidates")
+        size = F.lit(64) + F.aggregate("c", F.lit(0), lambda n, x: n + 24 + 4 * F.size(x["starts"]))
         own = self.docs.select("doc", "hash", "text")
-        seen = own.join(per_doc.withColumnRenamed("doc", "c_doc").withColumnRenamed("hash", "c_hash"), F.col("doc").eqNullSafe(F.col("c_doc")) & (F.col("hash") == F.col("c_hash")))
+        met_docs = broadcast_if(per_doc.withColumnRenamed("doc", "c_doc").withColumnRenamed("hash", "c_hash"), size)
+        seen = own.join(met_docs, F.col("doc").eqNullSafe(F.col("c_doc")) & (F.col("hash") == F.col("c_hash")))
         seen = seen.dropDuplicates(["doc", "hash"]).select("doc", "hash", words_of(F.col("text")).alias("words"), "c")
         # only the words around each candidate leave the document's row
         cut = F.transform("c", lambda c: F.struct(c["phrase"].alias("phrase"), c["shift"].alias("shift"), F.transform(c["starts"], lambda s: F.struct(s.alias("start"), F.slice(F.col("words"), s + c["shift"] + 1, window).alias("found"))).alias("starts")))
@@ -114,12 +117,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     own_hash, h_doc, h_hash, h_n, h_items = fresh(rows, "hash", "h_doc", "h_hash", "h_n", "h_items")
     both = places.alias("p").join(own.alias("o"), F.col("p.doc").eqNullSafe(F.col("o.doc")) & (F.col("p.hash") == F.col("o.hash")))
     both = both.select(F.col("p.doc").alias(h_doc), F.col("p.hash").alias(h_hash), F.col("n_hit").alias(h_n), F.col("items").alias(h_items))
+    both = broadcast_if(materialize(both, "hits"), F.size(h_items) * 24 + 64)
     text = F.col(f"`{text_col}`")
-    rows = rows.withColumn(own_hash, F.coalesce(F.xxhash64(text.cast("string")), F.lit(0)))
+    # the words are counted before the join, so that the text goes through it only where it is asked for
+    rows = rows.withColumns({own_hash: F.coalesce(F.xxhash64(text.cast("string")), F.lit(0)), "n_words": F.size(words_of(text)).cast("long")})
     joined = rows.join(both, F.col(f"`{id_col}`").eqNullSafe(F.col(h_doc)) & (F.col(own_hash) == F.col(h_hash)), "left")
     listed = F.coalesce(h_items, F.array().cast("array<string>"))
     return (
-        joined.withColumn("n_words", F.size(words_of(text)).cast("long")).withColumn("n_hit", F.coalesce(h_n, F.lit(0)).cast("long"))
+        joined.withColumn("n_hit", F.coalesce(h_n, F.lit(0)).cast("long"))
         .withColumn("n_items", F.size(listed).cast("long")).withColumn("items_sha256", F.sha2(F.array_join(listed, ","), 256))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
         .drop(own_hash, h_doc, h_hash, h_n, h_items)
