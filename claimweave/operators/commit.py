@@ -5,9 +5,12 @@ Records are (id, kind, state, reason, strength, version, claim, frozen, proof).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimweave.operators.asof import as_of
+from claimweave.operators.graph import cut
+
 MOST_BRIDGES, BRIDGE_ROUNDS = 2, 2
 PARK_REASONS = ("absorbed", "not_needed")
 
@@ -52,28 +55,88 @@ def follow_ups(verdicts: DataFrame) -> DataFrame:
     return verdicts.select("id", F.inline(ops))
 
 
-def ordered(records: DataFrame, orders: DataFrame) -> DataFrame:
-    """What orders (cmd, id, op, why, into) of the owner do: refused says why not, else the record's next version and whether a check is queued.
+STATES = ("active", "candidate", "pending_proof", "needs_repair", "needs_docs", "parked", "rejected", "other")
+#: Orders of one record that are folded in one row: so many successive numbers of orders.
+BLOCK = 128
 
-    Park needs an active or candidate record that is not frozen and, where it is absorbed, another active record to go into; unpark needs a parked one.
-    The others need only the record. Each order is judged against the records as given.
-    """
-    op, state, why, into = F.col("op"), F.col("state"), F.col("why"), F.col("into")
-    active = records.where("state = 'active'").select(F.col("id").alias("into"), F.lit(True).alias("into_active"))
-    rows = orders.join(records.drop("kind", "version", "claim").withColumn("known", F.lit(True)), "id", "left").join(active, "into", "left")
-    absorbed = (why == "absorbed") & (F.col("into_active").isNull() | (into == F.col("id")))
+
+def _step(s: Column, c: Column) -> Column:
+    """The record's state s after the order c; refused says why it changes nothing. state, frozen and proof decide; reason, into and strength follow."""
+    op, why, state = c["op"], c["why"], s["state"]
     refused = (
-        F.when(F.col("known").isNull(), "missing")
-        .when(op == "park", F.when(~state.isin("active", "candidate"), "state").when(F.col("frozen"), "frozen").when(~why.isin(*PARK_REASONS), "reason").when(absorbed, "into"))
+        F.when(op.isNull() | ~op.isin("park", "unpark", "freeze", "unfreeze", "reopen"), "order").when(op == "park", F.when(~state.isin("active", "candidate"), "state").when(s["frozen"], "frozen").when(~F.coalesce(why.isin(*PARK_REASONS), F.lit(False)), "reason").when((why == "absorbed") & ~F.coalesce(c["into_active"], F.lit(False)), "into"))
         .when((op == "unpark") & (state != "parked"), "state")
     )
-    back = F.when(F.col("proof").isNull(), "candidate").otherwise("pending_proof")
-    new = F.when(op == "park", "parked").when(op == "unpark", back).when(op.isin("unfreeze", "reopen"), "pending_proof").otherwise(state)
-    ok = lambda c: F.when(F.col("refused").isNull(), c)
-    return rows.withColumn("refused", refused).withColumn("new", new).select(
-        "cmd", "id", "op", "refused", ok(F.col("new")).alias("state"), ok(F.when(op == "park", why).when(op.isin("freeze", "unfreeze"), F.col("reason"))).alias("reason"),
-        ok(F.when((op == "park") & (why == "absorbed"), into)).alias("absorbed_into"), ok(F.when(op == "freeze", F.col("strength")).otherwise("unassessed")).alias("strength"),
-        ok(F.when(op == "freeze", True).when(op == "unfreeze", False).otherwise(F.col("frozen"))).alias("frozen"), ok(op.isin("unpark", "unfreeze", "reopen") & (F.col("new") == "pending_proof")).alias("queued"))
+    back = F.when(s["proven"], "pending_proof").otherwise("candidate")
+    new = F.when(op == "park", "parked").when(op == "unpark", back).when(op == "freeze", state).otherwise("pending_proof")
+    keep = refused.isNotNull()
+    kept = lambda name, value: F.when(keep, s[name]).otherwise(value).alias(name)
+    return F.struct(
+        kept("state", new), kept("frozen", F.when(op == "freeze", True).when(op == "unfreeze", False).otherwise(s["frozen"])), s["proven"].alias("proven"),
+        kept("reason", F.when(op == "park", why).when(op.isin("unpark", "reopen"), F.lit(None)).otherwise(s["reason"])), kept("into", F.when(op == "park", F.when(why == "absorbed", c["into"])).when(op == "unpark", F.lit(None)).otherwise(s["into"])),
+        kept("strength", F.when(op == "freeze", s["strength"]).otherwise("unassessed")), c["cmd"].alias("cmd"), op.alias("op"), refused.alias("refused"), (~keep & (op.isin("unfreeze", "reopen") | ((op == "unpark") & s["proven"]))).alias("queued"))
+
+
+def _given(state: Column, frozen: Column, proven: Column, reason: Column, into: Column, strength: Column, some: Column) -> Column:
+    """The state of a fold before any order. some: a condition that always holds, though no optimizer knows: what a fold starts from must be nullable where its steps give nulls."""
+    reason, into = F.when(some, reason), F.when(some, into)
+    none = lambda t, n: F.lit(None).cast(t).alias(n)
+    return F.struct(state.alias("state"), frozen.alias("frozen"), proven.alias("proven"), reason.alias("reason"), into.alias("into"), strength.alias("strength"), none("long", "cmd"), none("string", "op"), none("string", "refused"), F.lit(False).alias("queued"))
+
+
+def _replay(records: DataFrame, orders: DataFrame) -> DataFrame:
+    """(id, and the fields of _step) after every order (cmd, id, op, why, into, into_active), those of a record one after another.
+
+    A block of orders is a function of the few states that a record can be in, so blocks are tried from all of them at once, side by side; a record's walk is then one step
+    a block, and a record with a third of all orders is many rows. What a block leaves as it was (reason, into, strength) is marked and taken from before the block.
+    """
+    was = "="
+    blocks = orders.groupBy("id", F.floor(F.col("cmd") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("cmd", "op", "why", "into", "into_active"))).alias("orders"))
+    same = lambda s, f, p: _given(F.lit(s), F.lit(f), p, F.lit(was), F.lit(-1).cast("long"), F.lit(was), F.size("orders") >= 0)
+    starts = F.array(*[same(s, f, F.col("proven")) for s in STATES for f in (False, True)])
+    number = lambda state, frozen: (F.array_position(F.array(*map(F.lit, STATES)), state) * 2 + F.when(frozen, 0).otherwise(-1)).cast("int")
+    known = records.select("id", "state", "frozen", F.col("proof").isNotNull().alias("proven"), "reason", F.lit(None).cast("long").alias("into"), "strength")
+    b = blocks.join(known.select("id", "proven"), "id")
+    b = b.select("id", "block", F.transform(starts, lambda s: F.aggregate("orders", s, _step)).alias("ends"))
+    walk = b.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("block", F.transform("ends", lambda e: F.struct(*[e[n].alias(n) for n in ("state", "frozen", "reason", "into", "strength")])).alias("ends")))).alias("blocks"))
+    first = known.select("id", _given(F.col("state"), F.col("frozen"), F.col("proven"), F.col("reason"), F.col("into"), F.col("strength"), F.length("state") >= 0).alias("s"))
+    settled = lambda s, e: F.struct(
+        e["state"].alias("state"), e["frozen"].alias("frozen"), F.when(e["reason"].eqNullSafe(F.lit(was)), s["reason"]).otherwise(e["reason"]).alias("reason"), F.when(e["into"].eqNullSafe(F.lit(-1).cast("long")), s["into"]).otherwise(e["into"]).alias("into"),
+        F.when(e["strength"] == was, s["strength"]).otherwise(e["strength"]).alias("strength"))
+    bare = lambda s: F.struct(*[s[n].alias(n) for n in ("state", "frozen", "reason", "into", "strength")])
+    ahead = lambda acc, x: F.concat(acc, F.array(settled(F.element_at(acc, -1), F.element_at(x["ends"], number(F.element_at(acc, -1)["state"], F.element_at(acc, -1)["frozen"])))))
+    begun = walk.join(first, "id").select("id", "s.proven", F.arrays_zip(F.col("blocks.block").alias("block"), F.aggregate("blocks", F.array(bare(F.col("s"))), ahead).alias("begin")).alias("z"))
+    begun = begun.select("id", "proven", F.explode("z").alias("z")).where("z.block is not null").select("id", "proven", F.col("z.block").alias("block"), F.col("z.begin").alias("g"))
+    whole = blocks.join(begun, ["id", "block"]).withColumn("s", _given(F.col("g.state"), F.col("g.frozen"), F.col("proven"), F.col("g.reason"), F.col("g.into"), F.col("g.strength"), F.size("orders") >= 0))
+    each = F.aggregate("orders", F.array("s"), lambda acc, c: F.concat(acc, F.array(_step(F.element_at(acc, -1), c))))
+    return whole.select("id", F.explode(F.slice(each, 2, BLOCK)).alias("s")).select("id", "s.*")
+
+
+def in_sequence(records: DataFrame, orders: DataFrame) -> DataFrame:
+    """What orders (cmd, id, op, why, into) of the owner do one after another, by their numbers cmd (no two alike): refused says why one changes nothing, else the record's next version, and whether a check is queued.
+
+    Park needs an active or candidate record that is not frozen and, where it is absorbed, another record to go into that is active at that time; unpark needs a parked one; the others need only the record.
+    Each order meets what all before it have left. Whether the record to go into is active is first taken from the records as given; all is replayed, and looked up again as of each order,
+    until no answer changes: each round settles at least the earliest answer that was wrong. A state that is none of STATES counts as the state other.
+    """
+    known = records.withColumn("state", F.when(F.col("state").isin(*STATES), F.col("state")).otherwise("other")).withColumn("frozen", F.coalesce("frozen", F.lit(False)))
+    rows = orders.join(known.select("id", F.lit(True).alias("known")), "id", "left").select("cmd", "id", "op", "why", "into", "known")
+    missing = rows.where("known is null").select("cmd", "id", "op")
+    rows = rows.where("known").drop("known")
+    goes = rows.where("op = 'park' and why = 'absorbed' and into is not null and into <> id").select("cmd", "into")
+    answers = cut(goes.join(known.select(F.col("id").alias("into"), (F.col("state") == "active").alias("into_active"), (F.col("state") == "active").alias("at_first")), "into"))
+    while True:
+        told = rows.join(answers.select("cmd", "into_active"), "cmd", "left")
+        done = cut(_replay(known, told))
+        versions = done.where("refused is null").select(F.col("id").alias("into"), "cmd", "state")
+        new = as_of(answers, versions, "into", "cmd", "state", inclusive=False)
+        new = cut(new.select("cmd", "into", F.col("into_active").alias("was"), F.when(F.col("state").isNull(), F.col("at_first")).otherwise(F.col("state") == "active").alias("into_active"), "at_first"))
+        if not new.where("was <> into_active").limit(1).count():
+            break
+        answers = new.drop("was")
+    ok = lambda c: F.when(F.col("refused").isNull(), F.col(c)).alias(c)
+    told = done.select("cmd", "id", "op", "refused", ok("state"), ok("reason"), F.when(F.col("refused").isNull(), F.col("into")).alias("absorbed_into"), ok("strength"), ok("frozen"), ok("queued"))
+    return told.unionByName(missing.withColumn("refused", F.lit("missing")), allowMissingColumns=True)
 
 
 def current(bundles: DataFrame, now: DataFrame) -> DataFrame:

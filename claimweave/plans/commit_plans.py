@@ -76,17 +76,34 @@ _ORDER = """o_orderkey as cmd, o_custkey + case when o_orderkey % 31 = 0 then 10
  case when o_orderkey % 4 in (0, 2) then 'absorbed' when o_orderkey % 4 = 1 then 'not_needed' else 'other' end as why, case when o_orderkey % 5 > 0 then o_orderkey % 100 end as into"""
 
 
-@query(f"""with r as (select {_RECORD} from customer), o as (select {_ORDER.replace(' as into', ' as "into"')} from orders), j as (select cmd, o.id as id, op, why, o."into" as target, r.id is null as missing, r.state as state, r.reason as reason, r.strength as strength, r.frozen as frozen, r.proof as proof,
-  o."into" is null or o."into" = o.id or o."into" not in (select id from r where state = 'active') as nowhere from o left join r on r.id = o.id),
- f as (select *, case when missing then 'missing' when op = 'park' then case when state not in ('active', 'candidate') then 'state' when frozen then 'frozen' when why not in ('absorbed', 'not_needed') then 'reason' when why = 'absorbed' and nowhere then 'into' end when op = 'unpark' and state <> 'parked' then 'state' end as refused from j)
- select cmd, id, op, refused, case when refused is null then case op when 'park' then 'parked' when 'unpark' then case when proof is null then 'candidate' else 'pending_proof' end when 'freeze' then state else 'pending_proof' end end as state,
-  case when refused is null then case when op = 'park' then why when op in ('freeze', 'unfreeze') then reason end end as reason, case when refused is null and op = 'park' and why = 'absorbed' then target end as absorbed_into,
-  case when refused is null then case when op = 'freeze' then strength else 'unassessed' end end as strength, case when refused is null then case op when 'freeze' then true when 'unfreeze' then false else frozen end end as frozen,
-  case when refused is null then op in ('unfreeze', 'reopen') or (op = 'unpark' and proof is not null) end as queued from f""")
+_REFUSED = "case when o.op = 'park' then case when s.state not in ('active', 'candidate') then 'state' when s.frozen then 'frozen' when o.why not in ('absorbed', 'not_needed') then 'reason' when o.why = 'absorbed' and (o.goes is null or o.goes = o.id or {active} is distinct from 'active') then 'into' end when o.op = 'unpark' and s.state <> 'parked' then 'state' end as refused"
+_NEXT = """case when refused is not null then state else case op when 'park' then 'parked' when 'unpark' then case when proven then 'pending_proof' else 'candidate' end when 'freeze' then state else 'pending_proof' end end as state,
+  case when refused is not null then reason when op = 'park' then why when op in ('unpark', 'reopen') then null else reason end as reason, case when refused is not null or op = 'freeze' then strength else 'unassessed' end as strength, case when refused is not null then frozen when op = 'freeze' then true when op = 'unfreeze' then false else frozen end as frozen, proven,
+  case when refused is not null then goes when op = 'park' then case when why = 'absorbed' then target end when op = 'unpark' then null else goes end as goes, op, refused, refused is null and (op in ('unfreeze', 'reopen') or (op = 'unpark' and proven)) as queued"""
+_OLD = "s.state as state, s.reason as reason, s.strength as strength, s.frozen as frozen, s.proven as proven, s.goes as goes, o.id as id, o.cmd as cmd, o.op as op, o.why as why, o.goes as target"
+
+
+# orders go into records below 100 alone: those are walked first, one order after another, and the others record by record beside them
+@query(f"""with recursive r as (select {_RECORD} from customer), g as (select id, state, reason, strength, frozen, proof is not null as proven, cast(null as bigint) as goes from r),
+o as materialized (select *, row_number() over (partition by id order by cmd) as n from (select {_ORDER.replace(" as into", " as goes")} from orders)),
+ho as materialized (select *, row_number() over (order by cmd) as k from o where id < 100 and id in (select id from r)),
+t(tag, key, id, k, state, reason, strength, frozen, proven, goes, op, refused, queued) using key (tag, key) as (
+ select 'r', id, id, cast(0 as bigint), state, reason, strength, frozen, proven, goes, cast(null as varchar), cast(null as varchar), false from g where id < 100
+ union select tag, case tag when 'r' then id else cmd end, id, k, {_NEXT}
+ from (select o.k as k, {_OLD}, {_REFUSED.format(active="x.state")}
+  from ho o join (select max(k) + 1 as k from t) w on o.k = w.k join recurring.t s on s.tag = 'r' and s.id = o.id left join recurring.t x on x.tag = 'r' and x.id = o.goes) y, (values ('r'), ('c')) z(tag)),
+h as materialized (select key as cmd, id, state from t where tag = 'c' and refused is null),
+o2 as materialized (select o.*, coalesce(h.state, g.state) as there from (select * from o where id >= 100) o asof left join h on h.id = o.goes and o.cmd > h.cmd left join g on g.id = o.goes),
+q as (select id, cast(0 as bigint) as n, cast(null as bigint) as cmd, state, reason, strength, frozen, proven, goes, cast(null as varchar) as op, cast(null as varchar) as refused, false as queued from g where id >= 100
+ union all select id, n, cmd, {_NEXT} from (select o.n as n, {_OLD}, {_REFUSED.format(active="o.there")} from q s join o2 o on o.id = s.id and o.n = s.n + 1) y),
+f as (select key as cmd, id, op, refused, state, reason, goes, strength, frozen, queued from t where tag = 'c' union all select cmd, id, op, refused, state, reason, goes, strength, frozen, queued from q where n > 0)
+select cmd, id, op, refused, case when refused is null then state end as state, case when refused is null then reason end as reason, case when refused is null then goes end as absorbed_into,
+ case when refused is null then strength end as strength, case when refused is null then frozen end as frozen, case when refused is null then queued end as queued from f
+union all select cmd, id, op, 'missing', null, null, null, null, null, null from o where id not in (select id from r)""")
 def owner_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Park, unpark, freeze, unfreeze and reopen: what each order does, or why it is refused."""
+    """Park, unpark, freeze, unfreeze and reopen, one after another: what each order does to what those before it left, or why it is refused."""
     o = load(spark, sf_dir, "orders").selectExpr(*[c.strip() for c in _split(_ORDER)])
-    return commit.ordered(records(spark, sf_dir), o)
+    return commit.in_sequence(records(spark, sf_dir), o)
 
 
 _SIG = "select source as target, target as id, {} as signature from e union select source, source, {} from e"

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions import text
-from claimweave.operators import graph, retrieve
+from claimweave.operators import brief, graph, retrieve
 from claimweave.plans.graph_plans import _G, _TREE, edges, moves, nodes
 from claimweave.plans.registry import query
 from claimweave.plans.text_plans import _PAIR, passage_rows, vector_pairs
@@ -88,12 +88,21 @@ def news_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.recent_year(F.col("text"), 2026).alias("news"))
 
 
-@query("select conv_id, turn, cast(used as bigint) as used from (select conv_id, turn, sum(length(coalesce(text, ''))) over (partition by conv_id order by turn rows unbounded preceding) as used from conversations) where used <= 600")
+SECTIONS, ROOM = ["user", "system", "assistant"], 900
+
+
+# the entries of a conversation in order, walked one by one: b is the text so far, o whether the section is open, left what the section has from this line on
+@query(f"""with recursive l as (select conv_id, role, case role when 'user' then 1 when 'system' then 2 else 3 end as s, turn, '- ' || turn || ' ' || coalesce(text, '') as line from conversations where role in ('user', 'system', 'assistant')),
+e as (select conv_id, s, 0 as head, chr(10) || '## ' || any_value(role) as line, cast(0 as bigint) as turn, count(*) as left_over from l group by conv_id, s union all select conv_id, s, 1, line, turn, count(*) over (partition by conv_id, s order by turn desc, line desc rows unbounded preceding) from l),
+k as materialized (select *, row_number() over (partition by conv_id order by s, head, turn, line) as k from e),
+w as (select distinct conv_id, cast(0 as bigint) as k, '' as b, cast(0 as bigint) as used, cast(0 as bigint) as dropped, true as o from k
+ union all select conv_id, k, case when fits then b || line || chr(10) else b end, case when fits then used + length(line) + 1 else used end, case when not fits and (head = 0 or o) then dropped + left_over else dropped end, fits
+ from (select w.conv_id, k.k, w.b, w.used, w.dropped, w.o, k.line, k.head, k.left_over, w.used + length(k.line) + 1 <= {ROOM - 64} and (k.head = 0 or w.o) as fits from w join k on k.conv_id = w.conv_id and k.k = w.k + 1))
+select conv_id, regexp_replace(b || case when dropped > 0 then chr(10) || '[truncated: ' || dropped || ' lines over budget]' else '' end, '^\\s+|\\s+$', '', 'g') || chr(10) as body, used, dropped from w qualify k = max(k) over (partition by conv_id)""")
 def char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns that fit in order into a budget of characters."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum(F.length(F.coalesce("text", F.lit("")))).over(w)
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", used.alias("used")).where("used <= 600")
+    """A brief of each conversation in a budget of characters: what was asked, what was set, what was answered, and how many lines are left out."""
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(F.lit("- "), "turn", F.lit(" "), F.coalesce("text", F.lit(""))).alias("line"))
+    return brief.render(c, "conv_id", "role", "turn", "line", SECTIONS, ROOM).select("conv_id", "body", F.col("used").cast("long").alias("used"), "dropped")
 
 
 @query("""with s as (select item_id, text as body, regexp_extract_all(text, '(?:\\d[.;]\\d|[^.;。；])+[.;。；]?') as parts from benchmark), k as (select item_id, body, unnest(parts) as part, generate_subscripts(parts, 1) as i from s)

@@ -29,11 +29,60 @@ def test_similar_sets(spark):
     assert got == want and want
 
 
-def test_orders(spark):
-    records = spark.createDataFrame([(1, "node", "active", None, "strong", 1, "c", False, 5), (2, "node", "candidate", None, "unassessed", 1, "c", True, None), (3, "edge", "parked", "not_needed", "unassessed", 2, "c", False, None), (4, "node", "active", "x", "strong", 1, "c", True, 8)], RECORD)
-    asked = [(1, 1, "park", "absorbed", 1), (2, 1, "park", "absorbed", 4), (3, 2, "park", "not_needed", None), (4, 3, "unpark", None, None), (5, 9, "reopen", None, None), (6, 4, "unfreeze", None, None), (7, 1, "park", "absorbed", None), (8, 3, "park", "not_needed", None), (9, 1, "park", "bored", None), (10, 2, "freeze", None, None)]
-    got = {r["cmd"]: (r["refused"], r["state"], r["absorbed_into"], r["frozen"], r["queued"]) for r in commit.ordered(records, spark.createDataFrame(asked, "cmd long, id long, op string, why string, into long")).collect()}
-    assert got == {
-        1: ("into", None, None, None, None), 2: (None, "parked", 4, False, False), 3: ("frozen", None, None, None, None), 4: (None, "candidate", None, False, False), 5: ("missing", None, None, None, None),
-        6: (None, "pending_proof", None, False, True), 7: ("into", None, None, None, None), 8: ("state", None, None, None, None), 9: ("reason", None, None, None, None), 10: (None, "candidate", None, True, False),
-    }
+def plain_orders(records, orders):
+    """One order after another on a dictionary of records."""
+    now = {r[0]: dict(state=r[2], reason=r[3], strength=r[4], frozen=bool(r[7]), proven=r[8] is not None, into=None) for r in records}
+    out = {}
+    for cmd, i, op, why, into in sorted(orders):
+        r, refused = now.get(i), None
+        if r is None:
+            out[cmd] = ("missing",) + (None,) * 6
+            continue
+        if op not in ("park", "unpark", "freeze", "unfreeze", "reopen"):
+            refused = "order"
+        elif op == "park":
+            if r["state"] not in ("active", "candidate"):
+                refused = "state"
+            elif r["frozen"]:
+                refused = "frozen"
+            elif why not in ("absorbed", "not_needed"):
+                refused = "reason"
+            elif why == "absorbed" and (into is None or into == i or now.get(into, {}).get("state") != "active"):
+                refused = "into"
+        elif op == "unpark" and r["state"] != "parked":
+            refused = "state"
+        if refused:
+            out[cmd] = (refused,) + (None,) * 6
+            continue
+        if op == "park":
+            r |= dict(state="parked", reason=why, into=into if why == "absorbed" else None)
+        elif op == "unpark":
+            r |= dict(state="pending_proof" if r["proven"] else "candidate", reason=None, into=None)
+        elif op == "freeze":
+            r["frozen"] = True
+        else:
+            r |= dict(state="pending_proof") | (dict(frozen=False) if op == "unfreeze" else dict(reason=None))
+        if op != "freeze":
+            r["strength"] = "unassessed"
+        out[cmd] = (None, r["state"], r["reason"], r["into"], r["strength"], r["frozen"], op in ("unfreeze", "reopen") or (op == "unpark" and r["proven"]))
+    return out
+
+
+def test_orders_in_sequence(spark, monkeypatch):
+    """Orders see what those before them did, on their own record and on the one they go into; one record has a third of all orders, in many blocks."""
+    monkeypatch.setattr(commit, "BLOCK", 16)
+    rng = random.Random(9)
+    states = ["active", "active", "active", "candidate", "parked", "pending_proof", "needs_docs"]
+    records = [(i, "node", rng.choice(states), rng.choice([None, "x"]), rng.choice(["strong", "unassessed"]), 1, "c", rng.random() < 0.1, rng.choice([None, None, None, 7])) for i in range(30)]
+    orders = []
+    for cmd in range(1500):
+        i = 3 if rng.random() < 0.33 else rng.randrange(32)
+        op = rng.choice(["park", "park", "park", "unpark", "unpark", "unpark", "freeze", "unfreeze", "reopen"] if rng.random() < 0.99 else ["melt", None])
+        orders.append((cmd * 3 + 1, i, op, rng.choice(["absorbed", "absorbed", "not_needed", "bored", None]), rng.choice([None, rng.randrange(6), rng.randrange(32)])))
+    # a chain: each goes into the next, which has been parked into the one after it just before
+    orders += [(9000 + 2 * k, 20 + k, "park", "absorbed", 19 + k) for k in range(1, 8)]
+    df = spark.createDataFrame(orders, "cmd long, id long, op string, why string, into long").repartition(5)
+    got = {r["cmd"]: (r["refused"], r["state"], r["reason"], r["absorbed_into"], r["strength"], r["frozen"], r["queued"]) for r in commit.in_sequence(spark.createDataFrame(records, RECORD), df).collect()}
+    want = plain_orders(records, orders)
+    assert got == want and {w[0] for w in want.values()} == {None, "missing", "state", "frozen", "reason", "into", "order"}
+    assert commit.in_sequence(spark.createDataFrame(records, RECORD), df.where("false")).count() == 0
