@@ -68,12 +68,16 @@ def passage_terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP)), stem))
 
 
+# fixed values of the period rules: dashes and range marks
+PERIOD_DASHES = "‐‑‒–—―−－～〜~"
+
+
 def year_range(text: Column) -> Column:
-    """'YYYY' or 'YYYY-YYYY' (any dash) as lo and hi; null where it is neither."""
-    plain = F.translate(F.trim(text), "–—", "--")
-    lo = F.regexp_extract(plain, r"^(\d{4})(?:\s*-\s*(\d{4}))?$", 1)
-    hi = F.regexp_extract(plain, r"^(\d{4})(?:\s*-\s*(\d{4}))?$", 2)
-    return F.when(lo != "", F.struct(lo.cast("int").alias("lo"), F.when(hi != "", hi).otherwise(lo).cast("int").alias("hi")))
+    """'YYYY' or 'YYYY-YYYY' (any dash or range mark, blanks around) as lo and hi, the smaller first; null where it is neither."""
+    plain = F.translate(text, PERIOD_DASHES, "-" * len(PERIOD_DASHES))
+    year = lambda k: F.regexp_extract(plain, r"(?U)^\s*(\d{4})\s*(?:-\s*(\d{4}))?\s*$", k)
+    lo, hi = F.when(year(1) != "", year(1).cast("int")), F.when(year(2) != "", year(2).cast("int"))
+    return F.when(lo.isNotNull(), F.struct(F.least(lo, F.coalesce(hi, lo)).alias("lo"), F.greatest(lo, F.coalesce(hi, lo)).alias("hi")))
 
 
 def periods_meet(a: Column, b: Column) -> Column:
@@ -155,6 +159,19 @@ def number_at_border(hay: Column, needle: Column) -> Column:
     return F.when(needle.rlike(r"\d"), whole).otherwise(F.contains(hay, needle))
 
 
+def containing_sentence(body: Column, anchor: Column) -> Column:
+    """The sentence of body around the first place of anchor, from stop to stop; the anchor where the body lacks it. A dot between digits is no stop; what ends with a stop takes no further sentence."""
+    stop = r"(?:。|(?<!\d)\.|\.(?!\d))"
+    at, n = F.instr(body, anchor), F.length(anchor)
+    # one character of the anchor stays on either side, for what stands next to a stop
+    before = F.regexp_replace(F.substring(body, F.lit(1), at), rf"(?s)^.*{stop}(?=.)", "")
+    after = F.regexp_extract(F.substring(body, at + n - 1, F.length(body)), rf"(?s)^.(.*?{stop}|.*)", 1)
+    last, flank = F.substring(anchor, n, F.lit(1)), F.concat(F.substring(body, F.greatest(at + n - 2, F.lit(1)), F.lit(1)), F.substring(body, at + n, F.lit(1)))
+    ended = (last == "。") | ((last == ".") & ~((at + n > F.lit(2)) & flank.rlike(r"^\d\d$")))
+    whole = F.concat(F.substring(before, F.lit(1), F.length(before) - 1), anchor, F.when(ended, "").otherwise(after))
+    return F.when(at > 0, F.regexp_replace(whole, r"(?U)^\s+|\s+$", "")).otherwise(anchor)
+
+
 def core_terms(text: Column, stop: list[str]) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*stop)))

@@ -39,6 +39,18 @@ def ladder_violations(forms: DataFrame) -> DataFrame:
     return with_verdict(forms).withColumn("violations", broken(rules))
 
 
+def ladder_shape() -> list[tuple[str, Column]]:
+    """The rules that a form's shape breaks. The ladder asks for scope and duplicates, then form, evidence and, of an edge, inference; whatever it reaches must be answered, all else not_evaluated."""
+    none, evidence, inference, edge = F.lit("not_evaluated"), F.col("evidence_check"), F.col("inference_check"), F.col("is_edge")
+    form = (F.col("scope_check") == "in_scope") & ~F.col("duplicate")
+    proof = form & (F.col("wellformed_check") == "single_proposition")
+    step = proof & evidence.isin("not_required", "sufficient")
+    unlike = (form == (F.col("wellformed_check") == none)) | (proof == (evidence == none)) | (edge & (step == (inference == none)))
+    assumed = F.col("n_assumptions") > 0
+    loose = F.when(edge, (inference == "holds_only_with_assumptions") != assumed).otherwise(assumed & ~evidence.isin("not_required", "sufficient"))
+    return [("V-PR-05", proof & ~edge & F.col("node_type").isin("fact", "mechanism") & (evidence == "not_required")), ("V-PR-14", unlike), ("V-PR-15", loose)]
+
+
 def broken(rules: list[tuple[str, Column]]) -> Column:
     """The ids of the rules whose condition holds, in order."""
     return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules]), lambda x: x.isNotNull())

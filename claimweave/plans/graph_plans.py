@@ -267,9 +267,9 @@ def _diagnose_sql() -> str:
 def diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The remedy for the last step that acted (the intended reading; every record that ends normally names its last step too)."""
     from claimweave.operators.status import literal_map, with_status
-    from claimweave.plans.status_plans import vectors
+    from claimweave.plans.status_plans import lines, vectors
 
-    s = with_status(vectors(spark)).withColumn("at_step", F.element_at("trace", -1))
+    s = with_status(vectors(lines(spark, sf_dir))).withColumn("at_step", F.element_at("trace", -1))
     return s.select("id", "at_step", F.coalesce(literal_map(_DIAG)[F.col("at_step")], F.lit("none")).alias("remedy"))
 
 

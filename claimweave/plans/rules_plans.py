@@ -1,4 +1,4 @@
-"""Rule audits over generated records and the test tables: one query a family, its rows (rule, subject)."""
+"""Rule audits over records bound to orders, whose fields go by an order's own columns, and over the other tables: one query a family, its rows (rule, subject)."""
 
 from __future__ import annotations
 
@@ -10,17 +10,21 @@ from claimweave.plans.registry import query
 from claimweave.plans.status_plans import pick, q
 from claimweave.sources.tables import load
 
-N = 4000
+#: A record an order, and what its fields go by, as whole numbers.
+ORDERS = "select o_orderkey as id, o_custkey as cust, cast(floor(o_totalprice) as bigint) as price, cast(year(o_orderdate) * 372 + month(o_orderdate) * 31 + day(o_orderdate) as bigint) as days from orders"
+KEYS = ("price", "days", "cust", "price + cust", "price + days", "cust + days")
 
 
 def table(fields: dict[str, list], offset: int) -> tuple[str, str]:
-    """The generated records of a family: the columns for Spark, and the same as a DuckDB CTE."""
-    columns = ", ".join(f"{pick(i + offset, v)} as {name}" for i, (name, v) in enumerate(fields.items()))
-    return columns, f"f as (select id, {columns} from (select range as id from range({N})))"
+    """The records of a family: the query for Spark, and the same as a DuckDB CTE."""
+    columns = ", ".join(f"{pick(i + offset, v, KEYS)} as {name}" for i, (name, v) in enumerate(fields.items()))
+    own = f"select id, {columns} from ({ORDERS})"
+    return own, f"f as ({own})"
 
 
-def records(spark: SparkSession, columns: str) -> DataFrame:
-    return spark.range(N).selectExpr("id", columns) if "," not in columns else spark.sql(f"select id, {columns} from range({N})")
+def records(spark: SparkSession, sf_dir: str, own: str) -> DataFrame:
+    load(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return spark.sql(own)
 
 
 def union_sql(cte: str, rules: list[tuple[str, str]], subject: str = "id", source: str = "f") -> str:
@@ -36,7 +40,7 @@ PR, PR_SQL = table({"schema_ok": ["true"] * 5 + ["false"], "target_same": ["true
     ("V-PR-08", "duplicate_of is not null and (duplicate_of = target or not list_contains(string_split(context, ','), duplicate_of))"), ("V-PR-11", "narrowed is not null and length(narrowed) - length(replace(narrowed, '.', '')) > 2"),
     ("V-PR-10", "notes_words > 150 or stray <> ''"), ("V-PR-12", "stored <> computed"), ("V-PR-13", "case when computed = 'pass' then not (allowed and forbidden) else allowed or forbidden end")]))
 def rules_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = records(spark, PR)
+    f = records(spark, sf_dir, PR)
     listed = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
     sentences = F.size(F.regexp_extract_all("narrowed", F.lit(r"\."), F.lit(0)))
     dup = F.col("duplicate_of")
@@ -57,7 +61,7 @@ DR, DR_SQL = table({"doc_ref": ["null", "0", "1", "5"], "doc_id": ["null", "'D1'
 def rules_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimweave.functions.text import squeeze
 
-    f = records(spark, DR)
+    f = records(spark, sf_dir, DR)
     null = lambda c: F.col(c).isNull()
     web, user = F.col("origin") == "web", F.col("origin") == "user_provided"
     return audit(
@@ -98,7 +102,7 @@ SEM, SEM_SQL = table({"mode": q("hybrid", "keyword"), "model": ["null", "'m1'"],
 
 @query(union_sql(SEM_SQL, [("V-SEM-01", "mode = 'hybrid' and (model is null or len(list_filter(string_split(scores, ','), lambda x: not regexp_full_match(x, '-?\\d+\\.\\d{6}'))) > 0)"), ("V-SEM-02", "mode = 'keyword' and model is not null"), ("V-SEM-04", "fulfilled_by is not null and fulfilled_by <> 'cache' and fulfilled_by not like 'DRES-%'")]))
 def rules_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = records(spark, SEM)
+    f = records(spark, sf_dir, SEM)
     six = F.forall(F.split("scores", ","), lambda x: x.rlike(r"^-?\d+\.\d{6}$"))
     done = F.col("fulfilled_by")
     return audit(violation(f, "V-SEM-01", "id", (F.col("mode") == "hybrid") & (F.col("model").isNull() | ~six)), violation(f, "V-SEM-02", "id", (F.col("mode") == "keyword") & F.col("model").isNotNull()), violation(f, "V-SEM-04", "id", done.isNotNull() & (done != "cache") & ~done.startswith("DRES-")))
@@ -113,12 +117,12 @@ def rules_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(repeated(w, "V-WAVE-01", ["request", "path"]), violation(w, "V-WAVE-04", "member", (F.col("round") > 2) | ((F.col("round") == 2) & ~F.col("has_origin"))), repeated(w.where("s = 'F'"), "V-WAVE-05", ["request"]))
 
 
-QU, QU_SQL = table({"status": q("queued", "claimed", "running", "dead", "blocked", often=2), "leased": ["true", "false", "false"], "attempt": ["1", "2", "4"], "blocker": ["null", "17", "999999"]}, 160)
+QU, QU_SQL = table({"status": q("queued", "claimed", "running", "dead", "blocked", often=2), "leased": ["true", "false", "false"], "attempt": ["1", "2", "4"], "blocker": ["null", "id", "id + 100000000"]}, 160)
 
 
-@query(union_sql(QU_SQL, [("V-Q-02", "leased <> (status in ('claimed', 'running'))"), ("V-Q-04", f"blocker is not null and blocker >= {N}"), ("V-Q-05", "attempt > 3 and status <> 'dead'")]))
+@query(union_sql(QU_SQL, [("V-Q-02", "leased <> (status in ('claimed', 'running'))"), ("V-Q-04", "blocker is not null and blocker not in (select o_orderkey from orders)"), ("V-Q-05", "attempt > 3 and status <> 'dead'")]))
 def rules_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = records(spark, QU)
+    f = records(spark, sf_dir, QU)
     return audit(violation(f, "V-Q-02", "id", F.col("leased") != F.col("status").isin("claimed", "running")), dangling(f.withColumnRenamed("id", "item").withColumnRenamed("blocker", "id"), "V-Q-04", "item", "id", f.select("id"), "id"), violation(f, "V-Q-05", "id", (F.col("attempt") > 3) & (F.col("status") != "dead")))
 
 
@@ -137,22 +141,22 @@ COV, COV_SQL = table({"node_type": q("fact", "mechanism", "bridge", "alternative
 
 @query(union_sql(COV_SQL, [("V-COV-02", "node_type in ('fact', 'mechanism', 'bridge') and block is distinct from id"), ("V-COV-03", "born_dead and (reason <> 'saturated' or floor_met is null)")]))
 def rules_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = records(spark, COV)
+    f = records(spark, sf_dir, COV)
     return audit(violation(f, "V-COV-02", "id", F.col("node_type").isin("fact", "mechanism", "bridge") & ~F.col("block").eqNullSafe(F.col("id"))), violation(f, "V-COV-03", "id", F.col("born_dead") & ((F.col("reason") != "saturated") | F.col("floor_met").isNull())))
 
 
-NE, NE_SQL = table({"claim": q("One thing.", "One. Two.", "One. Two. Three.", "It rises and therefore falls.", ""), "source": ["1", "2", "3", "4"], "target": ["1", "2", "5000", "6"], "edge_type": q("supports", "refutes", "depends_on"), "live": ["true", "true", "false"], "parent": ["null", "7", "9000"], "target_kind": q("fact", "alternative"), "state": q("active", "candidate", "rejected", often=2), "strength": q("strong", "conditional", "weak"), "frozen": ["false", "false", "true"]}, 180)
+NE, NE_SQL = table({"claim": q("One thing.", "One. Two.", "One. Two. Three.", "It rises and therefore falls.", ""), "source": ["cust", "cust + 1"], "target": ["cust", "cust + 2", "cust + 100000000", "cust + 3"], "edge_type": q("supports", "refutes", "depends_on"), "live": ["true", "true", "false"], "parent": ["null", "id", "id + 100000000"], "target_kind": q("fact", "alternative"), "state": q("active", "candidate", "rejected", often=2), "strength": q("strong", "conditional", "weak"), "frozen": ["false", "false", "true"]}, 180)
 
 
 @query(union_sql(NE_SQL, [
-    ("V-NODE-02", "length(claim) - length(replace(claim, '.', '')) not between 1 and 2 or contains(claim, ' and therefore ')"), ("V-NODE-04", f"live and parent >= {N}"), ("V-EDGE-01", f"source = target or target >= {N}"), ("V-EDGE-04", "live and edge_type = 'refutes' and target_kind <> 'alternative'"),
+    ("V-NODE-02", "length(claim) - length(replace(claim, '.', '')) not between 1 and 2 or contains(claim, ' and therefore ')"), ("V-NODE-04", "live and parent is not null and parent not in (select o_orderkey from orders)"), ("V-EDGE-01", "source = target or target not in (select c_custkey from customer)"), ("V-EDGE-04", "live and edge_type = 'refutes' and target_kind <> 'alternative'"),
     ("V-GRAPH-03", "(state = 'active') <> (strength in ('strong', 'conditional')) or (frozen and state <> 'active')")]) + f" union all select 'V-EDGE-03', source || '|' || target || '|' || edge_type from f where live group by source, target, edge_type having count(*) > 1")
 def rules_node_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = records(spark, NE)
+    f = records(spark, sf_dir, NE)
     stops = F.size(F.regexp_extract_all("claim", F.lit(r"\."), F.lit(0)))
     sound = F.col("strength").isin("strong", "conditional")
     return audit(
-        violation(f, "V-NODE-02", "id", ~stops.between(1, 2) | F.contains("claim", F.lit(" and therefore "))), violation(f, "V-NODE-04", "id", F.col("live") & (F.col("parent") >= N)), violation(f, "V-EDGE-01", "id", (F.col("source") == F.col("target")) | (F.col("target") >= N)),
+        violation(f, "V-NODE-02", "id", ~stops.between(1, 2) | F.contains("claim", F.lit(" and therefore "))), dangling(f.where("live"), "V-NODE-04", "id", "parent", load(spark, sf_dir, "orders"), "o_orderkey"), violation(f, "V-EDGE-01", "id", F.col("source") == F.col("target")), dangling(f.where("source <> target"), "V-EDGE-01", "id", "target", load(spark, sf_dir, "customer"), "c_custkey"),
         violation(f, "V-EDGE-04", "id", F.col("live") & (F.col("edge_type") == "refutes") & (F.col("target_kind") != "alternative")), violation(f, "V-GRAPH-03", "id", ((F.col("state") == "active") != sound) | (F.col("frozen") & (F.col("state") != "active"))),
         repeated(f.where("live"), "V-EDGE-03", ["source", "target", "edge_type"]))
 
@@ -162,7 +166,7 @@ EXP, EXP_SQL = table({"open_before": ["0", "0", "2"], "snapshot": q("s1", "s2",
 
 @query(union_sql(EXP_SQL, [("V-EXP-01", "open_before > 0"), ("V-EXP-02", "snapshot <> current"), ("V-EXP-03", "n_nodes > 12 or layer <> want_layer"), ("V-EXP-04", "unresolved > 0"), ("V-EXP-06", "layer <> 0 and (n_question > 0 or n_thesis > 0)"), ("V-GATE-01", "n_graph > 0 and not accepted"), ("V-COMMIT-04", "not action_ok or rows_disk <> rows_snapshot")]))
 def rules_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, c = records(spark, EXP), F.col
+    f, c = records(spark, sf_dir, EXP), F.col
     return audit(
         violation(f, "V-EXP-01", "id", c("open_before") > 0), violation(f, "V-EXP-02", "id", c("snapshot") != c("current")), violation(f, "V-EXP-03", "id", (c("n_nodes") > 12) | (c("layer") != c("want_layer"))), violation(f, "V-EXP-04", "id", c("unresolved") > 0),
         violation(f, "V-EXP-06", "id", (c("layer") != 0) & ((c("n_question") > 0) | (c("n_thesis") > 0))), violation(f, "V-GATE-01", "id", (c("n_graph") > 0) & ~c("accepted")), violation(f, "V-COMMIT-04", "id", ~c("action_ok") | (c("rows_disk") != c("rows_snapshot"))))
@@ -182,7 +186,7 @@ SPEC, SPEC_SQL = table({"sections": ["'scope,claims,plan'", "'scope,plan'", "'sc
     ("V-SPEC-01", "list_sort(string_split(sections, ',')) <> ['claims', 'plan', 'scope']"), ("V-SPEC-02", "not regexp_full_match(slug, '[a-z0-9-]+')"), ("V-SPEC-04", "exclusions = 0"), ("V-SPEC-05", "seeds not between 3 and 10"), ("V-PATH-01", "not declared"), ("V-PATH-02", "starts_with(path, '/') or contains(path, '..')"), ("V-PATH-03", "ends_with(path, '.jsonl') and not prefix_ok"),
     ("V-PATH-04", "not ends_with(path, '.jsonl')"), ("V-FRZ-01", "state <> 'active'"), ("V-FRZ-02", "not floor"), ("V-FRZ-03", "open_items > 0"), ("V-SWEEP-01", "not ((requested >= 2 and docs >= 2) or not_found >= 2)")]))
 def rules_spec_path_freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, c = records(spark, SPEC), F.col
+    f, c = records(spark, sf_dir, SPEC), F.col
     want = F.array(*map(F.lit, ("claims", "plan", "scope")))
     log = c("path").endswith(".jsonl")
     rules = [
@@ -200,7 +204,7 @@ WRITE, WRITE_SQL = table({"fields": ["'kind,payload'", "'kind,status'", "'kind,p
     ("A-url", "not regexp_matches(anchor_url, '^https?://')"), ("A-status", "http_status <> 200"), ("A-bytes", "bytes <= 0"), ("A-sha", "not regexp_full_match(sha, '[0-9a-f]{64}')"), ("A-time", "try_cast(retrieved as timestamp) is null")]))
 def writer_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a producer may write (field owners, slot types, no shadowing, no raw keys) and what makes an anchor valid."""
-    f, c = records(spark, WRITE), F.col
+    f, c = records(spark, sf_dir, WRITE), F.col
     known = F.array(*map(F.lit, ("kind", "payload", "status", "slot_types")))
     listed = F.split("fields", ",")
     rules = [

@@ -18,15 +18,6 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents")
 
 
-def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def values(rows: list[tuple]) -> str:
-    show = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return "(values " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + ")"
-
-
 @query(f"select doc_id, cast(len({_TOK}) as bigint) as n, sha256(array_to_string({_TOK}, ' ')) as h from documents")
 def tokens_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = text.tokens(F.col("text"))
@@ -54,35 +45,6 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.size(s).cast("long").alias("n"), F.sha2(F.array_join(s, "|"), 256).alias("h"))
 
 
-QUOTES = [
-    (1, "深度学习 方法", "我们提出的 深度学习方法 有效"), (2, "the “best” score", 'It has the "best"  score here'), (3, "a–b", "range a-b seen"), (4, "missing words", "nothing here"),
-    (5, "中 文", "中文"), (6, "two  spaces", "has two spaces"), (7, "wait…", "please wait..."), (8, "Case", "case differs"), (9, "AlphaFold 预测", "AlphaFold预测结果"), (10, "a b", "a\tb"),
-]
-_NQ = "regexp_replace(regexp_replace(trim(regexp_replace(replace(translate({0}, '‘’“”–—', '''''\"\"--'), '…', '...'), '\\s+', ' ', 'g')), '([\\x{{4E00}}-\\x{{9FFF}}])\\s+', '\\1', 'g'), '\\s+([\\x{{4E00}}-\\x{{9FFF}}])', '\\1', 'g')"
-
-
-@query(f"select column0 as id, {_NQ.format('column1')} as quote, contains({_NQ.format('column2')}, {_NQ.format('column1')}) as faithful from {values(QUOTES)} v(column0, column1, column2)")
-def quote_faithful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literal_rows(spark, QUOTES, "id int, quote string, source string")
-    return rows.select("id", text.normalize_quote(F.col("quote")).alias("quote"), text.quote_faithful(F.col("quote"), F.col("source")).alias("faithful"))
-
-
-NEEDLES = [(1, "rate of 36% seen", "3"), (2, "rate of 36% seen", "36"), (3, "about 1,200 cases", "200"), (4, "in 92.4 points", "92"), (5, "score 92.4.", "92.4"), (6, "no digits at all", "digits"), (7, "x7y", "7"), (8, "5 of 15", "5"), (9, "a+b=3", "b=3"), (10, "10", "10")]
-
-
-@query("select * from (values (1, false), (2, true), (3, false), (4, false), (5, true), (6, true), (7, true), (8, true), (9, true), (10, true)) v(id, found)")
-def number_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal_rows(spark, NEEDLES, "id int, hay string, needle string").select("id", text.number_at_border(F.col("hay"), F.col("needle")).alias("found"))
-
-
-NUMBERS = [(1, "thirty-six percent"), (2, "twenty one of ninety"), (3, "７３．５５％"), (4, "三十六个百分点"), (5, "10 – 8 units"), (6, "p − 5"), (7, "十二"), (8, "39 per cent"), (9, "no numbers"), (10, "Seventeen  tests")]
-
-
-@query("select * from (values (1, '36%'), (2, '21 of 90'), (3, '73.55%'), (4, '36%'), (5, '10-8 units'), (6, 'p - 5'), (7, '12'), (8, '39%'), (9, 'no numbers'), (10, '17 tests')) v(id, form)")
-def numeric_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal_rows(spark, NUMBERS, "id int, t string").select("id", text_udf.numeric(F.col("t")).alias("form"))
-
-
 _STEM = "case when ends_with(w, 'ions') and length(w) >= 8 then w[:-5] when ends_with(w, 'ion') and length(w) >= 7 then w[:-4] when ends_with(w, 'ing') and length(w) >= 7 then w[:-4] when ends_with(w, 'ies') and length(w) >= 7 then w[:-4] when ends_with(w, 'es') and length(w) >= 6 then w[:-3] when ends_with(w, 'ed') and length(w) >= 6 then w[:-3] when ends_with(w, 's') and length(w) >= 5 then w[:-2] when ends_with(w, 'e') and length(w) >= 5 then w[:-2] else w end"
 
 
@@ -92,25 +54,6 @@ def stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", text.stem(F.col("word")).alias("stem"))
 
 
-YEARS = [(1, "2019", "2018-2020"), (2, "2001–2005", "2006"), (3, "2010", "2010"), (4, "the 1990s", "1990s"), (5, "2000—2004", "2004-2008"), (6, "early", "late"), (7, " 1999 ", "1998-2001")]
-
-
-@query(f"""select column0 as id, cast(regexp_extract(p, '^(\\d{{4}})', 1) as int) as lo, cast(regexp_extract(p, '(\\d{{4}})$', 1) as int) as hi from (select *, translate(trim(column1), '–—', '--') as p from {values(YEARS)} v(column0, column1, column2)) where regexp_full_match(p, '\\d{{4}}(\\s*-\\s*\\d{{4}})?')""")
-def year_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literal_rows(spark, YEARS, "id int, a string, b string").withColumn("y", text.year_range(F.col("a"))).where("y is not null")
-    return rows.select("id", "y.lo", "y.hi")
-
-
-SCOPES = [(1, "2019", "2018-2020", "EU", "eu", "a,b", "B"), (2, "2001", "2006", None, None, "", ""), (3, None, "2006", "US", "CN", "a", "a"), (4, None, None, None, "CN", "a", "b"), (5, "1990s", "the 1990s", "X", "x", None, "b"), (6, "2010-2012", "2012-2015", "X", None, "A,C", "c,d")]
-
-
-@query("select * from (values (1, true), (2, false), (3, false), (4, false), (5, true), (6, true)) v(id, compatible)")
-def scope_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literal_rows(spark, SCOPES, "id int, p1 string, p2 string, r1 string, r2 string, a1 string, a2 string")
-    some = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
-    return rows.select("id", text.scope_compatible(*[F.col(c) for c in ("p1", "p2", "r1", "r2")], some("a1"), some("a2")).alias("compatible"))
-
-
 _NUM = "regexp_extract_all(text, '\\d+(?:\\.\\d+)?')"
 
 
@@ -343,31 +286,6 @@ def claim_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_status(record).select("item_id", "kind", "status", "nominal", "clusters", "grade")
 
 
-GATES = {
-    "polarity": (text_udf.polarity, [("92%", "The method reached 92% on the set.", "pass"), ("92%", "The method did not reach 92% on the set.", "NEG-S"), ("92%", "It reached at most 92% here.", "NEG-L,NEG-P"), ("gain", "Gain was comparable, gain was seen.", "NEG-N"), ("5%", "If tuned, it gains 5% more.", "NEG-C,NEG-P"), ("92%", "在无噪声情况下达到92%。", "NEG-S,NEG-C"), ("7", "Gains did not reach significance at 7 sites.", "NEG-S,NEG-N"), ("19-9", "A test for 19-9 was used.", "pass"), ("40", "It topped 40 in trials.", "NEG-P"), ("5%", "They claimed a 5% gain.", "NEG-R"), ("3", "It is not true that it never gave 3 hits.", "pass"), ("x", "no such", "absent"), ("92%", "准确率未达到92%。", "NEG-S"), ("90%", "Is it 90%?", "NEG-I")]),
-    "frame": (text_udf.frame, [("92.4", "", "It scored 92.4 points in all.", "alone"), ("39%", "treated", "39% of treated and 12% of control patients", "told"), ("39%", "patients", "39% of treated patients and 12% of control patients", "ambiguous"), ("7", "a", "there were 8 of them", "absent"), ("39%", "", "39% or 12% of patients", "ambiguous")]),
-    "containment": (text_udf.containment, [("value", "36", "a rate of 36% was seen", "exact"), ("value", "36%", "thirty-six percent of them", "numeric"), ("value", "3", "a rate of 36% was seen", None), ("entity", "network models", "the networks model worked", "stem"), ("entity", "training runs", "trained on a training run", None), ("metric", "thirty", "30 of them", None)]),
-    "counter_scan": (text_udf.counter_scan, [("AlphaFold", "alphafold not replication", "W2", "W1", "W1,W2", "pass"), ("AlphaFold", "other not", "W2", "W1", "W1,W2", "a"), ("AlphaFold", "alphafold not weather", "W2", "W1", "W1,W2", "b"), ("AlphaFold", "alphafold not failed", "W2", "W1", "W1,W2", "pass"), ("AlphaFold", "alphafold not the failed", "W2", "W1", "W1,W2", "c"), ("AlphaFold", "alphafold replicated", "W2", "W1", "W1,W2", "c"), ("AlphaFold", "alphafold below 90", "W2", "W1", "W1,W2", "pass"), ("AlphaFold", "alphafold disputed", "W2", "W1", "W1,W2", "pass"), ("AlphaFold", "alphafold disputed retracted refuted", "W2", "W1", "W1,W2", "c"), ("AlphaFold", "alphafold not", "W1", "W1", "W1,W2", "d"), ("AlphaFold", "alphafold not", "W9", "W1", "W1,W2", "e"), ("AlphaFold", "alphafold not", "", "W1", "W1", "pass")]),
-}
-for _name, (_f, _cases) in GATES.items():
-
-    def _gate(spark: SparkSession, sf_dir: str, f: object = _f, cases: list[tuple] = _cases) -> DataFrame:
-        n = len(cases[0]) - 1
-        rows = spark.createDataFrame([(i, *c[:n]) for i, c in enumerate(cases)], "id int, " + ", ".join(f"a{k} string" for k in range(n)))
-        return rows.select("id", text_udf.rowwise(f, *[F.col(f"a{k}") for k in range(n)]).alias("verdict"))
-
-    query("select * from " + values([(i, c[-1]) for i, c in enumerate(_cases)]) + " v(id, verdict)", name=_name)(_gate)
-
-SKELETONS = ["Gain of {{c1.value}} was seen.", "Gain of 92% was seen.", "In Table 3, (2019) work: {{c1.value}}", "COVID-19 and GPT4 aside", "百分之五 {{c2.value}}", "2.5e3 units"]
-
-
-@query("select * from (values (0, true, ''), (1, false, '92'), (2, true, ''), (3, true, ''), (4, false, '百分之五'), (5, false, '2.5e3')) v(id, ok, bare)")
-def bare_number_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(SKELETONS)), "id int, t string")
-    bare = rows.withColumn("bare", text_udf.rowwise(lambda t: ",".join(text_udf.bare_numbers(t)), F.col("t")))
-    return bare.select("id", (F.col("bare") == "").alias("ok"), "bare")
-
-
 @query("""select o_orderkey, 'total ' || cast(cast(floor(o_totalprice) as bigint) as varchar) || '〔' || case o_orderstatus when 'F' then '已验证' when 'O' then '已归因' else '未验证' end || '，来源 ' || cast(count(*) as varchar) || '/独立簇 ' || cast(count(distinct l_suppkey) as varchar) || '〕' as prose
  from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_totalprice, o_orderstatus""")
 def compose(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 from itertools import product
 
 from claimweave.operators.status import with_status
-from claimweave.plans.status_plans import vectors
+from claimweave.plans.status_plans import lines, vectors
+from tests.support import SF
 
 RANK = {"verified": 3, "attributed": 2, "estimated": 2, "unverified": 1}
 
@@ -96,7 +97,7 @@ def model(r):
 
 
 def test_vectors_match_the_model(spark):
-    got = with_status(vectors(spark, 20_000)).collect()
+    got = with_status(vectors(lines(spark, SF))).collect()
     wrong = [(r["id"], (r["status"], r["step"]), model(r.asDict())) for r in got if (r["status"], r["step"]) != model(r.asDict())]
     assert not wrong, wrong[:3]
     assert len({r["status"] for r in got}) == 7 and len({r["step"] for r in got}) > 14
