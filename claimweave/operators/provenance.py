@@ -28,6 +28,24 @@ def round_trip(asks: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     return asks.join(first, [id_col, "locator"], "left").withColumn("verdict", verdict).drop("_text")
 
 
+def evidence(asks: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """asks (id, quote) as evidence records: the first addressable passage in the order of the page that holds the quote (composed forms, blanks squeezed), and whether its locator leads back to it.
+
+    Without such a passage the locator is 'unaddressable' and the record is not verified, but it stays: it only cannot have the best grade. Each quote of a text meets that text's passages alone.
+    """
+    plain = lambda c: text.squeeze(text_udf.nfkc(c))
+    own = asks.withColumn("_plain", plain("quote"))
+    # of passages with one locator the first is where it leads; a passage behind it that holds the quote is found, and does not lead back
+    at = found.where("locator is not null").select(id_col, "locator", "ord", plain("text").alias("_text"))
+    at = at.join(at.groupBy(id_col, "locator").agg(F.min("ord").alias("_lead")), [id_col, "locator"])
+    lead = at.where("ord = _lead").select(id_col, "locator", F.col("_text").alias("_there"))
+    pairs = own.select(id_col, "_plain").where("_plain is not null").distinct().join(at, id_col).where(F.contains("_text", F.col("_plain")))
+    first = pairs.groupBy(id_col, "_plain").agg(F.min_by("locator", "ord").alias("locator"), F.min("ord").alias("ord"))
+    told = own.join(first, [id_col, "_plain"], "left").join(lead, [id_col, "locator"], "left")
+    verified = F.coalesce(F.contains("_there", F.col("_plain")), F.lit(False))
+    return told.select(*asks.columns, F.coalesce("locator", F.lit("unaddressable")).alias("locator"), "ord", verified.alias("roundtrip_verified"))
+
+
 def blank(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
 

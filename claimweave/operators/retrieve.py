@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import text
+from claimweave.operators import substrings
+from claimweave.operators.graph import cut
+from claimweave.operators.sizes import small
 
 ALPHA, TAU, TOP, RAW = 0.6, 0.35, 12, 2
 
@@ -26,24 +29,42 @@ def top_k(scored: DataFrame, key: str, score: str, tie: str, k: int = TOP) -> Da
 
 
 def contained(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc_id): documents that hold an item's text (blanks squeezed). The item's rarest token leads to its candidates.
+    """(item_id, doc_id): documents that hold an item's text (blanks squeezed)."""
+    own = items.select("item_id", text.squeeze(F.col("text")).alias("quote"))
+    bodies = docs.select(F.col("doc_id").alias("doc"), text.squeeze(F.col("text")).alias("body"))
+    return substrings.holding(own, bodies).join(own, "quote").select("item_id", F.col("doc").alias("doc_id"))
 
-    Only words with a blank of the quote on either side are whole words of a document that holds it; the first and the last can be
-    parts of longer ones. Quotes without a token between are looked for in every document, each distinct quote once.
+
+def best_matches(claims: DataFrame, units: DataFrame, k: int = TOP, least: int = RAW, compatible: Column | None = None, seeds: int = 500) -> DataFrame:
+    """(claim, unit, score, place): the k units that share most tokens with each claim, ``least`` at the fewest; equal scores by unit. claims (claim, text, ...), units (unit, text, ...), one row an id.
+
+    Units with the claim's rarest tokens (as many as ``seeds`` units have) are scored in full, and the k-th score t of these is a bound: a unit that has none but the t div 2 most frequent
+    of the claim's tokens cannot reach it. So units are looked up by the other tokens alone, those that could still reach t are left, and what these share of the frequent ones is read off their texts.
+    compatible: a condition on the columns of both (those of units prefixed u_) that a unit must meet; others neither come in nor set the bound.
     """
-    words = F.split("quote", " ")
-    inner = F.concat_ws(" ", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
-    own = items.select("item_id", text.squeeze(F.col("text")).alias("quote")).where(F.col("quote") != "").withColumn("terms", F.array_distinct(text.tokens(inner)))
-    every = docs.select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
-    asked = own.select("item_id", F.explode("terms").alias("token"))
-    frequency = every.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rarest = asked.join(frequency, "token").groupBy("item_id").agg(F.min(F.struct("df", "token")).alias("r")).select("item_id", F.col("r.token").alias("token"))
-    pairs = every.join(rarest, "token").select("item_id", "doc_id")
-    bodies = docs.select("doc_id", text.squeeze(F.col("text")).alias("body"))
-    found = pairs.join(bodies, "doc_id").join(own, "item_id").where(F.contains("body", F.col("quote"))).select("item_id", "doc_id")
-    bare = own.where(F.size("terms") == 0).select("item_id", "quote")
-    held = bodies.join(bare.select("quote").distinct(), F.contains("body", F.col("quote"))).select("doc_id", "quote")
-    return found.union(held.join(bare, "quote").select("item_id", "doc_id"))
+    a = cut(claims.select(F.col("claim"), *[F.col(c) for c in claims.columns if c not in ("claim", "text")], F.array_distinct(text.tokens(F.coalesce("text", F.lit("")))).alias("terms")))
+    b = units.select(F.col("unit"), *[F.col(c).alias(f"u_{c}") for c in units.columns if c not in ("unit", "text")], F.array_distinct(text.tokens(F.coalesce("text", F.lit("")))).alias("u_terms"))
+    asked, posted = a.select("claim", F.explode("terms").alias("token")), b.select("unit", F.explode("u_terms").alias("token"))
+    frequency = posted.join(small(cut(asked.select("token").distinct()), F.length("token") + 32), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    by_rarity = Window.partitionBy("claim").orderBy("df", "token")
+    ranked = cut(asked.join(frequency, "token").withColumn("below", F.sum("df").over(by_rarity.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.count(F.lit(1)).over(Window.partitionBy("claim")) - F.row_number().over(by_rarity)))
+
+    def shared(tokens: DataFrame) -> DataFrame:
+        return posted.join(small(tokens.select("claim", "token")), "token").groupBy("claim", "unit").agg(F.count(F.lit(1)).alias("part"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        own = b.join(small(pairs), "unit").join(small(a, F.size("terms") * 16 + 64), "claim")
+        own = own.where(compatible) if compatible is not None else own
+        return own.select("claim", "unit", F.size(F.array_intersect("terms", "u_terms")).cast("long").alias("score")).where(F.col("score") >= least)
+
+    place = lambda by: F.row_number().over(Window.partitionBy("claim").orderBy(*by))
+    first = shared(ranked.where((F.coalesce("below", F.lit(0)) < seeds) & (F.col("df") <= seeds)))
+    first = cut(first.withColumn("p", place([F.desc("part"), "unit"])).where(F.col("p") <= 4 * k).select("claim", "unit"))
+    bound = scored(first).withColumn("p", place([F.desc("score"), "unit"])).where(F.col("p") == k).select("claim", F.col("score").alias("t"))
+    told = cut(ranked.join(bound, "claim", "left").withColumn("t", F.greatest(F.coalesce("t", F.lit(0)), F.lit(least))))
+    few = F.floor(F.col("t") / 2)
+    left = shared(cut(told.where(F.col("after") >= few))).join(small(cut(told.select("claim", "t").distinct())), "claim").where(F.col("part") + few >= F.col("t"))
+    return scored(cut(left.select("claim", "unit"))).withColumn("place", place([F.desc("score"), "unit"])).where(F.col("place") <= k)
 
 
 def clamp(x: Column) -> Column:

@@ -60,6 +60,18 @@ def locator_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.round_trip(lines.select("doc_id", "k", locator.alias("locator"), quote.alias("quote")), found, "doc_id").select("doc_id", "k", "verdict")
 
 
+@query(f"""{_JATS}, q as (select doc_id, k as ask, case when k % 7 = 6 then 'stands nowhere, not here' else trim(substr(t, 3, 24)) end as quote from j where trim(substr(t, 3, 24)) <> ''),
+ f as (select q.doc_id as doc_id, ask, min(k) as k from q join j on j.doc_id = q.doc_id and j.locator is not null and contains(j.t, q.quote) group by q.doc_id, ask)
+ select q.doc_id as doc_id, cast(q.ask as int) as ask, coalesce(j.locator, 'unaddressable') as locator, j.locator is not null as roundtrip_verified from q left join f on f.doc_id = q.doc_id and f.ask = q.ask left join j on j.doc_id = f.doc_id and j.k = f.k""")
+def evidence_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence built from quotes: the first passage of the text that holds each, its locator and the way back. Every seventh quote stands nowhere."""
+    found = provenance.passages(jats_texts(spark, sf_dir), "doc_id", "body", "jats")
+    lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ask", "line")).select("doc_id", "ask", text.squeeze(F.col("line")).alias("t")).where("t <> ''")
+    quote = F.trim(F.substring("t", 3, 24))
+    asks = lines.where(quote != "").select("doc_id", "ask", F.when(F.col("ask") % 7 == 6, "stands nowhere, not here").otherwise(quote).alias("quote"))
+    return provenance.evidence(asks, found, "doc_id").select("doc_id", "ask", "locator", "roundtrip_verified")
+
+
 _FETCH = """f as (select page_id, case when page_id % 9 = 0 then 'ftp://host/x' else url end as url, html as body, case when page_id % 10 = 0 then 404 else 200 end as status, page_id % 8 = 0 as late, page_id % 12 = 0 as unnamed from pages)"""
 
 

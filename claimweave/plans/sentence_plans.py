@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions import text, text_udf
-from claimweave.operators import intervals
+from claimweave.operators import intervals, retrieve, substrings
 from claimweave.plans.registry import query
 from claimweave.sources.tables import load
 
@@ -99,6 +99,35 @@ def _columns(listed: str) -> list[str]:
     return [head + " as region", tail]
 
 
+_TOK = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))"
+
+
+@query(f"""with {_DP}, i as (select i.*, {_ITEM_SCOPE} from ({_IP[6:-1]}) i), a as (select item_id, unnest({_TOK}) as w from benchmark), b as (select doc_id, unnest({_TOK}) as w from documents), m as (select item_id, doc_id, count(*) as score from a join b using (w) group by all having count(*) >= 2)
+ select item_id, doc_id, cast(score as bigint) as score, cast(r as int) as place from (select m.*, row_number() over (partition by m.item_id order by score desc, m.doc_id) as r from m join d on d.doc_id = m.doc_id join i on i.item_id = m.item_id
+  where (d.period is null or i.period is null or {_MEET}) and (lang is null or region is null or lower(lang) = lower(region)) and (source is null or actors = '' or list_contains(string_split(lower(actors), ','), lower(source)))) where r <= 12""")
+def scoped_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dozen documents that share most words with each item and whose scope can hold with the item's: period, region, actors."""
+    i = item_periods(spark, sf_dir).selectExpr("item_id", "period", *_columns(_ITEM_SCOPE)).join(load(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("item_id", "claim")
+    d = doc_periods(spark, sf_dir).join(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "unit")
+    some = F.filter(F.split("actors", ","), lambda x: x != "")
+    fits = text.scope_compatible(F.col("u_period"), F.col("period"), F.col("u_lang"), F.col("region"), F.when(F.col("u_source").isNotNull(), F.array("u_source")), some)
+    return retrieve.best_matches(i, d, compatible=fits).select(F.col("claim").alias("item_id"), F.col("unit").alias("doc_id"), "score", "place")
+
+
+_INNER = "substr(w, 2, length(w) - 2)"
+
+
+@query(f"""with l as (select item_id, unnest(list_distinct(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'))) as w from benchmark), p as (select item_id, {_INNER} as quote from (select *, row_number() over (partition by item_id order by length(w) desc, w) as r from l) where r = 1 and length(w) > 2)
+ select item_id, quote, count(doc_id) as docs, min(doc_id) as first from p left join documents on contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), quote) group by item_id, quote""".replace("\\\\", "\\"))
+def quote_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold the inside of each item's longest word: quotes without a whole word, found by their rarest grams."""
+    w = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    longest = F.element_at(F.array_sort(F.transform(w, lambda x: F.struct((-F.length(x)).alias("l"), x.alias("w")))), 1)["w"]
+    p = load(spark, sf_dir, "benchmark").select("item_id", longest.alias("w")).where("length(w) > 2").select("item_id", F.expr("substring(w, 2, length(w) - 2)").alias("quote"))
+    bodies = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), text.squeeze(F.col("text")).alias("body"))
+    return p.join(substrings.holding(p, bodies), "quote", "left").groupBy("item_id", "quote").agg(F.count("doc").alias("docs"), F.min("doc").alias("first"))
+
+
 STARTS, WIDTH = (1, 9, 25, 60, 110), 12
 _STOPS = "list_filter(range(1, len(c) + 1), lambda k: c[k] = '。' or (c[k] = '.' and not (regexp_matches(coalesce(c[k - 1], ''), '^[0-9]') and regexp_matches(coalesce(c[k + 1], ''), '^[0-9]'))))"
 

@@ -195,8 +195,8 @@ def keyword_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_KW + " select item_id, doc_id, cast(score as bigint) as score, cast(r as int) as place from (select *, row_number() over (partition by item_id order by score desc, doc_id) as r from m) where r <= 12")
 def pack_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = retrieve.keyword_match(load(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    return retrieve.top_k(m, "item_id", "score", "doc_id")
+    items, units = load(spark, sf_dir, "benchmark").selectExpr("item_id as claim", "text"), docs(spark, sf_dir).selectExpr("doc_id as unit", "text")
+    return retrieve.best_matches(items, units).select(F.col("claim").alias("item_id"), F.col("unit").alias("doc_id"), "score", "place")
 
 
 _VEC = "with q as (select vec_id as q, cast(embedding as double[]) as a, label as ql from embeddings where vec_id % 50 = 0), v as (select vec_id as v, cast(embedding as double[]) as b, label as vl from embeddings)"
