@@ -8,25 +8,31 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the cluster's folder; in one of our own only on a local master where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; one of our own only on a local master where none is set."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="claimweave-graph-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """checkpoint() in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def closure(start: DataFrame, edges: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """(node, depth): what is reached from start (node) along edges (source, target), not through blocked nodes."""
-    seen = cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = seen, 0
+    seen = frontier = cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
+    depth = 0
     while True:
         depth += 1
         new = edges.join(frontier, edges["source"] == frontier["node"], "left_semi").select(F.col("target").alias("node")).distinct()
@@ -35,7 +41,7 @@ def closure(start: DataFrame, edges: DataFrame, blocked: DataFrame | None = None
         frontier = cut(new.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.limit(1).count():
             return seen
-        seen = cut(seen.union(frontier))
+        seen = seen.union(frontier)
 
 
 def cyclic(edges: DataFrame) -> DataFrame:

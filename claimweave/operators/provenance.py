@@ -91,6 +91,12 @@ def put_objects(blobs: DataFrame) -> DataFrame:
     return blobs.where("bytes is not null").groupBy(F.sha2("bytes", 256).alias("address")).agg(F.first("bytes").alias("bytes"))
 
 
+def get_objects(asks: DataFrame, store: DataFrame) -> DataFrame:
+    """asks (address, ...) with the bytes that a store (address, bytes) has for them; null where it has none, or has others than the address says."""
+    own = store.where(F.sha2("bytes", 256) == F.col("address")).select("address", "bytes")
+    return asks.join(own, "address", "left")
+
+
 def integrity(asks: DataFrame, cards: DataFrame, objects: DataFrame) -> DataFrame:
     """asks (evidence_id) with a verdict: 'not_covered' (no card), 'missing' (no object), 'mutated' (other bytes, or the quote is gone) or 'intact'.
 
