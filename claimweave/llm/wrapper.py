@@ -1,9 +1,10 @@
 """Operator 3. Main text of web pages by wrapper induction.
 
 Pages become trees of block elements (label: tag with class, id and role). Paragraphs, list items and the like of one element are one
-repeated node, as are long runs of neighbours of one label (records of a list). Each host has a reference tree, a page of the shape of the most different pages,
+repeated node. Each host has a reference tree, a page of the shape of the most different pages,
 and every page is aligned with it by simple tree matching (the largest order-preserving
-match of equal-labelled nodes, a node of equal text counting twice); what has no counterpart is known by its path below the last node that has one. A slot is a node with text. A slot
+match of equal-labelled nodes, a node of equal text counting twice, below two nodes where their trees have one shape); it is one matching at every size, whose memory
+is the longer list of children times the root of the other one; what has no counterpart is known by its path below the last node that has one. A slot is a node with text. A slot
 that ``least`` different pages have is template where its text is always the same or mostly links; slots that vary are content, unless they stand in a menu, header, footer, sidebar, notice, advert,
 form or comment element. Where a page has content in article or main elements, its text is what stands in them.
 
@@ -25,6 +26,7 @@ import sys
 from collections.abc import Iterator
 from functools import cache, lru_cache
 from html import unescape
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -55,19 +57,23 @@ BOILER_WORDS = {
     "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "sidebar", "side", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "share", "sharing", "social", "related",
     "recommended", "footer", "header", "masthead", "topbar", "subscribe", "subscription", "newsletter", "popup", "modal", "overlay", "login", "signup", "search", "pagination", "pager", "widget", "widgets", "toolbar", "paywall",
 }
-#: Neighbours of one label that are taken for records of a list. Cells up to which two lists of children are matched by the weight of what is below.
-RUN, CELLS = 12, 4096
+#: Children from which a row of a match is computed in arrays; the numbers are the same either way.
+WIDE = 48
 #: Hosts whose templates a worker keeps unpacked, slots that it sums up before it hands them on, parts that a slot's sums are dealt to.
 HELD, SLOTS, PARTS = 2000, 100_000, 64
 
 
 class Node:
-    """An element of a folded page. runs: (place, text, characters in links); mark: a hash of its text (0: none); number: its place in a reference tree."""
+    """An element of a folded page. runs: (place, text, characters in links); mark: a hash of its text (0: none); number: its place in a reference tree.
 
-    __slots__ = ("label", "kids", "runs", "mark", "number")
+    shape, size: a hash of the labels of its tree, and how many nodes that has (from shaped()); marks: those of its tree, when asked for.
+    """
+
+    __slots__ = ("label", "kids", "runs", "mark", "number", "shape", "size", "marks")
 
     def __init__(self, label: str, mark: int = 0, number: int = 0):
         self.label, self.kids, self.runs, self.mark, self.number = label, [], [], mark, number
+        self.shape, self.size, self.marks = 0, 1, None
 
 
 def preorder(root: Node) -> Iterator[Node]:
@@ -77,6 +83,13 @@ def preorder(root: Node) -> Iterator[Node]:
         stack.extend(reversed(node.kids))
 
 
+def shaped(root: Node) -> Node:
+    for node in reversed(list(preorder(root))):
+        node.shape = hash((node.label, *[kid.shape for kid in node.kids]))
+        node.size = 1 + sum(kid.size for kid in node.kids)
+    return root
+
+
 def packed(root: Node) -> tuple[bytes, int]:
     """The labels and marks of a tree, each with the number of its parent; a hash of its shape."""
     labels, parents, marks, stack = [], [], [], [(root, -1)]
@@ -93,7 +106,7 @@ def unpacked(tree: bytes) -> Node:
         nodes.append(node := Node(label, mark, len(nodes)))
         if parent >= 0:
             nodes[parent].kids.append(node)
-    return nodes[0]
+    return shaped(nodes[0])
 
 
 def label_of(tag: str, attrs: str) -> str:
@@ -186,7 +199,7 @@ def parse(html: str) -> Node:
     for node in preorder(root):
         if node.runs:
             node.mark = hashed("\n".join(r[1] for r in node.runs))
-    return root
+    return shaped(root)
 
 
 @lru_cache(4096)
@@ -200,21 +213,14 @@ def end_of(tag: str) -> re.Pattern:
 
 
 def fold(root: Node) -> None:
-    """Siblings of one foldable label become one, as do long runs of neighbours of one label, and an element that holds nothing but one of its own label."""
+    """Siblings of one foldable label become one, as does an element that holds nothing but one of its own label."""
     for node in preorder(root):
         while len(node.kids) == 1 and not node.runs and node.kids[0].label == node.label:
             node.runs, node.kids = node.kids[0].runs, node.kids[0].kids
-        run, n = [0] * len(node.kids), 0  # the length of each kid's run of neighbours
-        for i, kid in enumerate(node.kids):
-            n = n + 1 if i and node.kids[i - 1].label == kid.label else 1
-            run[i] = n
-        for i in range(len(run) - 2, -1, -1):
-            if run[i + 1] > 1:
-                run[i] = max(run[i], run[i + 1]) if node.kids[i].label == node.kids[i + 1].label else run[i]
         out: list[Node] = []
         places: dict[str, Node] = {}
-        for i, kid in enumerate(node.kids):
-            same = places.get(kid.label) if foldable(kid.label) else out[-1] if run[i] >= RUN and out and out[-1].label == kid.label else None
+        for kid in node.kids:
+            same = places.get(kid.label) if foldable(kid.label) else None
             if same is None:
                 out.append(kid)
                 places[kid.label] = kid
@@ -227,68 +233,79 @@ def fold(root: Node) -> None:
 class Matching:
     """Simple tree matching of a page with a reference tree."""
 
-    def __init__(self):
-        self.sizes: dict[tuple[int, int], int] = {}
+    #: Nodes of the largest match of two trees of labels, by their shapes.
+    shapes: dict[tuple[int, int], int] = {}
 
-    def pairs(self, a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
-        """The order-preserving pairs of equal labels with the most nodes matched below them."""
+    def pairs(self, a: list[Node], b: list[Node], weight=None) -> list[tuple[int, int]]:
+        """The order-preserving pairs of equal labels with the most nodes matched below them; of equal ones the earliest.
+
+        Of the table of best sums from (i, j) on, every so many-th row is kept; the others are made again, a block at a time, as the walk comes to them.
+        """
         if len(a) == len(b) and all(x.label == y.label for x, y in zip(a, b, strict=True)):
             return [(i, i) for i in range(len(a))]
-        if len(a) * len(b) > CELLS:
-            return longest_common([x.label for x in a], [y.label for y in b])
-        score = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        own: dict[tuple[int, int], int] = {}
+        weight = weight or self.weight
+        step = isqrt(len(a)) + 1
+        row, kept = [0] * (len(b) + 1), {}
         for i in range(len(a) - 1, -1, -1):
-            for j in range(len(b) - 1, -1, -1):
-                best = max(score[i + 1][j], score[i][j + 1])
-                if a[i].label == b[j].label:
-                    own[i, j] = self.size(a[i], b[j])
-                    best = max(best, score[i + 1][j + 1] + own[i, j])
-                score[i][j] = best
+            if (i + 1) % step == 0 or i + 1 == len(a):
+                kept[i + 1] = row
+            row = self.row(a[i], b, row, weight)[0]
         i = j = 0
-        found = []
+        found: list[tuple[int, int]] = []
+        block: dict[int, tuple] = {}
         while i < len(a) and j < len(b):
-            if (i, j) in own and score[i][j] == score[i + 1][j + 1] + own[i, j]:
+            if i not in block or block[i][1] is None:
+                last = min((i // step + 1) * step, len(a))
+                block = {last: (kept[last], None)}
+                for k in range(last - 1, i - 1, -1):
+                    block[k] = self.row(a[k], b, block[k + 1][0], weight)
+            (best, own), (below, _) = block[i], block[i + 1]
+            if own[j] and best[j] == below[j + 1] + own[j]:
                 found.append((i, j))
                 i, j = i + 1, j + 1
-            elif score[i][j] == score[i + 1][j]:
+            elif best[j] == below[j]:
                 i += 1
             else:
                 j += 1
         return found
 
-    def size(self, a: Node, b: Node) -> int:
-        """The nodes of the largest match of two trees of one label."""
-        own = 2 if a.mark and a.mark == b.mark else 1
+    def row(self, x: Node, b: list[Node], below, weight) -> tuple:
+        """(best sums from x on, weights of x with each of b), given the best sums after x."""
+        own = [weight(x, y) if x.label == y.label else 0 for y in b]
+        if len(b) < WIDE:
+            best = [0] * (len(b) + 1)
+            for j in range(len(b) - 1, -1, -1):
+                best[j] = max(below[j], best[j + 1], below[j + 1] + own[j] if own[j] else 0)
+            return best, own
+        under, add = np.asarray(below), np.array(own)
+        best = np.maximum(under[:-1], np.where(add > 0, under[1:] + add, 0))
+        return np.append(np.maximum.accumulate(best[::-1])[::-1], 0), own
+
+    def weight(self, a: Node, b: Node) -> int:
+        """The nodes of the largest match of two trees of one label; those of equal text count twice, at the top or where both have one shape."""
+        if a.shape != b.shape:
+            return self.common(a, b) + (a.mark == b.mark != 0)
+        if a.size == 1:
+            return 1 + (a.mark == b.mark != 0)
+        for x in (a, b):
+            if x.marks is None:
+                x.marks = [n.mark for n in preorder(x)]
+        return a.size + sum([p == q != 0 for p, q in zip(a.marks, b.marks, strict=True)])
+
+    def common(self, a: Node, b: Node) -> int:
+        """The nodes of the largest match of two trees of one label, whatever their texts."""
+        if a.shape == b.shape:
+            return a.size
         if not a.kids or not b.kids:
-            return own
-        if (n := self.sizes.get((id(a), id(b)))) is None:
-            n = own
-            for i, j in self.pairs(a.kids, b.kids):
-                n += self.size(a.kids[i], b.kids[j])
-            self.sizes[id(a), id(b)] = n
+            return 1
+        if (n := self.shapes.get((a.shape, b.shape))) is None:
+            if len(self.shapes) > SLOTS:
+                self.shapes.clear()
+            n = 1 + sum(self.common(a.kids[i], b.kids[j]) for i, j in self.pairs(a.kids, b.kids, self.common))
+            self.shapes[a.shape, b.shape] = n
         return n
 
 
-def longest_common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Pairs of a longest common subsequence, row by row in arrays: for lists of very many children."""
-    number = {x: i for i, x in enumerate(dict.fromkeys(a + b))}
-    y = np.array([number[x] for x in b])
-    rows = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i, x in enumerate(a):
-        rows[i + 1, 1:] = np.maximum.accumulate(np.maximum(rows[i, 1:], np.where(y == number[x], rows[i, :-1] + 1, 0)))
-    i, j, found = len(a), len(b), []
-    while i and j:
-        if rows[i, j] == rows[i - 1, j]:
-            i -= 1
-        elif rows[i, j] == rows[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            found.append((i, j))
-    return found[::-1]
-
-
 @lru_cache(4096)
 def boiler(label: str) -> bool:
     name, _, role = label.partition("#")

@@ -25,7 +25,8 @@ from claimweave.llm.queries import op1_permutation_ann
 from claimweave.llm.tokens import default_model, token_counts
 from claimweave.llm.toxicity import FactorizationMachine, hashes, level_term
 from claimweave.llm.urlfilter import url_filter
-from claimweave.llm.wrapper import longest_common, main_text, parse, read
+from claimweave.llm import wrapper
+from claimweave.llm.wrapper import Matching, Node, main_text, parse, read, shaped
 from tests.support import SF
 
 DOCS = "doc_id long, text string, extra string, score string, words string"
@@ -272,16 +273,71 @@ def test_wrapper_deep_and_wide(spark):
         assert got[10 + i] == ("Own\n" if i == 2 else "") + "\n".join(f"Part {j} of {i}\nAnd {j} {i}" for j in range(400))
 
 
-def test_longest_common():
-    rng = random.Random(12)
-    for _ in range(60):
-        a, b = ([rng.choice("abcd") for _ in range(rng.randint(1, 30))] for _ in range(2))
-        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a)):
-            for j in range(len(b)):
-                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
-        pairs = longest_common(a, b)
-        assert len(pairs) == table[-1][-1] and all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))  # noqa: B905
+def plain_match(a, b, weight):
+    """All order-preserving matches of two short lists, one after another: the greatest sum of weights."""
+    if not a or not b:
+        return 0
+    best = max(plain_match(a[1:], b, weight), plain_match(a, b[1:], weight))
+    return max(best, weight(a[0], b[0]) + plain_match(a[1:], b[1:], weight)) if a[0].label == b[0].label else best
+
+
+def plain_common(a, b):
+    return 1 + plain_match(a.kids, b.kids, plain_common)
+
+
+def plain_weight(a, b):
+    """Written out: equal texts count at the top, and below it between trees of one shape."""
+    labels = lambda n: (n.label, *map(labels, n.kids))
+    marks = lambda n: [n.mark, *[m for k in n.kids for m in marks(k)]]
+    if labels(a) == labels(b):
+        return len(marks(a)) + sum(p == q != 0 for p, q in zip(marks(a), marks(b), strict=True))
+    return plain_common(a, b) + (a.mark == b.mark != 0)
+
+
+def random_tree(rng, depth):
+    node = Node(rng.choice(["div", "ul", "section"]), rng.choice([0, 1, 2]))
+    node.kids = [random_tree(rng, depth - 1) for _ in range(rng.randrange(4) if depth else 0)]
+    return node
+
+
+def test_tree_matching(monkeypatch):
+    """The match has the greatest weight, whether rows are lists or arrays; the pairs are the same in any number of kept rows."""
+    rng = random.Random(11)
+    for round_ in range(120):
+        a, b = ([shaped(random_tree(rng, 2)) for _ in range(rng.randrange(1, 6))] for _ in range(2))
+        got = []
+        for wide in (0, 1000):
+            monkeypatch.setattr(wrapper, "WIDE", wide)
+            pairs = Matching().pairs(a, b)
+            assert all(a[i].label == b[j].label for i, j in pairs) and pairs == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+            got.append(pairs)
+        assert got[0] == got[1]
+        if [x.label for x in a] != [y.label for y in b]:
+            assert sum(plain_weight(a[i], b[j]) for i, j in got[0]) == plain_match(a, b, plain_weight)
+        monkeypatch.setattr(wrapper, "isqrt", lambda n: n)
+        assert Matching().pairs(a, b) == got[0]
+        monkeypatch.setattr(wrapper, "isqrt", lambda n: 0)
+        assert Matching().pairs(a, b) == got[0]
+        monkeypatch.undo()
+
+
+@pytest.mark.parametrize("n", [10, 11, 12, 13, 62, 63, 64, 65, 66, 300])
+def test_no_size_changes_the_match(spark, n):
+    """A list of n blocks after the menu, on pages with one more or less: its texts are content and the rest goes, at every length."""
+    rng = random.Random(n)
+    page = lambda k: "<body><div>Home About</div>" + "".join(f"<div><h3>t{rng.random()}</h3><div>{rng.random()} said</div></div>" for _ in range(n + k % 2)) + "<div>All of it ours</div></body>"
+    rows = spark.createDataFrame([(k, f"http://h{n}.org/{k}", page(k)) for k in range(6)], "page_id long, url string, html string")
+    for r in main_text(rows).collect():
+        want = re.findall(r"t0\.[\de-]+|0\.[\de-]+ said|[\d.e-]+ said", r["html"])
+        assert r["text"].split("\n") == want, r["text"][:200]
+
+
+def test_very_many_children():
+    """Thousands of children on both sides, with text between: memory stays small and the match is right."""
+    left, right = (parse("<body>" + "".join(f"<div>{k} {side if k % 3 else 'same'}</div>" + ("<section>x</section>" if k == at else "") for k in range(1500)) + "</body>") for side, at in (("a", 400), ("b", 700)))
+    body = lambda page: page.kids[0] if page.kids[0].label == "body" else page
+    pairs = Matching().pairs(body(left).kids, body(right).kids)
+    assert len(pairs) == 1500
 
 
 def test_wrapper_on_pages(spark):
