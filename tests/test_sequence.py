@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from claimweave.operators import brief
+from claimweave.operators import brief, explore, topics
 from claimweave.operators.asof import as_of
 
 
@@ -60,3 +60,44 @@ def test_brief(spark):
         for k in {r[0] for r in rows}:
             own = [r[1:] for r in rows if r[0] == k and r[1] in sections]
             assert got.get(k) == (plain_brief(own, sections, most) if own else None), (most, k)
+
+
+def plain_explore(threads, terminal, budget, most, limit):
+    """One call after another, as the rounds go."""
+    state = {t: {"status": None, "rounds": 0, "stale": 0, "done": False, "out": False} for t in sorted(threads)}
+    for r in range(1, most + 1):
+        for t in [t for t in state if not state[t]["done"] and len(threads[t]) >= r]:
+            s = state[t]
+            s["rounds"] = r
+            if budget <= 0:
+                s |= {"status": "not_covered", "done": True, "out": True}
+                continue
+            budget -= 1
+            before, s["status"] = s["status"], threads[t][r - 1]
+            s["stale"] = s["stale"] + 1 if before == s["status"] else 0
+            s["done"] = s["status"] in terminal or s["stale"] >= limit
+    return {t: (s["rounds"], s["status"], s["out"]) for t, s in state.items() if s["rounds"]}
+
+
+def test_explored(spark):
+    rng = random.Random(7)
+    threads = {f"t{i}": [rng.choice(["open", "open", "attributed", "verified"]) for _ in range(rng.randrange(9))] for i in range(60)}
+    rows = spark.createDataFrame([(t, k, s) for t, own in threads.items() for k, s in enumerate(own)], "thread string, seq int, status string").repartition(5)
+    for budget, most, limit in ((0, 5, 2), (37, 5, 2), (90, 5, 1), (140, 7, 3), (10_000, 5, 2)):
+        got = {r["thread"]: (r["rounds"], r["status"], r["exhausted"]) for r in explore.explored(rows, ("verified",), budget, most, limit).collect()}
+        assert got == plain_explore(threads, ("verified",), budget, most, limit), budget
+
+
+def test_topic_files(spark):
+    files = [
+        (1, "before\n# Topic\nOne thing\nmore of it\n## SCOPE\n- Period: 1990-2000\n* Region : EU\n1. third\nstray\n\n### unknown\n- x\n## Exclusions\n   \n## topic\nagain"), (2, ""), (3, None), (4, "#no heading\n#  Seed Claims  \r\n2) a\r\n  - b "), (5, "## paper type"), (6, "Topic\n- a"),
+    ]
+    df = spark.createDataFrame(files, "f int, t string")
+    found = topics.parsed(df, "f", "t")
+    got = {(r["f"], r["section"]): (r["items"], r["stray"], r["empty"], r["repeated"]) for r in found.collect()}
+    assert got == {
+        (1, "topic"): (["One thing\nmore of it"], 0, False, True), (1, "scope"): (["Period: 1990-2000", "Region : EU", "third"], 1, False, False), (1, "exclusions"): ([], 0, True, False),
+        (4, "seed claims"): (["a", "b"], 0, False, False), (5, "paper type"): ([], 0, True, False),
+    }
+    lacks = {r["f"]: r["missing"] for r in topics.missing(df, found, "f").collect()}
+    assert lacks[2] == lacks[3] == topics.SECTIONS and lacks[1] == [s for s in topics.SECTIONS if s not in ("topic", "scope", "exclusions")]
