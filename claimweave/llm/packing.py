@@ -3,7 +3,7 @@
 Documents longer than the largest size are cut into pieces of that size and a rest; every piece is packed whole. Rows
 are dealt by hash to shards of bounded size. In a shard, pieces go, longest first, to the open bin with the least
 room that still holds them; where none does, a new bin is opened. The permitted sizes are optimised jointly: the
-shard is packed once for each opening policy (the cheapest size by the cost of a token at the filling seen so far,
+shard is packed once for each opening policy (the cheapest size by the cost of a token where the piece fills it as often as it fits,
 and each single size, raised where a piece needs more), every bin is then downsized to the least permitted size that holds its contents,
 and the packing of least total cost is kept.
 
