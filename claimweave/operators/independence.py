@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text
 from claimweave.operators import cluster
-from claimweave.operators.graph import components, cut
+from claimweave.operators.graph import cut
 
 RULES = ["same-content-sha256", "near-duplicate", "exact-id", "same-title-first-author", "citation-chain", "cross-language-chain", "self-citation-loop"]
 #: Rules that can be wrong: their merges are marked for review.
@@ -36,30 +36,47 @@ def links(refs: DataFrame) -> DataFrame:
     return both.select("rule", F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).groupBy("source", "target").agg(F.min("rule").alias("rule")).select("rule", "source", "target")
 
 
-def forest(edges: DataFrame) -> DataFrame:
-    """(rule, source, target) of a spanning forest of the least edges, in the order of rule, source, target."""
+def grown(edges: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """(log, roots): the forest of the least edges (rule, source, target), and (id, root) of the records that it joins, root being the least of a cluster. None where there is no edge.
+
+    A round: every cluster points along its least edge; of two that point at each other the smaller one is a root; pointers are halved until all point at roots.
+    """
     left = cut(edges.select(F.struct("rule", "source", "target").alias("e"), F.col("source").alias("a"), F.col("target").alias("b")))
-    logged = []
+    logged, label = [], None
     while left.limit(1).count():
-        each = left.select(F.col("a").alias("c"), "e").union(left.select(F.col("b"), "e"))
-        chosen = each.groupBy("c").agg(F.min("e").alias("e"))
-        # an edge that both its clusters take is one merge
-        taken = cut(chosen.join(left, "e").select("e", "a", "b").distinct())
-        logged.append(taken.select("e.rule", "e.source", "e.target"))
-        root = components(taken.select(F.col("a").alias("source"), F.col("b").alias("target")))
-        to = lambda end: root.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
-        moved = left.join(to("a"), "a", "left").join(to("b"), "b", "left").select("e", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+        each = left.select(F.col("a").alias("c"), F.struct("e", F.col("b").alias("o")).alias("x")).union(left.select(F.col("b"), F.struct("e", F.col("a").alias("o"))))
+        chosen = cut(each.groupBy("c").agg(F.min("x").alias("x")).select("c", "x.e", "x.o"))
+        logged.append(chosen.select("e").distinct().select("e.rule", "e.source", "e.target"))
+        back = chosen.select(F.col("c").alias("o"), F.col("o").alias("_back"))
+        to = cut(chosen.join(back, "o").select("c", F.when((F.col("_back") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("p")))
+        while True:
+            step = cut(to.join(to.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p").select("c", "p", "pp"))
+            to = step.select("c", F.col("pp").alias("p"))
+            if not step.where("p <> pp").limit(1).count():
+                break
+        label = to.select(F.col("c").alias("id"), F.col("p").alias("root")) if label is None else label.join(to.select(F.col("c").alias("root"), "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root"))
+        label = cut(label)
+        end = lambda c: to.select(F.col("c").alias(c), F.col("p").alias(f"_{c}"))
+        moved = left.join(end("a"), "a").join(end("b"), "b").select("e", F.col("_a").alias("a"), F.col("_b").alias("b"))
         # of the edges between two clusters the least is enough
         left = cut(moved.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e")).select("e", "a", "b"))
     if not logged:
-        return edges.where("false").select("rule", "source", "target")
-    return reduce(DataFrame.union, logged)
+        return None, None
+    least = label.groupBy("root").agg(F.min("id").alias("least"))
+    return reduce(DataFrame.union, logged), label.join(least, "root").select("id", F.col("least").alias("root"))
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """(rule, source, target) of a spanning forest of the least edges, in the order of rule, source, target."""
+    log = grown(edges)[0]
+    return edges.where("false").select("rule", "source", "target") if log is None else log
 
 
-def clusters(refs: DataFrame, log: DataFrame) -> DataFrame:
-    """(id, root): every record with the least record of its cluster."""
-    root = components(log.select("source", "target")).withColumnRenamed("node", "id")
-    return refs.select("id").distinct().join(root, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+def clusters(refs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, root): every record with the least record of its cluster; edges: those of a forest, or all links."""
+    root = grown(edges)[1]
+    own = refs.select("id").distinct()
+    return own.select("id", F.col("id").alias("root")) if root is None else own.join(root, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def named(log: DataFrame) -> DataFrame:
