@@ -7,6 +7,7 @@ executors cost one round. Rounds are bounded by the longest shortest path.
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read back: it keeps no constraints of the plan before it, which checkpoint() does and which double with each self-join of a loop."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def closure(start: DataFrame, edges: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """(node, depth): what is reached from start (node) along edges (source, target), not through blocked nodes."""
     seen = frontier = cut(start.select("node").distinct().withColumn("depth", F.lit(0)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text
 from claimweave.operators import cluster
-from claimweave.operators.graph import cut
+from claimweave.operators.graph import cut, written
 
 RULES = ["same-content-sha256", "near-duplicate", "exact-id", "same-title-first-author", "citation-chain", "cross-language-chain", "self-citation-loop"]
 #: Rules that can be wrong: their merges are marked for review.
@@ -41,25 +41,25 @@ def grown(edges: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
 
     A round: every cluster points along its least edge; of two that point at each other the smaller one is a root; pointers are halved until all point at roots.
     """
-    left = cut(edges.select(F.struct("rule", "source", "target").alias("e"), F.col("source").alias("a"), F.col("target").alias("b")))
+    left = written(edges.select(F.struct("rule", "source", "target").alias("e"), F.col("source").alias("a"), F.col("target").alias("b")))
     logged, label = [], None
     while left.limit(1).count():
         each = left.select(F.col("a").alias("c"), F.struct("e", F.col("b").alias("o")).alias("x")).union(left.select(F.col("b"), F.struct("e", F.col("a").alias("o"))))
-        chosen = cut(each.groupBy("c").agg(F.min("x").alias("x")).select("c", "x.e", "x.o"))
+        chosen = written(each.groupBy("c").agg(F.min("x").alias("x")).select("c", "x.e", "x.o"))
         logged.append(chosen.select("e").distinct().select("e.rule", "e.source", "e.target"))
         back = chosen.select(F.col("c").alias("o"), F.col("o").alias("_back"))
-        to = cut(chosen.join(back, "o").select("c", F.when((F.col("_back") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("p")))
+        to = written(chosen.join(back, "o").select("c", F.when((F.col("_back") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("p")))
         while True:
-            step = cut(to.join(to.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p").select("c", "p", "pp"))
+            step = written(to.join(to.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p").select("c", "p", "pp"))
             to = step.select("c", F.col("pp").alias("p"))
             if not step.where("p <> pp").limit(1).count():
                 break
         label = to.select(F.col("c").alias("id"), F.col("p").alias("root")) if label is None else label.join(to.select(F.col("c").alias("root"), "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root"))
-        label = cut(label)
+        label = written(label)
         end = lambda c: to.select(F.col("c").alias(c), F.col("p").alias(f"_{c}"))
         moved = left.join(end("a"), "a").join(end("b"), "b").select("e", F.col("_a").alias("a"), F.col("_b").alias("b"))
         # of the edges between two clusters the least is enough
-        left = cut(moved.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e")).select("e", "a", "b"))
+        left = written(moved.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e")).select("e", "a", "b"))
     if not logged:
         return None, None
     least = label.groupBy("root").agg(F.min("id").alias("least"))
