@@ -37,6 +37,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def remove(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def closure(start: DataFrame, edges: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """(node, depth): what is reached from start (node) along edges (source, target), not through blocked nodes."""
     seen = frontier = cut(start.select("node").distinct().withColumn("depth", F.lit(0)))

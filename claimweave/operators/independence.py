@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text
 from claimweave.operators import cluster
-from claimweave.operators.graph import cut, written
+from claimweave.operators.graph import cut, remove, written
 
 RULES = ["same-content-sha256", "near-duplicate", "exact-id", "same-title-first-author", "citation-chain", "cross-language-chain", "self-citation-loop"]
 #: Rules that can be wrong: their merges are marked for review.
@@ -51,15 +51,18 @@ def grown(edges: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
         to = written(chosen.join(back, "o").select("c", F.when((F.col("_back") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("p")))
         while True:
             step = written(to.join(to.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p").select("c", "p", "pp"))
+            remove(to)
             to = step.select("c", F.col("pp").alias("p"))
             if not step.where("p <> pp").limit(1).count():
                 break
+        before = label
         label = to.select(F.col("c").alias("id"), F.col("p").alias("root")) if label is None else label.join(to.select(F.col("c").alias("root"), "p"), "root", "left").select("id", F.coalesce("p", "root").alias("root"))
         label = written(label)
         end = lambda c: to.select(F.col("c").alias(c), F.col("p").alias(f"_{c}"))
         moved = left.join(end("a"), "a").join(end("b"), "b").select("e", F.col("_a").alias("a"), F.col("_b").alias("b"))
         # of the edges between two clusters the least is enough
-        left = written(moved.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e")).select("e", "a", "b"))
+        last, left = left, written(moved.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e")).select("e", "a", "b"))
+        remove(last, to, *([before] if before is not None else []))
     if not logged:
         return None, None
     least = label.groupBy("root").agg(F.min("id").alias("least"))

@@ -53,3 +53,15 @@ def test_forest(spark):
             want.append((rule, a, b))
     got = independence.forest(spark.createDataFrame(list(edges), "rule int, source long, target long"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_tables_left(spark, tmp_path, monkeypatch):
+    """Of a run's tables only the log's rounds, the last labels and the (empty) last links stay in the shared folder."""
+    from claimweave.operators import graph
+
+    monkeypatch.setattr(graph, "shared_folder", lambda _: f"file://{tmp_path}")
+    log, roots = independence.grown(spark.createDataFrame([(2, i, i + 1) for i in range(30)] + [(3, 50, 51), (1, 51, 52)], "rule int, source long, target long"))
+    assert log.count() == 32 and sorted({r["root"] for r in roots.collect()}) == [0, 50]
+    rounds = len(log.inputFiles()) and len({f.rsplit("/", 1)[0] for f in log.inputFiles()})
+    assert len(list(tmp_path.glob("table-*"))) == rounds + 2
+    assert independence.grown(spark.createDataFrame([], "rule int, source long, target long")) == (None, None)
