@@ -98,3 +98,14 @@ def test_append_new(spark):
 def test_passage_terms(spark):
     row = spark.sql("select 'The Networks were trained, 92.4% of it' as t").select(text.passage_terms(F.col("t")).alias("x")).first()
     assert row["x"] == ["network", "train", "92.4%"] or "train" in row["x"]
+
+
+def test_plans_of_loops_do_not_grow_with_depth(spark):
+    chain = spark.range(14).selectExpr("id as node", "case when id > 0 then id - 1 end as parent")
+    paths = graph.paths(chain)
+    assert {r["node"]: (r["depth"], r["path"]) for r in paths.collect()} == {i: (i, list(range(i + 1))) for i in range(14)}
+    reached = graph.closure(spark.createDataFrame([(13,)], "node long"), chain.where("parent is not null").selectExpr("node as source", "parent as target"))
+    assert {r["node"]: r["depth"] for r in reached.collect()} == {i: 13 - i for i in range(14)}
+    for df in (paths, reached):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" not in plan and "Join" not in plan
