@@ -109,3 +109,12 @@ def test_plans_of_loops_do_not_grow_with_depth(spark):
     for df in (paths, reached):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "Union" not in plan and "Join" not in plan
+
+
+def test_polarity_compiles_no_pattern_for_a_row(monkeypatch):
+    def compiled(pattern, flags=0):
+        raise AssertionError(pattern)
+
+    monkeypatch.setattr(text_udf.re, "escape", compiled)
+    assert text_udf.polarity("92%", "在无噪声情况下达到92%。") == "NEG-S,NEG-C"
+    assert text_udf.polarity("92%", "It did not reach 92% on the set.") == "NEG-S"
