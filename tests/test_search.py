@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimweave.operators import cluster, provenance, retrieve, substrings
@@ -62,3 +63,22 @@ def test_evidence(spark):
     got = [tuple(r) for r in provenance.evidence(spark.createDataFrame(asks, "d int, quote string"), found, "d").collect()]
     want = [(1, "second  lines", "a", 1, True), (1, "lines", "a", 1, True), (1, "first", "unaddressable", None, False), (1, "fourth", "a", 3, False), (2, "only", "unaddressable", None, False), (3, "x", "unaddressable", None, False), (1, None, "unaddressable", None, False), (1, "lines", "a", 1, True)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_vector_searches_against_pairs(spark):
+    """Ties, copies, null labels and components, and vectors of other lengths: searches by blocks agree with all pairs."""
+    from claimweave.operators import retrieve, vectors
+
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randint(-1, 1)) for _ in range(4)], rng.choice([1, 2, 3, None])) for i in range(90)] + [(90, [1.0, 0.0], 1), (91, [1.0, None, 0.0, 1.0], 1), (92, [0.0] * 4, 2)]
+    e = spark.createDataFrame(rows, "v long, b array<double>, vl int")
+    q = e.where("v % 10 = 0").selectExpr("v as q", "b as a", "vl as ql")
+    slow = retrieve.by_blocks(q, "q", e, "v").where("q <> v").withColumn("cos", retrieve.cosine(F.col("a"), F.col("b"))).withColumn("same", F.coalesce(F.col("ql") == F.col("vl"), F.lit(False))).select(*"q v cos same ql vl".split()).cache()
+    got = lambda df: sorted(map(repr, df.select("q", "v", "cos").collect()))
+    assert got(vectors.pairs(q, e, 32)) == got(slow)
+    for k, kind, keep in ((8, "any", "true"), (3, "other", "ql <> vl"), (1, "same", "ql = vl")):
+        assert got(retrieve.top_k(vectors.best(q, e, k, kind, block=32), "q", "cos", "v", k)) == got(retrieve.top_k(slow.where(keep), "q", "cos", "v", k))
+    ranked = slow.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cos"), "v")))
+    want = retrieve.recall(ranked, "q", F.col("same"), slow.groupBy("q").agg(F.count(F.when(F.col("same"), 1)).alias("relevant")), 8)
+    assert vectors.recall(q, e, 8).collect() == want.collect()
+    assert "aggregate(" not in vectors.pairs(q, e)._jdf.queryExecution().optimizedPlan().toString()
