@@ -72,12 +72,17 @@ def best_angle(attempts: DataFrame, keys: list[str]) -> DataFrame:
 def coverage(targets: DataFrame, bindings: DataFrame, documents: DataFrame) -> DataFrame:
     """One row a target: directions, documents, publishers (the empty one counts as one) and tiers of what is bound to it."""
     own = bindings.join(documents, "doc", "left")
-    direction = lambda d: F.count(F.when(F.coalesce("direction", F.lit("context")) == d, 1))
-    high, low = F.col("tier").isin("T1_official", "T2_peer_reviewed"), F.col("tier").isin("T3_working_paper", "T4_industry_data")
-    folded = own.groupBy("target").agg(
-        F.count("doc").alias("bindings"), direction("supports").alias("supports"), direction("refutes").alias("refutes"), direction("context").alias("context"),
-        F.countDistinct("doc").alias("docs"), F.countDistinct("publisher").alias("distinct_publishers"), F.array_join(F.sort_array(F.collect_set("tier")), ",").alias("tiers"),
-        F.count(F.when(high, 1)).alias("t12"), F.countDistinct(F.when(low, F.col("doc"))).alias("t34_docs"), F.countDistinct(F.when(low & (F.col("publisher") != ""), F.col("publisher"))).alias("t34_publishers"))
+    low = F.col("tier").isin("T3_working_paper", "T4_industry_data")
+    total = lambda c: F.sum(c).alias(c)
+    count = lambda when, name: F.count(F.when(when, 1)).alias(name)
+    direction = lambda d: count(F.coalesce("direction", F.lit("context")) == d, d)
+    # several distinct counts at once would multiply the bindings: those of a target and a document are folded first, then a target's documents
+    folded = own.groupBy("target", "doc", "publisher", "tier").agg(F.count("doc").alias("bindings"), *map(direction, ("supports", "refutes", "context")))
+    some = lambda c, when=F.lit(True): F.size(F.collect_set(F.when(when, F.col(c)))).cast("long")
+    folded = folded.groupBy("target").agg(
+        *map(total, ("bindings", "supports", "refutes", "context")),
+        some("doc").alias("docs"), some("publisher").alias("distinct_publishers"), F.array_join(F.sort_array(F.collect_set("tier")), ",").alias("tiers"),
+        F.max(F.col("tier").isin("T1_official", "T2_peer_reviewed").cast("int")).alias("t12"), some("doc", low).alias("t34_docs"), some("publisher", low & (F.col("publisher") != "")).alias("t34_publishers"))
     rows = targets.join(folded, "target", "left").fillna(0).fillna("", ["tiers"])
     tri = ((F.col("t12") > 0) & (F.col("docs") >= 2)) | ((F.col("t34_docs") >= 2) & (F.col("t34_publishers") >= 2))
     return rows.withColumn("triangulated", tri).drop("t12", "t34_docs", "t34_publishers")
