@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimweave.operators import gates
 from claimweave.operators.lattice import meet, step_down
-from claimweave.operators.rules import audit, violation
+from claimweave.operators.rules import violations
 from claimweave.operators.status import with_status
 from claimweave.plans.registry import query
 from claimweave.sources.tables import load
@@ -161,7 +161,7 @@ _SHAPES = f"with f as (select id, {', '.join(fields(SHAPE, 300))} from ({LINES})
 def ladder_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms that answer a question after an earlier one stopped the ladder, or leave one open that it reached; facts without evidence; assumptions where none may be."""
     f = lines(spark, sf_dir).selectExpr("id", *fields(SHAPE, 300))
-    return audit(*[violation(f, rule, "id", broken) for rule, broken in gates.ladder_shape()])
+    return violations(f, "id", gates.ladder_shape())
 
 
 WAVE = {"round": ["1", "2", "3"], "specs": ["0", "1", "2"], "mandatory": ["2", "3"], "productive": ["0", "1", "2", "3"]}
