@@ -15,8 +15,15 @@ ANCHOR = ["object_sha256", "url", "retrieved_at", "http_status", "bytes", "extra
 CARD_ID = ["work_id", "version_id", "locator", "quote", "extractor_version"]
 
 
+#: Full texts that go to a Python worker at once.
+BATCH = 200
+
+
 def passages(docs: DataFrame, id_col: str, doc_col: str, kind: str) -> DataFrame:
-    """(id, ord, locator, text, sec, title) of full texts of one kind: 'jats' or 'html'."""
+    """(id, ord, locator, text, sec, title) of full texts of one kind: 'jats' or 'html'. The session's Arrow batches become BATCH rows at most, as a batch holds its texts and all their passages."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(key)) <= BATCH:
+        docs.sparkSession.conf.set(key, str(BATCH))
     return docs.select(id_col, F.explode(structured.passages_by(structured.PARSERS[kind])(doc_col)).alias("_p")).select(id_col, "_p.*")
 
 

@@ -63,3 +63,14 @@ def test_compose(spark):
     assert got == {
         0: (f"{one} and {one}", None), 1: (None, "missing c2.v"), 2: (None, "missing c1.x,c9.v"), 3: ("no number", None), 4: (None, "no placeholder"), 5: ("", None), 6: ("null〔已验证，来源 3/独立簇 2〕.", None), 7: (None, None),
     }
+
+
+def test_full_texts_go_to_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    found = provenance.passages(spark.createDataFrame([(i, f'<div id="S1.p{i}">a</div>') for i in range(500)], "id long, body string").coalesce(1), "id", "body", "html")
+    assert found.count() == 500 and int(spark.conf.get(key)) <= 200
+    spark.conf.set(key, "50")
+    provenance.passages(found.selectExpr("id", "text as body"), "id", "body", "html")
+    assert spark.conf.get(key) == "50"
+    spark.conf.unset(key)
