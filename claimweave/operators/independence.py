@@ -29,7 +29,7 @@ def links(refs: DataFrame) -> DataFrame:
     parts = [cluster.star(keyed.withColumn("_key", F.col(key).cast("string")).where("_key <> ''"), "_key", "").select(F.lit(rule).alias("rule"), "source", "target") for rule, key in stars.items()]
     # texts that are equal are one for the search of near ones, and linked by a star
     said = keyed.where("anchor is not null").select("id", F.trim(F.regexp_replace(F.lower("anchor"), r"(?U)\s+", " ")).alias("text")).where("length(text) >= 5")
-    near = cluster.near_duplicates(cluster.distinct_texts(said)).select(F.col("b").alias("source"), F.col("a").alias("target")).union(cluster.star(said, "text", "").select("source", "target"))
+    near = cluster.near_duplicates(cluster.distinct_texts(said), texts=said).select(F.col("b").alias("source"), F.col("a").alias("target")).union(cluster.star(said, "text", "").select("source", "target"))
     cites = keyed.select(F.col("id").alias("source"), F.col("cites_source_id").alias("target")).join(keyed.select(F.col("id").alias("target")), "target", "left_semi").where("source <> target").select("source", "target")
     parts += [near.select(F.lit(NEAR_RULE).alias("rule"), "source", "target"), cites.select(F.lit(4).alias("rule"), "source", "target")]
     both = reduce(DataFrame.union, parts)
