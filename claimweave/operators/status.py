@@ -19,6 +19,8 @@ CLUSTERS_NEEDED = {"K-D": 1, "K-L-T": 1, "K-L-A": 2, "K-I": 2}
 GRADE_CEILING = {"G5": V, "G4": A, "G3": A, "G2": A, "G1": N, "G0": N}
 TIER_CEILING = {"A": V, "B": V, "C": A}
 FLAG_CEILING = {"F-13": U, "F-12": U, "F-03": A, "F-04": A}
+#: Bytes of a method beyond which the JVM leaves it to its interpreter.
+COMPILED = 8000
 FLAG_STEP_DOWN = ["F-01", "F-02", "F-09", "F-15", "F-24", "F-25"]
 
 
@@ -44,7 +46,13 @@ def flag_drivers() -> dict[str, Column]:
 
 
 def with_status(claims: DataFrame) -> DataFrame:
-    """claims with status, step (where it was decided), trace (codes of the steps that acted) and contract_gap."""
+    """claims with status, step (where it was decided), trace (codes of the steps that acted) and contract_gap.
+
+    The session's limit for generated methods becomes COMPILED at most, as this expression fused with others is one method that the JVM would interpret for every row.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if int(claims.sparkSession.conf.get(key)) > COMPILED:
+        claims.sparkSession.conf.set(key, str(COMPILED))
     has = lambda f: F.array_contains("flags", f)
     missing = reduce(Column.__or__, [F.col(c).isNull() for c in REQUIRED])
     undriven = F.lit(False)

@@ -108,3 +108,15 @@ def test_meet_is_a_meet():
     for x, y, z in product(values, repeat=3):
         assert meet(x, y) == meet(y, x)
         assert meet(meet(x, y), z) == meet(x, meet(y, z))
+
+
+def test_generated_code_stays_compiled(spark):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    try:
+        for given, want in ((65535, "8000"), (4000, "4000")):
+            spark.conf.set(key, str(given))
+            with_status(vectors(lines(spark, SF)))
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
