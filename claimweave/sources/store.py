@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from claimweave.operators.graph import cut
 from claimweave.sources.log import canonical, folders
 
 HOT = ["state", "status", "strength", "queue_name", "kind"]
+#: Bytes of JSON of a bucket of the index.
+FILE = 128 << 20
 SHAPE = "id string, seq long, json string, " + ", ".join(f"{c} string" for c in HOT) + ", name string"
 
 
@@ -67,14 +71,19 @@ class Index:
         done = [f for f in done if self.spark._jvm.org.apache.hadoop.fs.Path(f).getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(self.spark._jvm.org.apache.hadoop.fs.Path(f + "/manifest/_SUCCESS"))]
         return max(done, default=None)
 
-    def build(self, tables: dict[str, tuple[DataFrame, str, dict[str, str]]], files: int = 8) -> None:
-        """tables: name to (rows, key, hot columns). All are staged as one new version, sorted by id in buckets of it, and become current together; a build that fails leaves the last version."""
+    def build(self, tables: dict[str, tuple[DataFrame, str, dict[str, str]]], files: int = 8, most: int = FILE) -> None:
+        """tables: name to (rows, key, hot columns). All are staged as one new version, sorted by id in buckets of it, and become current together; a build that fails leaves the last version.
+
+        Buckets are as many as files says, and more where one would hold over ``most`` bytes of JSON on the mean.
+        """
         last = self.version()
         path = f"{self.folder}/v={int(last.rsplit('=', 1)[1]) + 1 if last else 1:08d}"
         rows = None
         for name, (df, key, hot) in tables.items():
             own = indexed(df, name, key, hot)
             rows = own if rows is None else rows.unionByName(own)
+        size = reduce(DataFrame.union, [df.select(F.sum(F.octet_length(canonical(*df.columns))).alias("b")) for df, _, _ in tables.values()]).agg(F.sum("b")).first()[0]
+        files = max(files, -(-(size or 0) // most))
         rows.repartition(files, F.xxhash64("id")).sortWithinPartitions("name", "id").write.mode("overwrite").partitionBy("name").parquet(f"{path}/rows")
         digests({name: df for name, (df, _, _) in tables.items()}).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
 

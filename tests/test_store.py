@@ -91,3 +91,12 @@ def test_log_appends(spark, tmp_path):
         log.append(spark.range(k * 50, k * 50 + 50).select(F.col("id").alias("n"), F.lit(None).cast("string").alias("a")).repartition(4), path, ["n"])
     lines = log.numbered_lines(spark, path).orderBy("seq").collect()
     assert [(r["seq"], json.loads(r["line"])) for r in lines] == [(i + 1, {"a": None, "n": i}) for i in range(150)]
+
+
+def test_buckets_grow_with_the_tables(spark, tmp_path):
+    index, df = Index(spark, f"file://{tmp_path}/grown"), spark.range(100).selectExpr("id as k", "repeat('x', 100) as t")
+    index.build({"a": (df, "k", {})}, files=2, most=2000)
+    assert len(index.read().inputFiles()) > 4
+    assert index.read().count() == 100
+    index.build({"a": (df, "k", {})}, files=2)
+    assert len(index.read().inputFiles()) == 2
