@@ -107,10 +107,10 @@ _TOK = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))"
   where (d.period is null or i.period is null or {_MEET}) and (lang is null or region is null or lower(lang) = lower(region)) and (source is null or actors = '' or list_contains(string_split(lower(actors), ','), lower(source)))) where r <= 12""")
 def scoped_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dozen documents that share most words with each item and whose scope can hold with the item's: period, region, actors."""
-    i = item_periods(spark, sf_dir).selectExpr("item_id", "period", *_columns(_ITEM_SCOPE)).join(load(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("item_id", "claim")
-    d = doc_periods(spark, sf_dir).join(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "unit")
+    i = item_periods(spark, sf_dir).selectExpr("item_id", "period", *_columns(_ITEM_SCOPE)).join(load(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("item_id", "claim").withColumn("years", text.year_range(F.col("period")))
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), "text", "lang", "source", F.expr(DOC_PERIOD).alias("period")).withColumn("years", text.year_range(F.col("period")))
     some = F.filter(F.split("actors", ","), lambda x: x != "")
-    fits = text.scope_compatible(F.col("u_period"), F.col("period"), F.col("u_lang"), F.col("region"), F.when(F.col("u_source").isNotNull(), F.array("u_source")), some)
+    fits = text.scope_compatible(F.col("u_period"), F.col("period"), F.col("u_lang"), F.col("region"), F.when(F.col("u_source").isNotNull(), F.array("u_source")), some, F.col("u_years"), F.col("years"))
     return retrieve.best_matches(i, d, compatible=fits).select(F.col("claim").alias("item_id"), F.col("unit").alias("doc_id"), "score", "place")
 
 

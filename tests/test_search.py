@@ -48,6 +48,17 @@ def test_best_matches(spark):
     assert retrieve.best_matches(a.where("false"), b).count() == 0 and retrieve.best_matches(a, b.where("false")).count() == 0
 
 
+def test_texts_are_taken_apart_once(spark):
+    """Few units meet the condition, and those with low scores, so that it is asked of more and more pairs; what is returned reads no text again."""
+    claims = [(i, f"a b c d e f{i}", i % 3) for i in range(4)]
+    units = [(i, " ".join(["a", "b", "c", "d", "e"][: 2 + i % 4]), 0 if i % 4 else 1 + i % 97) for i in range(400)]
+    a, b = spark.createDataFrame(claims, "claim long, text string, lane long"), spark.createDataFrame(units, "unit long, text string, lane long")
+    got = retrieve.best_matches(a, b, 5, 2, F.col("lane") == F.col("u_lane"), seeds=2)
+    assert sorted(tuple(r) for r in got.collect()) == plain_best(claims, units, 5, 2, lambda c, u: c[2] == u[2])
+    for df in (got, retrieve.best_matches(a, b, 5)):
+        assert "regexp_extract_all" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_token_of_all_rows(spark):
     """100,000 rows that share one token: no row is lost, and the token brings no pairs together."""
     rows = spark.range(100_000).select(F.col("id").alias("unit"), F.concat(F.lit("common n"), F.col("id"), F.lit(" m"), F.col("id") % 50_000).alias("text"))
