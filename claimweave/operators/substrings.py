@@ -1,43 +1,105 @@
-"""Exact substring search: which texts hold a quote, wherever it begins and ends, by words where it has whole ones and by positional q-grams where it has none."""
+"""Exact substring search: which texts hold a quote, wherever it begins and ends, by words where it has whole ones and by grams of characters where it has none."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions import text
 from claimweave.operators.graph import cut
 from claimweave.operators.sizes import small
 
-#: Characters of a gram; the words of a quote that are looked up (its longest); the grams of a quote that are met (its rarest).
-GRAM, WORDS, RAREST = 3, 4, 2
+#: Characters of a gram (three fit into 63 bits); the words of a quote that are looked up (its longest); quotes that are sent to the texts at once.
+GRAM, WORDS, QUOTES = 3, 4, 100_000
+
+
+def codes(chars: np.ndarray, n: int) -> np.ndarray:
+    """Every run of n characters as one number; runs of other lengths have other numbers."""
+    out = np.zeros(max(0, len(chars) - n + 1), dtype="int64")
+    for i in range(n if len(out) else 0):
+        out |= (chars[i : len(chars) - n + 1 + i].astype("int64") + 1) << 21 * i
+    return out
+
+
+def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(the code points of texts, one behind the other, and the number of the text of each). Between two texts stands what no text can have."""
+    chars = np.frombuffer("".join(t + "\U0010ffff" for t in texts).encode("utf-32-le"), dtype="uint32").copy()
+    size = np.array([len(t) + 1 for t in texts], dtype="int64")
+    chars[np.cumsum(size) - 1] = 0x110000
+    return chars, np.repeat(np.arange(len(texts)), size)
+
+
+def met(texts: list[str], grams: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, gram): by number, which of the grams (sorted) each text has, once each. A table of bits tells most runs before they are looked up."""
+    chars, owner = characters(texts)
+    bits = lambda x: ((x * np.int64(-7046029254386353131)) >> 44) & 0xFFFFF
+    some = np.zeros(1 << 20, dtype=bool)
+    some[bits(grams)] = True
+    found = []
+    for n in sizes:
+        own = codes(chars, n)
+        at = np.flatnonzero(some[bits(own)])
+        place = np.minimum(np.searchsorted(grams, own[at]), len(grams) - 1)
+        at, place = (x[grams[place] == own[at]] for x in (at, place))
+        found.append(owner[at] * len(grams) + place)
+    both = np.unique(np.concatenate(found))
+    return both // len(grams), both % len(grams)
 
 
-def grams(body: Column, n: Column) -> Column:
-    """(at, gram) of every run of n characters; null where there is none. The text is taken apart once: a name that a lambda binds is not computed again for each place."""
-    runs = lambda chars: F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(chars, i + 1, n), "").alias("gram")))
-    return F.when(F.length(body) >= n, F.element_at(F.transform(F.array(F.split(body, "")), runs), 1))
+def parts(batches: Iterator[pd.DataFrame], most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """Batches cut into pieces of about so many characters of their texts (body)."""
+    for b in batches:
+        yield from (x for _, x in b.groupby(b["body"].str.len().cumsum() // most, sort=False))
 
 
 def by_grams(quotes: DataFrame, bodies: DataFrame) -> DataFrame:
-    """(quote, doc): texts (doc, body) in which the rarest grams of a quote stand as far apart as in the quote. A quote shorter than a gram is its own gram.
+    """(quote, doc): texts (doc, body) that hold a quote, met by the quote's rarest gram and told by the text itself. A quote shorter than a gram is its own gram.
 
-    Document frequencies come first, from grams that some quote has and counted in each task, so that only the postings of the rarest are shuffled. A gram that no text has answers its quote.
+    Grams are numbers of numpy in batches of texts: how many texts have each is counted in one pass, and a second finds the texts. Quotes go to the texts QUOTES at a time.
     """
-    own = quotes.select("quote").distinct().withColumn("n", F.least(F.length("quote"), F.lit(GRAM)))
-    asked = cut(own.select("quote", "n", F.inline(grams(F.col("quote"), F.col("n")))))
-    sizes = [r["n"] for r in asked.select("n").distinct().collect()]  # at most GRAM numbers
-    if not sizes:
-        return quotes.select("quote").join(bodies.select("doc"), F.lit(False))
-    every = bodies.select("doc", F.inline(F.flatten(F.filter(F.array(*[grams(F.col("body"), F.lit(n)) for n in sizes]), lambda x: x.isNotNull()))))
-    names = small(cut(asked.select("gram").distinct()))
-    frequency = every.join(names, "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = asked.join(frequency, "gram", "left").groupBy("quote").agg(F.bool_and(F.col("df").isNotNull()).alias("known"), F.sort_array(F.collect_list(F.struct("df", "gram", "at"))).alias("g"))
-    met = cut(ranked.where("known").select("quote", F.slice("g", 1, RAREST).alias("g")))
-    uses = cut(met.select("quote", F.size("g").alias("need"), F.inline("g")).select("quote", "need", "gram", F.col("at").alias("off")))
-    hits = every.join(small(uses, F.length("quote") + 64), "gram").select("quote", "need", "off", "doc", (F.col("at") - F.col("off")).alias("shift"))
-    lined = hits.groupBy("quote", "doc", "shift").agg(F.count_distinct("off").alias("have"), F.max("need").alias("need")).where("have = need")
-    return lined.select("quote", "doc").distinct()
+    own = cut(quotes.select("quote").where("quote <> ''").distinct())
+    n = own.count() // QUOTES + 1
+    return reduce(DataFrame.unionByName, [_by_grams(own if n == 1 else own.where(F.pmod(F.xxhash64("quote"), F.lit(n)) == i), bodies) for i in range(n)])
+
+
+def _by_grams(quotes: DataFrame, bodies: DataFrame) -> DataFrame:
+    asked = [r["quote"] for r in quotes.collect()]
+    runs = [codes(characters([q])[0][:-1], min(GRAM, len(q))) for q in asked]
+    grams = np.unique(np.concatenate([np.empty(0, dtype="int64"), *runs]))
+    sizes = sorted({min(GRAM, len(q)) for q in asked})
+    told = bodies.where("body is not null").select("doc", "body")
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(len(grams), dtype="int64")
+        for b in parts(batches):
+            n += np.bincount(met(b["body"].to_list(), grams, sizes)[1], minlength=len(grams))
+        yield pd.DataFrame({"gram": grams[n > 0], "n": n[n > 0]})
+
+    df = np.zeros(len(grams), dtype="int64")
+    if asked:
+        for r in told.select("body").mapInPandas(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most the quotes' own grams
+            df[np.searchsorted(grams, r["gram"])] = r["n"]
+    places = [np.searchsorted(grams, r) for r in runs]
+    # a quote with a gram that no text has is in none
+    rarest = [(q, p[np.argmin(df[p])]) for q, p in zip(asked, places, strict=True) if df[p].all()]
+    anchors = np.unique(np.array([p for _, p in rarest], dtype="int64"))
+    by = [[] for _ in anchors]
+    for q, p in rarest:
+        by[np.searchsorted(anchors, p)].append(q)
+    keys = grams[anchors]
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in parts(batches):
+            texts, docs = b["body"].to_list(), b["doc"].to_list()
+            hits = [(q, docs[i]) for i, g in zip(*(x.tolist() for x in met(texts, keys, sizes)), strict=True) for q in by[g] if q in texts[i]] if len(keys) else []
+            yield pd.DataFrame(hits, columns=["quote", "doc"])
+
+    return told.mapInPandas(held, f"quote string, doc {bodies.schema['doc'].dataType.simpleString()}").distinct()
 
 
 def by_words(quotes: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -58,9 +120,11 @@ def holding(quotes: DataFrame, bodies: DataFrame) -> DataFrame:
     words = F.split("quote", " ")
     inner = F.concat_ws(" ", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
     own = cut(quotes.select("quote").where("quote <> ''").distinct().withColumn("terms", F.array_distinct(text.tokens(inner))))
-    found = by_words(own.where(F.size("terms") > 0), bodies)
-    bare = own.where(F.size("terms") == 0)
-    if bare.limit(1).count():
-        found = found.union(by_grams(bare, bodies))
-    pairs = small(cut(found.distinct()), F.length("quote") + 64)
-    return bodies.join(pairs, "doc").where(F.contains("body", F.col("quote"))).select("quote", "doc").distinct()
+    worded, bare = own.where(F.size("terms") > 0), own.where(F.size("terms") == 0)
+    out = []
+    if worded.limit(1).count():
+        pairs = small(cut(by_words(worded, bodies).distinct()), F.length("quote") + 64)
+        out.append(bodies.join(pairs, "doc").where(F.contains("body", F.col("quote"))).select("quote", "doc").distinct())
+    if bare.limit(1).count() or not out:
+        out.append(by_grams(bare, bodies))
+    return reduce(DataFrame.unionByName, out)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,21 @@ def test_holding(spark):
     assert substrings.holding(asked.where("false"), bodies).count() == 0 and substrings.holding(asked, bodies.where("false")).count() == 0
 
 
+def test_grams_of_batches(spark):
+    """Runs of one to three characters, of any plane, as numbers; and no row for each place of a text."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab\x00é漢😀 ") for _ in range(rng.randrange(40))) for _ in range(50)] + ["", "ab" * 2000]
+    asked = sorted({"a", "é漢", "b\x00a", "😀 b", "aba", "zz", "bab"})
+    of = {int(substrings.codes(substrings.characters([g])[0][:-1], len(g))[0]): g for g in asked}
+    grams = np.array(sorted(of), dtype="int64")
+    assert len(of) == len(asked)
+    got = {(i, of[int(grams[g])]) for i, g in zip(*substrings.met(texts, grams, [1, 2, 3]), strict=True)}
+    assert got == {(i, g) for i, t in enumerate(texts) for g in asked if g in t}
+    df = substrings.by_grams(spark.createDataFrame([("aba",), ("bab",)], "quote string"), spark.createDataFrame(list(enumerate(texts)), "doc long, body string"))
+    assert {tuple(r) for r in df.collect()} == {(g, i) for i, t in enumerate(texts) for g in ("aba", "bab") if g in t}
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def plain_best(claims, units, k, least, fits=lambda c, u: True):
     out = []
     for c in claims:
