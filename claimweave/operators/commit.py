@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from claimweave.operators.asof import as_of
 from claimweave.operators.graph import cut
+from claimweave.operators.sizes import small
 
 MOST_BRIDGES, BRIDGE_ROUNDS = 2, 2
 PARK_REASONS = ("absorbed", "not_needed")
@@ -84,18 +85,41 @@ def _given(state: Column, frozen: Column, proven: Column, reason: Column, into:
     return F.struct(state.alias("state"), frozen.alias("frozen"), proven.alias("proven"), reason.alias("reason"), into.alias("into"), strength.alias("strength"), none("long", "cmd"), none("string", "op"), none("string", "refused"), F.lit(False).alias("queued"))
 
 
-def _replay(records: DataFrame, orders: DataFrame) -> DataFrame:
-    """(id, and the fields of _step) after every order (cmd, id, op, why, into, into_active), those of a record one after another.
+def _known(records: DataFrame) -> DataFrame:
+    return records.select("id", "state", "frozen", F.col("proof").isNotNull().alias("proven"), "reason", F.lit(None).cast("long").alias("into"), "strength")
+
+
+def _folded(blocks: DataFrame, given: list[Column]) -> DataFrame:
+    """(id, and the fields of _step) after every order of a list, from the state that is given."""
+    whole = blocks.withColumn("s", _given(*given, F.size("orders") >= 0))
+    each = F.aggregate("orders", F.array("s"), lambda acc, c: F.concat(acc, F.array(_step(F.element_at(acc, -1), c))))
+    return whole.select("id", F.explode(F.slice(each, 2, BLOCK)).alias("s")).select("id", "s.*")
+
+
+def _listed(orders: DataFrame, *keys: Column | str) -> DataFrame:
+    return orders.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cmd", "op", "why", "into", "into_active"))).alias("orders"))
+
+
+def _replay(records: DataFrame, orders: DataFrame, long: DataFrame | None) -> DataFrame:
+    """(id, and the fields of _step) after every order (cmd, id, op, why, into, into_active), those of a record one after another. long: the records (id) with more than BLOCK orders, if any; the orders of others are one list."""
+    at_first = [F.col(c) for c in ("state", "frozen", "proven", "reason", "into", "strength")]
+    few = orders if long is None else orders.join(long, "id", "left_anti")
+    done = _folded(_listed(few, "id").join(_known(records), "id"), at_first)
+    return done if long is None else done.unionByName(_in_blocks(records, orders.join(long, "id", "left_semi")))
+
+
+def _in_blocks(records: DataFrame, orders: DataFrame) -> DataFrame:
+    """What _replay gives, for records with many orders.
 
     A block of orders is a function of the few states that a record can be in, so blocks are tried from all of them at once, side by side; a record's walk is then one step
     a block, and a record with a third of all orders is many rows. What a block leaves as it was (reason, into, strength) is marked and taken from before the block.
     """
     was = "="
-    blocks = orders.groupBy("id", F.floor(F.col("cmd") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("cmd", "op", "why", "into", "into_active"))).alias("orders"))
+    blocks = _listed(orders, "id", F.floor(F.col("cmd") / BLOCK).alias("block"))
     same = lambda s, f, p: _given(F.lit(s), F.lit(f), p, F.lit(was), F.lit(-1).cast("long"), F.lit(was), F.size("orders") >= 0)
     starts = F.array(*[same(s, f, F.col("proven")) for s in STATES for f in (False, True)])
     number = lambda state, frozen: (F.array_position(F.array(*map(F.lit, STATES)), state) * 2 + F.when(frozen, 0).otherwise(-1)).cast("int")
-    known = records.select("id", "state", "frozen", F.col("proof").isNotNull().alias("proven"), "reason", F.lit(None).cast("long").alias("into"), "strength")
+    known = _known(records)
     b = blocks.join(known.select("id", "proven"), "id")
     b = b.select("id", "block", F.transform(starts, lambda s: F.aggregate("orders", s, _step)).alias("ends"))
     walk = b.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("block", F.transform("ends", lambda e: F.struct(*[e[n].alias(n) for n in ("state", "frozen", "reason", "into", "strength")])).alias("ends")))).alias("blocks"))
@@ -107,9 +131,15 @@ def _replay(records: DataFrame, orders: DataFrame) -> DataFrame:
     ahead = lambda acc, x: F.concat(acc, F.array(settled(F.element_at(acc, -1), F.element_at(x["ends"], number(F.element_at(acc, -1)["state"], F.element_at(acc, -1)["frozen"])))))
     begun = walk.join(first, "id").select("id", "s.proven", F.arrays_zip(F.col("blocks.block").alias("block"), F.aggregate("blocks", F.array(bare(F.col("s"))), ahead).alias("begin")).alias("z"))
     begun = begun.select("id", "proven", F.explode("z").alias("z")).where("z.block is not null").select("id", "proven", F.col("z.block").alias("block"), F.col("z.begin").alias("g"))
-    whole = blocks.join(begun, ["id", "block"]).withColumn("s", _given(F.col("g.state"), F.col("g.frozen"), F.col("proven"), F.col("g.reason"), F.col("g.into"), F.col("g.strength"), F.size("orders") >= 0))
-    each = F.aggregate("orders", F.array("s"), lambda acc, c: F.concat(acc, F.array(_step(F.element_at(acc, -1), c))))
-    return whole.select("id", F.explode(F.slice(each, 2, BLOCK)).alias("s")).select("id", "s.*")
+    return _folded(blocks.join(begun, ["id", "block"]), [F.col("g.state"), F.col("g.frozen"), F.col("proven"), F.col("g.reason"), F.col("g.into"), F.col("g.strength")])
+
+
+def _answered(orders: DataFrame, versions: DataFrame | None) -> DataFrame:
+    """orders (with into and at_first) with into_active: whether the record that each goes into is active when it comes; versions (into, cmd, state), none at first."""
+    if versions is None:
+        return orders.withColumn("into_active", F.col("at_first")).drop("at_first")
+    now = F.when(F.col("state").isNull(), F.col("at_first")).otherwise(F.col("state") == "active")
+    return as_of(orders, versions, "into", "cmd", "state", inclusive=False).withColumn("into_active", now).drop("at_first", "state")
 
 
 def in_sequence(records: DataFrame, orders: DataFrame) -> DataFrame:
@@ -117,23 +147,32 @@ def in_sequence(records: DataFrame, orders: DataFrame) -> DataFrame:
 
     Park needs an active or candidate record that is not frozen and, where it is absorbed, another record to go into that is active at that time; unpark needs a parked one; the others need only the record.
     Each order meets what all before it have left. Whether the record to go into is active is first taken from the records as given; all is replayed, and looked up again as of each order,
-    until no answer changes: each round settles at least the earliest answer that was wrong. A state that is none of STATES counts as the state other.
+    until no answer changes: each round settles at least the earliest answer that was wrong. Rounds replay the records alone that others go into; the rest is replayed once, when all answers stand. A state that is none of STATES counts as the state other.
     """
     known = records.withColumn("state", F.when(F.col("state").isin(*STATES), F.col("state")).otherwise("other")).withColumn("frozen", F.coalesce("frozen", F.lit(False)))
     rows = orders.join(known.select("id", F.lit(True).alias("known")), "id", "left").select("cmd", "id", "op", "why", "into", "known")
     missing = rows.where("known is null").select("cmd", "id", "op")
     rows = rows.where("known").drop("known")
-    goes = rows.where("op = 'park' and why = 'absorbed' and into is not null and into <> id").select("cmd", "into")
-    answers = cut(goes.join(known.select(F.col("id").alias("into"), (F.col("state") == "active").alias("into_active"), (F.col("state") == "active").alias("at_first")), "into"))
+    long = cut(rows.groupBy("id").count().where(F.col("count") > BLOCK).select("id"))
+    long = small(long) if long.limit(1).count() else None
+    goes = F.coalesce((F.col("op") == "park") & (F.col("why") == "absorbed") & F.col("into").isNotNull() & (F.col("into") != F.col("id")), F.lit(False))
+    ends = small(cut(rows.where(goes).select(F.col("into").alias("id")).distinct()))
+    first = known.join(ends, "id").select(F.col("id").alias("into"), (F.col("state") == "active").alias("at_first"))
+    met = cut(rows.join(ends, "id", "left_semi"))
+    begun = small(cut(first))
+    answers = lambda df, versions: _answered(df.where(goes).join(begun, "into"), versions)
+    others = lambda df: df.where(~goes).withColumn("into_active", F.lit(None).cast("boolean"))
+    asked, plain = cut(answers(met, None)), others(met)
+    lost = lambda df: df.where(goes).join(begun, "into", "left_anti").withColumn("into_active", F.lit(None).cast("boolean"))
+    nowhere = lost(met)
     while True:
-        told = rows.join(answers.select("cmd", "into_active"), "cmd", "left")
-        done = cut(_replay(known, told))
-        versions = done.where("refused is null").select(F.col("id").alias("into"), "cmd", "state")
-        new = as_of(answers, versions, "into", "cmd", "state", inclusive=False)
-        new = cut(new.select("cmd", "into", F.col("into_active").alias("was"), F.when(F.col("state").isNull(), F.col("at_first")).otherwise(F.col("state") == "active").alias("into_active"), "at_first"))
-        if not new.where("was <> into_active").limit(1).count():
+        told = asked.unionByName(plain).unionByName(nowhere)
+        versions = cut(_replay(known.join(ends, "id", "left_semi"), told, long).where("refused is null").select(F.col("id").alias("into"), "cmd", "state"))
+        new = cut(answers(met, versions))
+        if not new.select("cmd", "into_active").join(asked.select("cmd", F.col("into_active").alias("was")), "cmd").where("was <> into_active").limit(1).count():
             break
-        answers = new.drop("was")
+        asked = new
+    done = _replay(known, answers(rows, versions).unionByName(others(rows)).unionByName(lost(rows)), long)
     ok = lambda c: F.when(F.col("refused").isNull(), F.col(c)).alias(c)
     told = done.select("cmd", "id", "op", "refused", ok("state"), ok("reason"), F.when(F.col("refused").isNull(), F.col("into")).alias("absorbed_into"), ok("strength"), ok("frozen"), ok("queued"))
     return told.unionByName(missing.withColumn("refused", F.lit("missing")), allowMissingColumns=True)

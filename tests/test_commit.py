@@ -86,3 +86,12 @@ def test_orders_in_sequence(spark, monkeypatch):
     want = plain_orders(records, orders)
     assert got == want and {w[0] for w in want.values()} == {None, "missing", "state", "frozen", "reason", "into", "order"}
     assert commit.in_sequence(spark.createDataFrame(records, RECORD), df.where("false")).count() == 0
+
+
+def test_few_orders_are_one_list(spark, monkeypatch):
+    """Records with few orders are not tried from every state, however far apart the orders' numbers are; one goes into a record that another order has parked."""
+    monkeypatch.setattr(commit, "_in_blocks", None)
+    records = [(i, "node", "active", None, "strong", 1, "c", False, 7 if i % 2 else None) for i in range(6)]
+    orders = [(1000 * k + 1, k % 7, ["park", "unpark", "reopen"][k % 3], ["absorbed", "not_needed"][k % 2], (k * 5) % 8) for k in range(40)]
+    got = commit.in_sequence(spark.createDataFrame(records, RECORD), spark.createDataFrame(orders, "cmd long, id long, op string, why string, into long"))
+    assert {r["cmd"]: (r["refused"], r["state"], r["reason"], r["absorbed_into"], r["strength"], r["frozen"], r["queued"]) for r in got.collect()} == plain_orders(records, orders)
