@@ -116,6 +116,51 @@ def test_ann_recall(spark, n, width, norms):
     assert len(found) == n // 50 and hits >= 0.9 * 20 * len(found)
 
 
+def test_ann_reads_short_files(spark):
+    """Of 64 dimensions a query reads at most five postings a row (sixteen before), and of a larger table a smaller part is reranked."""
+    x = np.random.default_rng(5).standard_normal((4000, 64))
+    index = PermutationIndex().fit(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    files = InvertedFiles(permutations(x, index.pivots, index.files), len(index.pivots), index.files)
+    asked = permutations(x[:50], index.pivots, index.files)
+    assert (files.start[asked + 1] - files.start[asked]).sum() <= 5 * len(x) * len(asked)
+    assert index.reranked(16 * 65536, 20)[0] == index.reranked(65536, 20)[0] / 4 and index.reranked(5000, 20) == (index.share, index.spare * 20)
+
+
+def test_ann_lengths_beyond_squares(spark):
+    """Vectors whose squares overflow or vanish are found by direction and length all the same; infinite ones take no part."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 32))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = 1e-180 * unit[:100]
+    rows = [(i, v.tolist()) for i, v in enumerate(1e170 * unit)] + [(-1, [math.inf] + [0.0] * 31), (-2, [-math.inf] + [0.0] * 31)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], df.schema)
+    found = defaultdict(set)
+    for r in PermutationIndex().fit(df).search(q, df, 20).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for i in range(100):
+        s = unit @ unit[i]
+        s[i] = -9
+        hits += len(found[i] & set(np.argsort(-s)[:20].tolist()))
+    assert len(found) == 100 and hits >= 0.9 * 20 * 100
+
+
+@pytest.mark.parametrize("rows", [1, 40, 300])
+def test_agreements_in_pieces(rows, monkeypatch):
+    """The agreements of many orders at a time are those of each order alone, however the work is cut."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((rows, 8))
+    pivots = rng.standard_normal((50, 8))
+    files = InvertedFiles(permutations(x, pivots, 20), 50, 20)
+    asked = permutations(rng.standard_normal((30, 8)), pivots, 20)
+    whole = np.concatenate([a for _, a in files.agreements(asked)])
+    monkeypatch.setattr("claimweave.llm.ann.CELLS", 700)
+    pieces = list(files.agreements(asked))
+    assert [i for s, _ in pieces for i in range(30)[s]] == list(range(30)) and (len(pieces) > 1) == (rows > 1)
+    assert (np.concatenate([a for _, a in pieces]) == whole).all() and (np.stack([files.agreement(o) for o in asked]) == whole).all()
+
+
 def test_inverted_files():
     """Agreement from the postings is that of the whole permutations."""
     rng = np.random.default_rng(3)
