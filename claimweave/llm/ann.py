@@ -10,8 +10,8 @@ alone give the full order.
 
 A permutation knows the direction alone, and nearness is the inner product: agreement is turned into an upper estimate of the cosine by a straight line, fitted in each block on pairs
 of its own vectors, and two deviations of these pairs from it; vectors are ranked by estimate times length. Where all have one length this is the footrule order.
-Of a block of n different vectors, share * n + spare * k are reranked. Both fall with the root of the table's rows beyond four blocks, and pivots grow with that root: the 20 nearest of
-more rows are nearer, so they stand out against the rest in shorter files and fewer reranked rows.
+Of a block of n different vectors, share * n + spare * k are reranked. Both fall with the fourth root of the table's rows beyond four blocks, and pivots grow with the root: the 20 nearest of
+more rows are nearer, so they stand out against the rest in shorter files and fewer reranked rows. The permutations of queries are computed once, not in each block.
 
 Defined results: null, zero, ragged (another length than most vectors) and non-finite vectors take no part,
 neither as query nor as candidate; an empty table gives no rows; equal scores go to the smaller id; equal
@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HIT = "query_id long, q long, vec_id long, score double"
-#: How many products or postings are held at a time.
-CELLS = 1 << 20
+#: How many products with pivots, and how many postings and agreements, are held at a time.
+PRODUCTS, CELLS = 1 << 20, 1 << 18
 
 
 def valid(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -55,11 +55,15 @@ def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return unit / norms[:, None], lengths
 
 
+def matrix(v: pd.Series) -> np.ndarray:
+    return np.stack(v.to_numpy()).astype(np.float64)
+
+
 def permutations(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     """The indices of each row's nearest pivots, nearest first; ties to the smaller index, but at the cut any of them."""
     depth, columns = min(depth, len(pivots)), pivots.T.astype(np.float32)
     out = np.empty((len(x), depth), dtype=np.int64)
-    step = max(1, CELLS // max(1, len(pivots)))
+    step = max(1, PRODUCTS // max(1, len(pivots)))
     for lo in range(0, len(x), step):
         far = -(x[lo : lo + step].astype(np.float32) @ columns)
         near = np.sort(np.argpartition(far, depth - 1, axis=1)[:, :depth], axis=1) if 0 < depth < len(pivots) else np.broadcast_to(np.arange(depth), (len(far), depth))
@@ -97,7 +101,7 @@ class InvertedFiles:
         counts = self.start[orders + 1] - first
         cost = counts.sum(axis=1) + self.size
         at = [*np.unique((np.cumsum(cost) - cost) // CELLS, return_index=True)[1], len(orders)]
-        rank = self.depth - np.arange(orders.shape[1])
+        rank = (self.depth - np.arange(orders.shape[1])).astype(np.float64)
         for lo, hi in zip(at[:-1], at[1:], strict=True):
             n = counts[lo:hi].ravel()
             post = np.repeat(first[lo:hi].ravel() - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -114,7 +118,7 @@ class PermutationIndex:
 
     pivots: how many rows become pivots (those of the smallest hash of their vector: the bound of the sample). Where not given, 32 a dimension or 18 times the root of the rows, 8192 at most.
     depth: how many of its nearest pivots represent a vector. Where not given, one a dimension, 96 to 2048.
-    share, spare: see above. block: vectors of a block; in tables of more than 64 blocks they grow up to block_bytes. query_bytes: of a block of queries. They bound a task's memory at every table size.
+    share, spare: see above. block: vectors of a block; in tables of more than 32 blocks they grow up to block_bytes. query_bytes: of a block of queries. They bound a task's memory at every table size.
     """
 
     def __init__(self, pivots: int | None = None, depth: int | None = None, share: float = 0.04, spare: int = 8, block: int = 4096, block_bytes: int = 16 << 20, query_bytes: int = 32 << 20):
@@ -136,7 +140,7 @@ class PermutationIndex:
 
     def reranked(self, rows: int, k: int) -> tuple[float, int]:
         """The share of a block and the number besides that are reranked where the table has so many rows."""
-        root = math.sqrt(max(1, rows / (4 * self.block)))
+        root = max(1, rows / (4 * self.block)) ** 0.25
         return self.share / root, max(2 * k, math.ceil(self.spare * k / root))
 
     def search(self, queries: DataFrame, data: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -145,12 +149,13 @@ class PermutationIndex:
         rows = valid(data, id_col, vec_col).where(F.size("v") == width)
         asked = valid(queries, id_col, vec_col).where(F.size("v") == width).dropDuplicates(["id", "v"])
         n = rows.count()
-        blocks = max(1, math.ceil(n / max(self.block, min(n / 64, self.block_bytes / (8 * max(1, width))))))
+        blocks = max(1, math.ceil(n / max(self.block, min(n / 32, self.block_bytes / (8 * max(1, width))))))
         query_blocks = max(1, math.ceil(asked.count() * 8 * max(1, width) / self.query_bytes))
         both = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("id", "v"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
         left = both(rows, "db", blocks, "qb", query_blocks).withColumn("qb", F.col("qb").cast("long"))
-        right = both(asked.withColumn("q", F.xxhash64("v")), "qb", query_blocks, "db", blocks).withColumn("db", F.col("db").cast("long"))
         depth, (share, spare) = max(1, self.files), self.reranked(n, k)
+        nearest = F.pandas_udf(lambda v: pd.Series(list(permutations(directions(matrix(v))[0], pivots, depth))), "array<int>")
+        right = both(asked.withColumn("q", F.xxhash64("v")).withColumn("p", nearest("v")), "qb", query_blocks, "db", blocks).withColumn("db", F.col("db").cast("long"))
 
         def block(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
             return search_block(d, q, pivots, depth, share, spare, k)
@@ -164,7 +169,7 @@ class PermutationIndex:
 def search_block(d: pd.DataFrame, q: pd.DataFrame, pivots: np.ndarray, depth: int, share: float, spare: int, k: int) -> pd.DataFrame:
     if not len(d) or not len(q):
         return pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "q": "int64", "vec_id": "int64", "score": "float64"})
-    x, where = np.unique(np.stack(d["v"].to_numpy()).astype(np.float64), axis=0, return_inverse=True)
+    x, where = np.unique(matrix(d["v"]), axis=0, return_inverse=True)
     every = np.sort(d["id"].to_numpy())
     order = np.lexsort((d["id"].to_numpy(), where.ravel()))
     ids, starts = d["id"].to_numpy()[order], np.searchsorted(where.ravel()[order], np.arange(len(x) + 1))
@@ -173,10 +178,13 @@ def search_block(d: pd.DataFrame, q: pd.DataFrame, pivots: np.ndarray, depth: in
     files = InvertedFiles(order, len(pivots), depth)
     level, slope = files.cosine_line(unit, order)
     budget = min(len(x), math.ceil(share * len(x)) + spare)
-    qid, qh, asked = q["id"].to_numpy(), q["q"].to_numpy(), np.stack(q["v"].to_numpy()).astype(np.float64)
+    qid, qh, asked = q["id"].to_numpy(), q["q"].to_numpy(), matrix(q["v"])
     found = []
-    for some, agree in files.agreements(permutations(directions(asked)[0], pivots, depth)):
-        near = np.argpartition(norms * (level + slope * agree), len(x) - budget, axis=1)[:, len(x) - budget :]
+    for some, agree in files.agreements(np.stack(q["p"].to_numpy())):
+        agree *= slope
+        agree += level
+        agree *= norms
+        near = np.argpartition(agree, len(x) - budget, axis=1)[:, len(x) - budget :]
         hit = best_of(near, x, asked[some], qid[some], ids, starts, every, k)
         found.append((qid[some][hit[0]], qh[some][hit[0]], *hit[1:]))
     return pd.DataFrame(dict(zip(("query_id", "q", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
