@@ -1,14 +1,16 @@
 """Stores, ingest and logs on disk against plain versions."""
 
 import json
+import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
-from claimweave.operators import ingest
+from claimweave.operators import graph, ingest
 from claimweave.operators.ingest import ENTRY, ingested
 from claimweave.sources import log
-from claimweave.sources.store import Index, KeyedStore
+from claimweave.sources.store import Index, KeyedStore, indexed
 
 BATCH = "seq long, content_hash string, kind string, title string, base string, bindings array<struct<node:long,relation:string,note:string>>"
 
@@ -100,3 +102,21 @@ def test_buckets_grow_with_the_tables(spark, tmp_path):
     assert index.read().count() == 100
     index.build({"a": (df, "k", {})}, files=2)
     assert len(index.read().inputFiles()) == 2
+
+
+def test_an_index_needs_little_disk(spark, tmp_path):
+    """Rows are dealt as they are, JSON is made behind that; beside the index no table is left, and what a job shuffled goes with it."""
+    df = spark.range(3000).selectExpr("id % 1000 as k", "cast(id as string) as s")
+    plan = indexed(df, "k", {}, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and " AS json#" in plan.split("Exchange")[0] and " AS json#" not in plan.split("Exchange")[1]
+    tables = lambda: set(os.listdir(graph.shared_folder(spark).removeprefix("file:")))
+    shuffled = lambda: sum(str(f).startswith("shuffle_") for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split())
+    here, before = tables(), shuffled()
+    index = Index(spark, f"file://{tmp_path}/disk")
+    index.build({"a": (df, "k", {"state": "s"})}, files=3)
+    for _ in range(50):
+        if shuffled() > before + 8:  # the digest's own, some small files
+            time.sleep(0.1)
+    assert tables() == here and shuffled() <= before + 8
+    got = sorted((r["seq"], int(r["id"])) for r in index.read().collect())
+    assert got == [(i + 1, i // 3) for i in range(3000)]
